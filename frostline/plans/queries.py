@@ -207,11 +207,11 @@ def climate_trend(
     )
     short, long = split_by_length(rows, "station_id", max_rows)
 
-    # Short series: the climatology and the trend share one shuffle by station.
+    # Short series: gathered by station once, for the climatology (which is then
+    # a window instead of a join) and the trend alike.
     day = Window.partitionBy("station_id", "day_of_year")
-    short = _with_anomaly(
-        _with_ordinal_day(short).withColumn("seasonal_mean", F.avg("value").over(day))
-    )
+    short = _with_ordinal_day(short.repartition("station_id"))
+    short = _with_anomaly(short.withColumn("seasonal_mean", F.avg("value").over(day)))
     short = rolling_mean(
         short,
         "anomaly",

@@ -5,6 +5,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from frostline.schema import OBSERVATION
 
+# Quotes inside a field are doubled, and spaces belong to the field.
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """All CSV files of a folder as one table, or None when there are none.
@@ -15,9 +23,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return (
             spark.read.schema(OBSERVATION)
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("mode", "FAILFAST")
+            .options(**_CSV, enforceSchema=False, mode="FAILFAST")
             .csv(f"{path.rstrip('/')}/*.csv")
         )
     except AnalysisException as error:
@@ -31,7 +37,7 @@ def write_csv(observations: DataFrame, path: str) -> bool:
     rows = observations.select(*OBSERVATION.fieldNames())
     if rows.isEmpty():
         return False
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").options(**_CSV).csv(path)
     return True
 
 
@@ -58,6 +64,6 @@ def write_observations(observations: DataFrame, path: str) -> None:
     )
 
 
-def empty_or_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """A small table of observations from rows in memory."""
+def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A small table of (date, datatype, station, value) rows held in memory."""
     return spark.createDataFrame(rows, OBSERVATION)
