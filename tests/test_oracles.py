@@ -1,0 +1,29 @@
+"""Every registered query against its DuckDB statement."""
+
+import pytest
+
+import __spark_entry__ as entry_points
+from compare import differences, oracle
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return oracle(SF)
+
+
+@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+def test_query_equals_oracle(spark, duck, name):
+    result = entry_points.queries()[name](spark, SF)
+    assert differences(result, duck, entry_points.oracle_sql()[name]) == []
+
+
+def test_entry(spark):
+    result = entry_points.entry(spark)
+    assert result.columns == ["station_id", "station_name", "date", "value", "avg", "lpf"]
+    assert result.count() > 0
+
+
+def test_every_query_has_an_oracle():
+    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
