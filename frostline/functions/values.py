@@ -7,11 +7,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-INF = float("inf")
-
-
-def is_not_finite(value: Column) -> Column:
-    return F.isnan(value) | (F.abs(value) == F.lit(INF))
 
 
 def mean_of_extremes(high: Column, low: Column) -> Column:

@@ -8,11 +8,9 @@ into overlapping blocks of consecutive rows, so that a window partitioned by
 (station, block) sees every row it needs and no task sees more than a block.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.functions.values import is_not_finite
-
 # Rows of one series that a single task may sort.
 SERIES_ROWS = 1_000_000
 # Consecutive rows of a long series that form one block.
@@ -46,31 +44,6 @@ def split_by_length(
     )
 
 
-def _value_band(value: Column) -> Column:
-    """An integer that orders readings coarsely the way Spark sorts them."""
-    return (
-        F.when(value.isNull(), F.lit(-(2**63)))
-        .when(F.isnan(value), F.lit(2**63 - 1))
-        .otherwise(F.floor(value))
-        .cast("long")
-    )
-
-
-def _add_starts(groups: DataFrame, within: list[str], order: list[str]) -> DataFrame:
-    """Sums of `_n` and `_m` over the groups that come before each group."""
-    before = (
-        Window.partitionBy(*within)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return groups.withColumns(
-        {
-            "_n_start": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-            "_m_start": F.coalesce(F.sum("_m").over(before), F.lit(0)),
-        }
-    )
-
-
 def number_rows(
     rows: DataFrame, by: str, date: str, value: str, extra: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -88,63 +61,50 @@ def number_rows(
       _length   the number of rows of the series whose value is not null,
       _special  the sum of the values that are NaN or infinite, else null.
     """
-    month = F.substring(date, 1, 7)
-    totals = [
-        F.sum("_n").alias("_n"),
-        F.sum("_m").alias("_m"),
-        F.sum("_special").alias("_special"),
-    ]
-    readings = (
-        rows.groupBy(by, date, value, *extra)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns(
-            {
-                "_band": _value_band(F.col(value)),
-                "_m": F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0),
-                "_special": F.when(is_not_finite(F.col(value)), F.col(value)),
-            }
-        )
-    )
-    bands = readings.groupBy(by, date, "_band").agg(*totals)
-    bands = bands.withColumn("_month", month)
-    months = bands.groupBy(by, "_month").agg(*totals)
-
-    series = Window.partitionBy(by)
-    months = _add_starts(months, [by], ["_month"]).select(
-        by,
-        "_month",
-        F.sum("_m").over(series).alias("_length"),
-        F.sum("_special").over(series).alias("_series_special"),
-        F.col("_n_start").alias("_n_month"),
-        F.col("_m_start").alias("_m_month"),
-    )
-    bands = (
-        _add_starts(bands, [by, "_month"], [date, "_band"])
-        .join(months, [by, "_month"])
-        .select(
-            by,
-            date,
-            "_band",
-            "_length",
-            "_series_special",
-            (F.col("_n_start") + F.col("_n_month")).alias("_n_band"),
-            (F.col("_m_start") + F.col("_m_month")).alias("_m_band"),
-        )
-    )
-    return (
-        _add_starts(readings, [by, date, "_band"], [value, *extra])
-        .join(bands, [by, date, "_band"])
-        .select(
-            by,
-            date,
-            value,
-            *extra,
-            "_n",
-            (F.col("_n_start") + F.col("_n_band")).alias("_pos"),
-            (F.col("_m_start") + F.col("_m_band")).alias("_index"),
-            "_length",
-            F.col("_series_special").alias("_special"),
-        )
+    reading = ", ".join([by, date, value, *extra])
+    order = ", ".join([value, *extra])
+    counts = "sum(_n) AS _n, sum(_m) AS _m, sum(_special) AS _special"
+    # _band orders values by their unit, as Spark sorts them: nulls first, NaN last
+    return rows.sparkSession.sql(
+        f"""
+        WITH readings AS (
+          SELECT {reading}, count(*) AS _n,
+            CASE WHEN {value} IS NULL THEN 0 ELSE count(*) END AS _m,
+            CASE WHEN isnan({value}) OR abs({value}) = double('Infinity')
+              THEN {value} END AS _special,
+            CASE WHEN {value} IS NULL THEN bigint('{-(2**63)}') WHEN isnan({value}) THEN {2**63 - 1}
+              ELSE floor({value}) END AS _band
+          FROM {{rows}} GROUP BY {reading}),
+        bands AS (
+          SELECT {by}, {date}, _band, substring({date}, 1, 7) AS _month, {counts}
+          FROM readings GROUP BY {by}, {date}, _band),
+        months AS (SELECT {by}, _month, {counts} FROM bands GROUP BY {by}, _month),
+        month_starts AS (
+          SELECT {by}, _month,
+            coalesce(sum(_n) OVER earlier, 0) AS _n_month,
+            coalesce(sum(_m) OVER earlier, 0) AS _m_month,
+            sum(_m) OVER series AS _length, sum(_special) OVER series AS _special
+          FROM months
+          WINDOW series AS (PARTITION BY {by}),
+            earlier AS (PARTITION BY {by} ORDER BY _month
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        band_starts AS (
+          SELECT {by}, {date}, _band,
+            _n_month + coalesce(sum(_n) OVER earlier, 0) AS _n_band,
+            _m_month + coalesce(sum(_m) OVER earlier, 0) AS _m_band,
+            _length, m._special
+          FROM bands b JOIN month_starts m USING ({by}, _month)
+          WINDOW earlier AS (PARTITION BY {by}, _month ORDER BY {date}, _band
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT {reading}, _n,
+          _n_band + coalesce(sum(_n) OVER earlier, 0) AS _pos,
+          _m_band + coalesce(sum(_m) OVER earlier, 0) AS _index,
+          _length, b._special
+        FROM readings r JOIN band_starts b USING ({by}, {date}, _band)
+        WINDOW earlier AS (PARTITION BY {by}, {date}, _band ORDER BY {order}
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        """,
+        rows=rows,
     )
 
 
@@ -152,24 +112,25 @@ def expand_copies(
     readings: DataFrame, by: str, value: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Undo the folding of copies, at most `block_rows` of them per task group."""
-    first, last = F.col("_pos"), F.col("_pos") + F.col("_n") - 1
-    pieces = readings.withColumn(
-        "_block",
-        F.explode(
-            F.sequence(
-                F.floor(first / block_rows).cast("long"),
-                F.floor(last / block_rows).cast("long"),
-            )
-        ),
-    ).repartition(by, "_block")
-    start = F.greatest(first, F.col("_block") * block_rows)
-    end = F.least(last, (F.col("_block") + 1) * block_rows - 1)
-    step = F.when(F.col(value).isNull(), 0).otherwise(F.col("_row") - F.col("_pos"))
+    kept = [c for c in readings.columns if c not in ("_n", "_pos", "_index")]
+    size = block_rows
     return (
-        pieces.withColumn("_row", F.explode(F.sequence(start, end)))
-        .withColumn("_index", F.col("_index") + step)
-        .withColumn("_pos", F.col("_row"))
-        .drop("_n", "_block", "_row")
+        readings.selectExpr(
+            "*",
+            f"""explode(sequence(cast(floor(_pos / {size}) AS bigint),
+                  cast(floor((_pos + _n - 1) / {size}) AS bigint))) AS _block""",
+        )
+        .repartition(by, "_block")
+        .selectExpr(
+            "*",
+            f"""explode(sequence(greatest(_pos, _block * {size}),
+                  least(_pos + _n, (_block + 1) * {size}) - 1)) AS _row""",
+        )
+        .selectExpr(
+            *kept,
+            "_row AS _pos",
+            f"_index + if({value} IS NULL, 0, _row - _pos) AS _index",
+        )
     )
 
 
@@ -183,12 +144,12 @@ def with_margins(
     grows with the margins, so at most two extra copies of a row are made.
     """
     size = max(block_rows, before, after)
-    at = F.col(position)
-    first = F.floor(F.greatest(at - after, F.lit(0)) / size).cast("long")
-    last = F.floor((at + before) / size).cast("long")
-    return rows.withColumn("_block", F.explode(F.sequence(first, last))).withColumn(
-        "_home", F.col("_block") == F.floor(at / size).cast("long")
-    )
+    return rows.selectExpr(
+        "*",
+        f"""explode(sequence(
+              cast(floor(greatest({position} - {after}, 0) / {size}) AS bigint),
+              cast(floor(({position} + {before}) / {size}) AS bigint))) AS _block""",
+    ).selectExpr("*", f"_block = floor({position} / {size}) AS _home")
 
 
 def home_rows(rows: DataFrame) -> DataFrame:

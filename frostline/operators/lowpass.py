@@ -2,14 +2,13 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from frostline.functions.values import ema_memory, ema_weight
 
 
 def _exponential_mean(
-    rows: DataFrame, value: str, index: Column, span: int, within: list[str], out: str
+    rows: DataFrame, value: str, index: str, span: int, within: list[str], out: str
 ) -> DataFrame:
     """One pass of y[i] = (1-a) y[i-1] + a x[i] along `index`, with y[0] = x[0].
 
@@ -19,32 +18,34 @@ def _exponential_mean(
     value, and anything older is below the last bit of a double.
     """
     weight = ema_weight(span)
-    log_keep = math.log1p(-weight)
+    log_keep = f"({math.log1p(-weight)!r}D)"
     stretch = ema_memory(span)
-
-    rows = rows.withColumns(
-        {
-            "_stretch": F.floor(index / stretch).cast("long"),
-            "_step": index % stretch,
-            "_input": F.when(index == 0, F.col(value)).otherwise(weight * F.col(value)),
-        }
-    )
+    group = ", ".join(within)
     so_far = (
-        Window.partitionBy(*within, "_stretch")
-        .orderBy("_step")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        f"PARTITION BY {group}, _stretch ORDER BY _step "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     )
-    previous = Window.partitionBy(*within).orderBy("_stretch").rangeBetween(-1, -1)
-    keep = F.exp(log_keep * F.col("_step"))
-    rows = rows.withColumn(
-        "_local", keep * F.sum(F.col("_input") / keep).over(so_far)
+    previous = (
+        f"PARTITION BY {group} ORDER BY _stretch RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING"
     )
-    present = F.col(value).isNotNull()
-    last = F.when(present & (F.col("_step") == stretch - 1), F.col("_local"))
-    carried = F.coalesce(F.sum(last).over(previous), F.lit(0.0))
-    mean = F.col("_local") + carried * F.exp(log_keep * (F.col("_step") + 1))
-    return rows.withColumn(out, F.when(present, mean)).drop(
-        "_stretch", "_step", "_input", "_local"
+    sample = f"CASE WHEN {index} = 0 THEN {value} ELSE {weight!r}D * {value} END"
+    last = f"CASE WHEN {value} IS NOT NULL AND _step = {stretch - 1} THEN _local END"
+    return (
+        rows.selectExpr(
+            "*",
+            f"floor({index} / {stretch}) AS _stretch",
+            f"{index} % {stretch} AS _step",
+        )
+        .selectExpr(
+            "*",
+            f"exp({log_keep} * _step) * "
+            f"sum({sample} / exp({log_keep} * _step)) OVER ({so_far}) AS _local",
+        )
+        .selectExpr(
+            *rows.columns,
+            f"CASE WHEN {value} IS NOT NULL THEN _local + exp({log_keep} * (_step + 1)) "
+            f"* coalesce(sum({last}) OVER ({previous}), 0D) END AS {out}",
+        )
     )
 
 
@@ -66,13 +67,14 @@ def low_pass(
     skipped and get a null result. `special` is the sum of the NaN and infinite
     readings of the series: one of them carries through to every row.
     """
-    rows = _exponential_mean(rows, value, F.col(index), span, within, "_forward")
-    backwards = F.col(length) - 1 - F.col(index)
+    kept = rows.columns
+    rows = _exponential_mean(rows, value, index, span, within, "_forward")
+    backwards = f"({length} - 1 - {index})"
     rows = _exponential_mean(rows, "_forward", backwards, span, within, "_both")
-    special_or_both = F.coalesce(F.col(special), F.col("_both"))
-    return rows.withColumn(
-        out, F.when(F.col(value).isNotNull(), special_or_both)
-    ).drop("_forward", "_both")
+    return rows.selectExpr(
+        *kept,
+        f"CASE WHEN {value} IS NOT NULL THEN coalesce({special}, _both) END AS {out}",
+    )
 
 
 def low_pass_reach(span: int) -> int:

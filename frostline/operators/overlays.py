@@ -1,9 +1,8 @@
 """Smoothed lines drawn over a series."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.functions.values import is_not_finite
 from frostline.operators.filters import wants
 from frostline.operators.long_series import (
     BLOCK_ROWS,
@@ -55,15 +54,13 @@ def _smooth_whole(rows, by, date, value, window, span) -> DataFrame:
     rows = _rolling(rows, value, window, [by], [date, value])
     if not wants(span):
         return rows.withColumn("lpf", F.lit(None).cast("double"))
-    series = Window.partitionBy(by)
-    so_far = series.orderBy(date, value).rowsBetween(Window.unboundedPreceding, 0)
-    not_finite = F.when(is_not_finite(F.col(value)), F.col(value))
-    rows = rows.withColumns(
-        {
-            "_index": F.count(value).over(so_far) - 1,
-            "_length": F.count(value).over(series),
-            "_special": F.sum(not_finite).over(series),
-        }
+    so_far = f"ORDER BY {date}, {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    not_finite = f"isnan({value}) OR abs({value}) = double('Infinity')"
+    rows = rows.selectExpr(
+        "*",
+        f"count({value}) OVER (PARTITION BY {by} {so_far}) - 1 AS _index",
+        f"count({value}) OVER (PARTITION BY {by}) AS _length",
+        f"sum(CASE WHEN {not_finite} THEN {value} END) OVER (PARTITION BY {by}) AS _special",
     )
     return low_pass(
         rows, value, span, [by], "_index", "_length", "_special", "lpf"

@@ -1,6 +1,6 @@
 """Least-squares polynomials per series."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.values import polynomial
@@ -17,16 +17,14 @@ def polynomial_coefficients(
     The coefficients are null where the series has no more than `degree` points
     or where its points are degenerate.
     """
-    series = Window.partitionBy(by)
-    centred = points.withColumn("_center", F.avg(x).over(series))
-    sums = _moments(x, y, degree)
-    rows = centred.groupBy(by).agg(
-        F.first("_center").alias("center"), *[c.alias(n) for n, c in sums.items()]
-    )
-    rows, names = _solve(rows, degree)
-    return rows.select(
-        by, "center", *[F.col(n).alias(f"c{k}") for k, n in enumerate(names)]
+    sums = [f"{text} AS {name}" for name, text in _moments(y, degree).items()]
+    rows = (
+        _centred(points, by, x)
+        .groupBy(by)
+        .agg(F.first("_center").alias("center"), *map(F.expr, sums))
     )
+    rows = _solve(rows, degree)
+    return rows.selectExpr(by, "center", *[f"_c{k} AS c{k}" for k in range(degree + 1)])
 
 
 def with_polynomial_fit(
@@ -37,64 +35,67 @@ def with_polynomial_fit(
     Only points whose x is not null take part. The sums are window aggregates
     over the series, so the fit needs one shuffle by series and no join.
     """
-    kept = points.columns
-    series = Window.partitionBy(by)
-    rows = points.withColumn("_center", F.avg(x).over(series))
-    sums = _moments(x, y, degree)
-    rows = rows.withColumns({n: c.over(series) for n, c in sums.items()})
-    rows, names = _solve(rows, degree)
-    fitted = polynomial([F.col(n) for n in names], F.col(x) - F.col("_center"))
-    return rows.select(*kept, fitted.alias(out))
+    sums = [
+        f"{text} OVER (PARTITION BY {by}) AS {name}"
+        for name, text in _moments(y, degree).items()
+    ]
+    rows = _solve(_centred(points, by, x).selectExpr("*", *sums), degree)
+    coefficients = [F.col(f"_c{k}") for k in range(degree + 1)]
+    return rows.select(*points.columns, polynomial(coefficients, F.col("_t")).alias(out))
+
+
+def _centred(points: DataFrame, by: str, x: str) -> DataFrame:
+    """Years near 2000 have huge powers; their distances from the mean do not."""
+    return points.selectExpr("*", f"avg({x}) OVER (PARTITION BY {by}) AS _center").selectExpr(
+        "*", f"{x} - _center AS _t"
+    )
 
 
-def _moments(x: str, y: str, degree: int) -> dict[str, Column]:
+def _moments(y: str, degree: int) -> dict[str, str]:
     """Sums of t^k for k up to 2*degree and of y t^k for k up to degree."""
-    t = F.col(x) - F.col("_center")
-
-    def power(k: int) -> Column:
-        result = F.when(F.col(x).isNotNull(), F.lit(1.0))
-        for _ in range(k):
-            result = result * t
-        return result
-
-    sums = {f"_t{k}": F.sum(power(k)) for k in range(2 * degree + 1)}
-    sums |= {f"_y{k}": F.sum(F.col(y) * power(k)) for k in range(degree + 1)}
+    powers = ["CASE WHEN _t IS NOT NULL THEN 1D END"]
+    powers += [" * ".join(["_t"] * k) for k in range(1, 2 * degree + 1)]
+    sums = {f"_t{k}": f"sum({power})" for k, power in enumerate(powers)}
+    sums |= {f"_y{k}": f"sum({y} * {powers[k]})" for k in range(degree + 1)}
     return sums
 
 
-def _solve(rows: DataFrame, degree: int) -> tuple[DataFrame, list[str]]:
+def _solve(rows: DataFrame, degree: int) -> DataFrame:
     """Solve the normal equations of each row by L D L^T elimination.
 
     Sums of powers of distinct points form a positive definite matrix, so no
     rows need to be exchanged. Each step adds columns that the next one reads.
     """
     size = degree + 1
-    matrix = {(i, j): F.col(f"_t{i + j}") for i in range(size) for j in range(i + 1)}
-    right = [F.col(f"_y{i}") for i in range(size)]
-    usable = F.col("_t0") >= size
+    matrix = {(i, j): f"_t{i + j}" for i in range(size) for j in range(i + 1)}
+    right = [f"_y{i}" for i in range(size)]
+    usable = f"_t0 >= {size}"
     for k in range(size):
         pivot = matrix[k, k]
-        usable = usable & ~(F.abs(pivot) < SINGULAR)
-        rows = rows.withColumn(f"_pivot{k}", F.when(usable, pivot))
-        usable = F.col(f"_pivot{k}").isNotNull()
+        rows = rows.selectExpr(
+            "*",
+            f"CASE WHEN {usable} AND NOT abs({pivot}) < {SINGULAR!r}D THEN {pivot} END "
+            f"AS _pivot{k}",
+        )
+        usable = f"_pivot{k} IS NOT NULL"
         below = range(k + 1, size)
-        rows = rows.withColumns(
-            {f"_d{k}": right[k] / F.col(f"_pivot{k}")}
-            | {f"_l{i}{k}": matrix[i, k] / F.col(f"_pivot{k}") for i in below}
+        rows = rows.selectExpr(
+            "*",
+            f"{right[k]} / _pivot{k} AS _d{k}",
+            *[f"{matrix[i, k]} / _pivot{k} AS _l{i}{k}" for i in below],
         )
-        reduced = {}
+        reduced = []
         for i in below:
-            factor = F.col(f"_l{i}{k}")
             for j in range(k + 1, i + 1):
-                reduced[f"_m{i}{j}_{k}"] = matrix[i, j] - factor * matrix[j, k]
-                matrix[i, j] = F.col(f"_m{i}{j}_{k}")
-            reduced[f"_r{i}_{k}"] = right[i] - factor * right[k]
-            right[i] = F.col(f"_r{i}_{k}")
-        rows = rows.withColumns(reduced)
-    names = [f"_c{k}" for k in range(size)]
+                reduced.append(
+                    f"{matrix[i, j]} - _l{i}{k} * {matrix[j, k]} AS _m{i}{j}_{k}"
+                )
+                matrix[i, j] = f"_m{i}{j}_{k}"
+            reduced.append(f"{right[i]} - _l{i}{k} * {right[k]} AS _r{i}_{k}")
+            right[i] = f"_r{i}_{k}"
+        if reduced:
+            rows = rows.selectExpr("*", *reduced)
     for k in reversed(range(size)):
-        value = F.col(f"_d{k}")
-        for i in range(k + 1, size):
-            value = value - F.col(f"_l{i}{k}") * F.col(names[i])
-        rows = rows.withColumn(names[k], value)
-    return rows, names
+        known = [f"_l{i}{k} * _c{i}" for i in range(k + 1, size)]
+        rows = rows.selectExpr("*", f"{' - '.join([f'_d{k}', *known])} AS _c{k}")
+    return rows

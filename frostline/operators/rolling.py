@@ -1,9 +1,6 @@
 """Centred rolling means over rows."""
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from frostline.functions.values import INF, NAN, is_not_finite
+from pyspark.sql import DataFrame
 
 # A sliding frame adds up all its rows for every row. Beyond this width,
 # running sums are subtracted instead, at a cost that does not depend on it.
@@ -30,48 +27,50 @@ def rolling_mean(
     Windows are cut off at the ends of the group. Nulls take up a row but are
     not averaged; with fewer than `min_rows` other values the result is null.
     """
-    by = Window.partitionBy(*within).orderBy(*order)
+    by = f"PARTITION BY {', '.join(within)} ORDER BY {', '.join(order)}"
     before, after = window_reach(window)
-    if window <= MAX_DIRECT_WINDOW:
-        frame = by.rowsBetween(-before, after)
-        mean = F.avg(value).over(frame)
-        if min_rows > 1:
-            mean = F.when(F.count(value).over(frame) >= min_rows, mean)
-        return rows.withColumn(out, mean)
-    return _by_running_sums(rows, value, by, before, after, out, min_rows)
+    if window > MAX_DIRECT_WINDOW:
+        return _by_running_sums(rows, value, by, before, after, out, min_rows)
+    frame = f"OVER ({by} ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+    mean = f"avg({value}) {frame}"
+    if min_rows > 1:
+        mean = f"CASE WHEN count({value}) {frame} >= {min_rows} THEN {mean} END"
+    return rows.selectExpr("*", f"{mean} AS {out}")
 
 
 def _by_running_sums(rows, value, by, before, after, out, min_rows) -> DataFrame:
-    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    v = F.col(value)
-    # NaN and infinities cannot be subtracted away again, so they are counted.
+    # NaN and infinities cannot be subtracted away again, so they are counted. No
+    # running sum may be null: null stands for a frame that ends with the group.
+    nan, inf, neg = (f"{value} = double('{v}')" for v in ("NaN", "Infinity", "-Infinity"))
     parts = {
-        "_sum": F.when(~is_not_finite(v), v).otherwise(0.0),
-        "_count": F.when(v.isNotNull(), 1).otherwise(0),
-        "_nan": F.when(F.isnan(v), 1).otherwise(0),
-        "_inf": F.when(v == F.lit(INF), 1).otherwise(0),
-        "_neg": F.when(v == F.lit(-INF), 1).otherwise(0),
+        "_sum": f"CASE WHEN NOT ({nan} OR {inf} OR {neg}) THEN {value} ELSE 0D END",
+        "_count": f"CASE WHEN {value} IS NOT NULL THEN 1 ELSE 0 END",
+        "_nan": f"CASE WHEN {nan} THEN 1 ELSE 0 END",
+        "_inf": f"CASE WHEN {inf} THEN 1 ELSE 0 END",
+        "_neg": f"CASE WHEN {neg} THEN 1 ELSE 0 END",
     }
-    rows = rows.withColumns(parts)
-    rows = rows.withColumns(
-        {f"{p}_run": F.sum(p).over(so_far) for p in parts}
-        | {f"{p}_all": F.sum(p).over(whole) for p in parts}
-    )
-
-    def in_frame(part: str) -> Column:
-        at_end = F.coalesce(F.lead(f"{part}_run", after).over(by), F.col(f"{part}_all"))
-        return at_end - F.coalesce(F.lag(f"{part}_run", before + 1).over(by), F.lit(0))
-
-    rows = rows.withColumns({f"{p}_in": in_frame(p) for p in parts})
-    nan, inf, neg = F.col("_nan_in") > 0, F.col("_inf_in") > 0, F.col("_neg_in") > 0
-    mean = F.when(
-        F.col("_count_in") >= max(min_rows, 1),
-        F.when(nan | (inf & neg), F.lit(NAN))
-        .when(inf, F.lit(INF))
-        .when(neg, F.lit(-INF))
-        .otherwise(F.col("_sum_in") / F.col("_count_in")),
+    run = f"({by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    whole = f"({by} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    in_frame = (
+        "coalesce(lead({p}_run, {after}) OVER ({by}), {p}_all)"
+        " - coalesce(lag({p}_run, {before}) OVER ({by}), 0) AS {p}"
     )
-    return rows.withColumn(out, mean).drop(
-        *(p + tail for p in parts for tail in ("", "_run", "_all", "_in"))
+    return (
+        rows.selectExpr(
+            "*",
+            *[f"sum({text}) OVER {run} AS {p}_run" for p, text in parts.items()],
+            *[f"sum({text}) OVER {whole} AS {p}_all" for p, text in parts.items()],
+        )
+        .selectExpr(
+            *rows.columns,
+            *[in_frame.format(p=p, by=by, after=after, before=before + 1) for p in parts],
+        )
+        .selectExpr(
+            *rows.columns,
+            f"""CASE WHEN _count < {max(min_rows, 1)} THEN NULL
+                  WHEN _nan > 0 OR (_inf > 0 AND _neg > 0) THEN double('NaN')
+                  WHEN _inf > 0 THEN double('Infinity')
+                  WHEN _neg > 0 THEN double('-Infinity')
+                  ELSE _sum / _count END AS {out}""",
+        )
     )

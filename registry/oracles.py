@@ -192,7 +192,7 @@ ORACLES: dict[str, str] = {
     ),
     "combine_report": with_observations(
         """SELECT count(*) AS reported_rows,
-             'date,datatype,station,value' AS columns, count(*) AS written_rows
+             'datatype,date,station,value' AS columns, count(*) AS written_rows
            FROM observations"""
     ),
     "ingest_pages": with_observations(

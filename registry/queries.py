@@ -14,12 +14,13 @@ from frostline.functions.dates import calendar_day, ordinal_day, water_year
 from frostline.operators.nesting import nest_series
 from frostline.operators.pairing import paired_days
 from frostline.operators.polyfit import polynomial_coefficients
-from frostline.plans.ingest import combine_csv, missing_years, unfinished_pages
+from frostline.plans.ingest import combine, combine_csv, missing_years, unfinished_pages
 from frostline.sources.files import read_observations, write_csv
 from frostline.sources.pages import page_index, page_observations, read_pages
 from frostline.sources.shared import shared_path
 from registry.observations import observations
 
+Report = Callable[[DataFrame], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 
 CORVALLIS = "GHCND:USC00351862"
@@ -38,8 +39,8 @@ def rounded(result: DataFrame) -> DataFrame:
     )
 
 
-def on_observations(query: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: rounded(query(observations(spark, sf_dir)))
+def on_observations(report: Report) -> Query:
+    return lambda spark, sf_dir: rounded(report(observations(spark, sf_dir)))
 
 
 def climate_trend_365(obs: DataFrame) -> DataFrame:
@@ -90,26 +91,26 @@ def points_of_nested_series(obs: DataFrame) -> DataFrame:
     )
 
 
-def combine_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def combine_csv_roundtrip(obs: DataFrame) -> DataFrame:
+    spark = obs.sparkSession
     raw, combined = shared_path(spark, "csv"), shared_path(spark, "combined")
-    write_csv(observations(spark, sf_dir), raw)
+    write_csv(obs, raw)
     combine_csv(spark, raw, combined)
     return read_observations(spark, combined)
 
 
-def combine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def combine_report(obs: DataFrame) -> DataFrame:
     """Rows and columns reported by the load, beside what was really written."""
-    raw, combined = shared_path(spark, "csv"), shared_path(spark, "combined")
-    write_csv(observations(spark, sf_dir), raw)
-    report = combine_csv(spark, raw, combined)
+    spark = obs.sparkSession
+    report = combine(obs, shared_path(spark, "combined"))
     return read_observations(spark, report.path).agg(
         F.lit(report.rows).cast("long").alias("reported_rows"),
-        F.lit(",".join(report.columns)).alias("columns"),
+        F.lit(",".join(sorted(report.columns))).alias("columns"),
         F.count(F.lit(1)).alias("written_rows"),
     )
 
 
-def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landed_pages(obs: DataFrame) -> DataFrame:
     """The observations as API pages in JSON files, read back.
 
     A station has at most one reading per day and datatype here, so the calendar
@@ -119,10 +120,9 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct(
         F.concat("date", F.lit("T00:00:00")).alias("date"), "datatype", "station", "value"
     )
-    path = shared_path(spark, "pages")
+    path = shared_path(obs.sparkSession, "pages")
     (
-        observations(spark, sf_dir)
-        .withColumn("year", F.substring("date", 1, 4).cast("int"))
+        obs.withColumn("year", F.substring("date", 1, 4).cast("int"))
         .withColumn("_page", F.floor((F.row_number().over(request) - 1) / PAGE_ROWS))
         .groupBy(
             "station", "year", (F.col("_page") * PAGE_ROWS + 1).cast("int").alias("offset")
@@ -130,59 +130,48 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.collect_list(record).alias("results"))
         .write.json(path)
     )
-    return read_pages(spark, path)
-
-
-def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_observations(landed_pages(spark, sf_dir))
-
-
-def ingest_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = page_index(landed_pages(spark, sf_dir))
-    return unfinished_pages(pages, PAGE_ROWS)
-
-
-QUERIES: dict[str, Query] = {
-    "observations": observations,
-    "stations": on_observations(fl.stations),
-    "datatypes": on_observations(fl.datatypes),
-    "series_tmax": on_observations(lambda o: fl.series(o, "TMAX")),
-    "series_one_station": on_observations(lambda o: fl.series(o, "TMIN", CORVALLIS)),
-    "series_rolling_30": on_observations(lambda o: fl.series(o, "TMAX", window=30)),
-    "series_rolling_31": on_observations(lambda o: fl.series(o, "TMAX", window=31)),
-    "series_rolling_365": on_observations(lambda o: fl.series(o, "PRCP", window=365)),
-    "series_lowpass_30": on_observations(lambda o: fl.series(o, "TMAX", low_pass=30)),
-    "series_both_overlays": on_observations(
-        lambda o: fl.series(o, "TMAX", window=31, low_pass=90)
+    return read_pages(obs.sparkSession, path)
+
+
+# Every report over a table of observations.
+REPORTS: dict[str, Report] = {
+    "observations": lambda o: o,
+    "stations": fl.stations,
+    "datatypes": fl.datatypes,
+    "series_tmax": lambda o: fl.series(o, "TMAX"),
+    "series_one_station": lambda o: fl.series(o, "TMIN", CORVALLIS),
+    "series_rolling_30": lambda o: fl.series(o, "TMAX", window=30),
+    "series_rolling_31": lambda o: fl.series(o, "TMAX", window=31),
+    "series_rolling_365": lambda o: fl.series(o, "PRCP", window=365),
+    "series_lowpass_30": lambda o: fl.series(o, "TMAX", low_pass=30),
+    "series_both_overlays": lambda o: fl.series(o, "TMAX", window=31, low_pass=90),
+    # a low limit, so that stations are cut into blocks on this small table too
+    "series_blocks": lambda o: fl.series(
+        o, "TMAX", window=31, low_pass=30, max_rows=100, block_rows=250
     ),
-    "series_blocks": on_observations(
-        lambda o: fl.series(
-            o, "TMAX", window=31, low_pass=30, max_rows=100, block_rows=250
-        )
-    ),
-    "tmax_tmin_days": on_observations(paired_days),
-    "mean_temp_monthly": on_observations(lambda o: fl.mean_temp_trend(o, "monthly")),
-    "mean_temp_yearly": on_observations(lambda o: fl.mean_temp_trend(o, "yearly")),
-    "mean_temp_one_station": on_observations(
-        lambda o: fl.mean_temp_trend(o, "monthly", CORVALLIS)
-    ),
-    "mean_temp_monthly_smoothed": on_observations(
-        lambda o: fl.mean_temp_trend(o, "monthly", window=12, low_pass=6)
+    "series_nested": points_of_nested_series,
+    "tmax_tmin_days": paired_days,
+    "mean_temp_monthly": lambda o: fl.mean_temp_trend(o, "monthly"),
+    "mean_temp_yearly": lambda o: fl.mean_temp_trend(o, "yearly"),
+    "mean_temp_one_station": lambda o: fl.mean_temp_trend(o, "monthly", CORVALLIS),
+    "mean_temp_monthly_smoothed": lambda o: fl.mean_temp_trend(
+        o, "monthly", window=12, low_pass=6
     ),
-    "hot_days_85": on_observations(
-        lambda o: fl.hot_days_per_year(o, 85.0).drop("fit")
-    ),
-    "hot_days_fit_85": on_observations(lambda o: fl.hot_days_per_year(o, 85.0)),
-    "growing_season": on_observations(lambda o: fl.growing_season(o).drop("fit")),
-    "growing_season_fit": on_observations(fl.growing_season),
-    "season_line": on_observations(season_line),
-    "climate_trend_365": on_observations(climate_trend_365),
-    "water_year_precip": on_observations(fl.water_year_totals),
-    "calendar_days": on_observations(calendar_days),
-    "series_nested": on_observations(points_of_nested_series),
+    "hot_days_85": lambda o: fl.hot_days_per_year(o, 85.0).drop("fit"),
+    "hot_days_fit_85": lambda o: fl.hot_days_per_year(o, 85.0),
+    "growing_season": lambda o: fl.growing_season(o).drop("fit"),
+    "growing_season_fit": fl.growing_season,
+    "season_line": season_line,
+    "climate_trend_365": climate_trend_365,
+    "water_year_precip": fl.water_year_totals,
+    "calendar_days": calendar_days,
     "combine_csv_roundtrip": combine_csv_roundtrip,
     "combine_report": combine_report,
-    "ingest_pages": ingest_pages,
-    "ingest_gaps": on_observations(missing_station_years),
-    "ingest_unfinished": ingest_unfinished,
+    "ingest_pages": lambda o: page_observations(landed_pages(o)),
+    "ingest_gaps": missing_station_years,
+    "ingest_unfinished": lambda o: unfinished_pages(
+        page_index(landed_pages(o)), PAGE_ROWS
+    ),
 }
+
+QUERIES: dict[str, Query] = {n: on_observations(r) for n, r in REPORTS.items()}
