@@ -3,9 +3,9 @@
 A window partitioned by station sorts the whole station in one task. That is
 the cheapest plan while stations are short, and the wrong one for a station
 that holds a large share of all rows. `split_by_length` separates the two
-kinds; `number_rows`, `expand_copies` and `with_margins` then cut a long series
-into overlapping blocks of consecutive rows, so that a window partitioned by
-(station, block) sees every row it needs and no task sees more than a block.
+kinds; `number_rows` and `into_blocks` then cut a long series into overlapping
+blocks of consecutive rows, so that a window partitioned by (station, block)
+sees every row it needs and no task sees more than a block.
 """
 
 from pyspark.sql import DataFrame
@@ -108,50 +108,48 @@ def number_rows(
     )
 
 
-def expand_copies(
-    readings: DataFrame, by: str, value: str, block_rows: int = BLOCK_ROWS
+def into_blocks(
+    readings: DataFrame,
+    by: str,
+    value: str,
+    start: str = "_pos",
+    before: int = 0,
+    after: int = 0,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Undo the folding of copies, at most `block_rows` of them per task group."""
-    kept = [c for c in readings.columns if c not in ("_n", "_pos", "_index")]
-    size = block_rows
+    """Unfold numbered readings into rows, shuffled by (series, block).
+
+    Rows are cut into blocks by the numbering `start`, `_pos` or `_index`. Block b
+    also gets the rows from `before` rows ahead of it to `after` rows behind it,
+    so its windows are complete; `_home` is true for the one copy of a row that
+    carries its result. The size of a block grows with these margins, so a row is
+    repeated twice at most. A reading with many copies is first cut at the borders
+    of blocks and unfolded after the shuffle.
+    """
+    size = max(block_rows, before, after)
+    numbers = ("_n", "_pos", "_index")
+    kept = [c for c in readings.columns if c not in numbers]
+    first_block = f"floor(greatest({start} - {after}, 0) / {size})"
+    last_block = f"floor(({start} + _n - 1 + {before}) / {size})"
+    first_copy = f"greatest(0, _block * {size} - {before} - {start})"
+    last_copy = f"least(_n, (_block + 1) * {size} + {after} - {start}) - 1"
     return (
         readings.selectExpr(
-            "*",
-            f"""explode(sequence(cast(floor(_pos / {size}) AS bigint),
-                  cast(floor((_pos + _n - 1) / {size}) AS bigint))) AS _block""",
+            "*", f"explode(sequence({first_block}, {last_block})) AS _block"
         )
         .repartition(by, "_block")
-        .selectExpr(
-            "*",
-            f"""explode(sequence(greatest(_pos, _block * {size}),
-                  least(_pos + _n, (_block + 1) * {size}) - 1)) AS _row""",
-        )
+        .selectExpr("*", f"explode(sequence({first_copy}, {last_copy})) AS _copy")
         .selectExpr(
             *kept,
-            "_row AS _pos",
-            f"_index + if({value} IS NULL, 0, _row - _pos) AS _index",
+            "1L AS _n",
+            "_pos + _copy AS _pos",
+            f"_index + if({value} IS NULL, 0, _copy) AS _index",
+            "_block",
+            f"_block = floor(({start} + _copy) / {size}) AS _home",
         )
     )
 
 
-def with_margins(
-    rows: DataFrame, position: str, before: int, after: int, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Assign rows to blocks, repeating those a neighbouring block also needs.
-
-    Block b gets the rows at positions [b * size - before, (b+1) * size + after).
-    `_home` is true for the one copy of a row that carries its result. The size
-    grows with the margins, so at most two extra copies of a row are made.
-    """
-    size = max(block_rows, before, after)
-    return rows.selectExpr(
-        "*",
-        f"""explode(sequence(
-              cast(floor(greatest({position} - {after}, 0) / {size}) AS bigint),
-              cast(floor(({position} + {before}) / {size}) AS bigint))) AS _block""",
-    ).selectExpr("*", f"_block = floor({position} / {size}) AS _home")
-
-
 def home_rows(rows: DataFrame) -> DataFrame:
     """Drop the margins again."""
     return rows.where("_home").drop("_block", "_home")

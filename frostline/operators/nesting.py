@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from frostline.functions.values import NAN
 from frostline.operators.long_series import (
-    expand_copies,
+    into_blocks,
     number_rows,
     split_by_length,
 )
@@ -23,17 +23,12 @@ def nest_series(rows: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
     """
     rows = rows.select("station_id", "date", "value", "avg", "lpf", "station_name")
     short, long = split_by_length(rows, "station_id", max_points)
-    numbered = expand_copies(
-        number_rows(
-            long, "station_id", "date", "value", ("avg", "lpf", "station_name")
-        ),
-        "station_id",
-        "value",
-        max_points,
+    numbered = number_rows(
+        long, "station_id", "date", "value", ("avg", "lpf", "station_name")
     )
-    chunk = F.floor(F.col("_pos") / max_points).cast("int")
+    blocks = into_blocks(numbered, "station_id", "value", block_rows=max_points)
     chunked = short.withColumn("chunk", F.lit(0)).unionByName(
-        numbered.select(*rows.columns, chunk.alias("chunk"))
+        blocks.select(*rows.columns, F.col("_block").cast("int").alias("chunk"))
     )
     point = F.struct(
         "date", F.coalesce("value", F.lit(NAN)).alias("value"), "avg", "lpf"

@@ -7,16 +7,15 @@ from frostline.operators.filters import wants
 from frostline.operators.long_series import (
     BLOCK_ROWS,
     SERIES_ROWS,
-    expand_copies,
     home_rows,
+    into_blocks,
     number_rows,
     split_by_length,
-    with_margins,
 )
 from frostline.operators.lowpass import low_pass, low_pass_reach
 from frostline.operators.rolling import rolling_mean, window_reach
 
-_HELPERS = ("_pos", "_index", "_length", "_special")
+_HELPERS = ("_n", "_pos", "_index", "_length", "_special")
 
 
 def with_overlays(
@@ -68,27 +67,27 @@ def _smooth_whole(rows, by, date, value, window, span) -> DataFrame:
 
 
 def _smooth_blocks(rows, by, date, value, window, span, block_rows) -> DataFrame:
-    rows = expand_copies(number_rows(rows, by, date, value), by, value, block_rows)
+    none = F.lit(None).cast("double")
     block = [by, "_block"]
+    rows = number_rows(rows, by, date, value)
     if wants(window):
         before, after = window_reach(window)
-        rows = with_margins(rows, "_pos", before, after, block_rows)
+        rows = into_blocks(rows, by, value, "_pos", before, after, block_rows)
         rows = home_rows(_rolling(rows, value, window, block, ["_pos"]))
     else:
-        rows = _rolling(rows, value, window, block, ["_pos"])
+        rows = rows.withColumn("avg", none)
     if not wants(span):
-        return rows.withColumn("lpf", F.lit(None).cast("double")).drop(*_HELPERS)
-    # Null readings take no part, and many of them may share one index.
-    present = rows.where(F.col(value).isNotNull())
-    absent = rows.where(F.col(value).isNull())
+        return rows.withColumn("lpf", none).drop(*_HELPERS)
     reach = low_pass_reach(span)
-    present = with_margins(present, "_index", reach, reach, block_rows)
+    present = rows.where(F.col(value).isNotNull())
+    present = into_blocks(present, by, value, "_index", reach, reach, block_rows)
     present = home_rows(
         low_pass(present, value, span, block, "_index", "_length", "_special", "lpf")
     )
-    return present.unionByName(
-        absent.withColumn("lpf", F.lit(None).cast("double"))
-    ).drop(*_HELPERS)
+    # Null readings take no part, and many of them may share one index.
+    absent = rows.where(F.col(value).isNull()).withColumn("lpf", none)
+    absent = home_rows(into_blocks(absent, by, value, "_pos", block_rows=block_rows))
+    return present.unionByName(absent).drop(*_HELPERS)
 
 
 def _rolling(rows, value, window, within, order) -> DataFrame:

@@ -19,11 +19,10 @@ from frostline.operators.filters import above, at_or_below, of_datatype, of_stat
 from frostline.operators.long_series import (
     BLOCK_ROWS,
     SERIES_ROWS,
-    expand_copies,
     home_rows,
+    into_blocks,
     number_rows,
     split_by_length,
-    with_margins,
 )
 from frostline.operators.names import Names, with_station_name
 from frostline.operators.overlays import with_overlays
@@ -232,13 +231,7 @@ def climate_trend(
     )
     long = _with_anomaly(long.join(means, ["station_id", "day_of_year"], "left"))
     before, after = window_reach(window)
-    long = with_margins(
-        expand_copies(long, "station_id", "value", block_rows),
-        "_pos",
-        before,
-        after,
-        block_rows,
-    )
+    long = into_blocks(long, "station_id", "value", "_pos", before, after, block_rows)
     long = home_rows(
         rolling_mean(
             long,
