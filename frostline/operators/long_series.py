@@ -64,7 +64,9 @@ def number_rows(
     reading = ", ".join([by, date, value, *extra])
     order = ", ".join([value, *extra])
     counts = "sum(_n) AS _n, sum(_m) AS _m, sum(_special) AS _special"
-    # _band orders values by their unit, as Spark sorts them: nulls first, NaN last
+    # _band orders values by their unit, as Spark sorts them: nulls first, NaN last.
+    # Every row finds its match; left joins infer no extra filters, so the three
+    # uses of `readings` stay alike and share one shuffle.
     return rows.sparkSession.sql(
         f"""
         WITH readings AS (
@@ -93,14 +95,14 @@ def number_rows(
             _n_month + coalesce(sum(_n) OVER earlier, 0) AS _n_band,
             _m_month + coalesce(sum(_m) OVER earlier, 0) AS _m_band,
             _length, m._special
-          FROM bands b JOIN month_starts m USING ({by}, _month)
+          FROM bands b LEFT JOIN month_starts m USING ({by}, _month)
           WINDOW earlier AS (PARTITION BY {by}, _month ORDER BY {date}, _band
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT {reading}, _n,
           _n_band + coalesce(sum(_n) OVER earlier, 0) AS _pos,
           _m_band + coalesce(sum(_m) OVER earlier, 0) AS _index,
           _length, b._special
-        FROM readings r JOIN band_starts b USING ({by}, {date}, _band)
+        FROM readings r LEFT JOIN band_starts b USING ({by}, {date}, _band)
         WINDOW earlier AS (PARTITION BY {by}, {date}, _band ORDER BY {order}
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         """,
