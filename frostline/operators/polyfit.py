@@ -1,4 +1,8 @@
-"""Least-squares polynomials per series."""
+"""Least-squares polynomials per series.
+
+Points are report rows, one per year or other period of a station, so the
+calendar bounds a series and a window may gather it.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

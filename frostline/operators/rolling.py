@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 
 # A sliding frame adds up all its rows for every row. Beyond this width,
 # running sums are subtracted instead, at a cost that does not depend on it.
-MAX_DIRECT_WINDOW = 100
+MAX_DIRECT_WINDOW = 50
 _MAX_OFFSET = 2**31 - 2
 
 

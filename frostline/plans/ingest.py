@@ -1,13 +1,16 @@
 """From raw files to the combined table, and what is missing in it."""
 
+import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.schema import FULL_PAGE
 from frostline.sources.files import read_csv, write_observations
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class LoadReport:
@@ -17,11 +20,9 @@ class LoadReport:
 
 
 def combine(observations: DataFrame, path: str) -> LoadReport:
-    """Write the combined table; rows are counted while they are written."""
-    seen = Observation("combine")
-    counted = observations.observe(seen, F.count(F.lit(1)).alias("rows"))
-    write_observations(counted, path)
-    return LoadReport(seen.get["rows"], observations.columns, path)
+    """Write the combined table and report what was written."""
+    rows = write_observations(observations, path)
+    return LoadReport(rows, observations.columns, path)
 
 
 def combine_csv(spark: SparkSession, folder: str, path: str) -> LoadReport | None:
@@ -31,7 +32,12 @@ def combine_csv(spark: SparkSession, folder: str, path: str) -> LoadReport | Non
     writes nothing and gives None.
     """
     observations = read_csv(spark, folder)
-    return None if observations is None else combine(observations, path)
+    if observations is None:
+        log.warning("no CSV files in %s", folder)
+        return None
+    report = combine(observations, path)
+    log.info("%d rows of %s in %s", report.rows, report.columns, report.path)
+    return report
 
 
 def missing_years(

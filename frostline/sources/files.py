@@ -1,7 +1,8 @@
 """Tidy CSV and Parquet files of observations."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from frostline.schema import OBSERVATION
 
@@ -46,22 +47,29 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OBSERVATION).parquet(path)
 
 
-def write_observations(observations: DataFrame, path: str) -> None:
+def write_observations(observations: DataFrame, path: str) -> int:
     """Replace the combined Parquet table, one folder per datatype.
 
     Every query but the two listings reads one or two datatypes, and finds them
     in their folders. `rebalance` gathers a datatype with one shuffle while
     adaptive execution cuts large ones into files of the advisory size; within
     a file rows are sorted, so a filter on the station skips row groups.
+
+    Gives the number of rows, counted while they are written. They are counted
+    behind the shuffle, because adaptive execution drops what comes before an
+    empty one.
     """
+    written = Observation()
     (
         observations.select(*OBSERVATION.fieldNames())
         .hint("rebalance", "datatype")
+        .observe(written, F.count(F.lit(1)).alias("rows"))
         .sortWithinPartitions("datatype", "station", "date")
         .write.mode("overwrite")
         .partitionBy("datatype")
         .parquet(path)
     )
+    return written.get["rows"]
 
 
 def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -49,6 +49,14 @@ def test_no_csv_files_is_not_an_error(spark, tmp_path):
     assert not (tmp_path / "out").exists()
 
 
+def test_a_header_without_rows_makes_an_empty_table(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("date,datatype,station,value\n")
+    report = fl.combine_csv(spark, str(tmp_path), str(tmp_path / "out"))
+    assert report.rows == 0
+    found = read_observations(spark, report.path)
+    assert found.count() == 0 and fl.datatypes(found).count() == 0
+
+
 def test_bad_values_and_headers_stop_the_read(spark, tmp_path):
     (tmp_path / "one.csv").write_text("date,datatype,station,value\n2000-01-01,TMAX,a,x\n")
     with pytest.raises(Exception, match="MALFORMED|malformed"):
@@ -75,7 +83,7 @@ def test_csv_without_rows_is_not_written(spark, tmp_path):
 
 def test_combined_table_replaces_the_old_one(spark, tmp_path):
     path = str(tmp_path / "all")
-    write_observations(from_rows(spark, ROWS[:1]), path)
+    assert write_observations(from_rows(spark, ROWS[:1]), path) == 1
     report = combine(from_rows(spark, ROWS), path)
     assert (report.rows, report.columns) == (5, OBSERVATION.fieldNames())
     found = read_observations(spark, path)
