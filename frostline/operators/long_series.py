@@ -52,7 +52,9 @@ def number_rows(
     Copies of a row are folded first. Counts are then accumulated over three
     nested levels - months of the series, readings of a month by date and unit
     of value, and the readings within one unit - so no window spans more than
-    one such level. Neither `by` nor `date` may be null.
+    one such level. Neither `by` nor `date` may be null, and `value` has to be read
+    rather than computed: were a sum to come out differently in a second try of a
+    lost task, its unit might change, and the job would stop instead of losing rows.
 
     One row per distinct reading comes back, with
       _n        its number of copies,
@@ -99,7 +101,8 @@ def number_rows(
           WINDOW earlier AS (PARTITION BY {by}, _month ORDER BY {date}, _band
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT {reading}, _n,
-          _n_band + coalesce(sum(_n) OVER earlier, 0) AS _pos,
+          coalesce(_n_band, raise_error('a reading changed while it was numbered'))
+            + coalesce(sum(_n) OVER earlier, 0) AS _pos,
           _m_band + coalesce(sum(_m) OVER earlier, 0) AS _index,
           _length, b._special
         FROM readings r LEFT JOIN band_starts b USING ({by}, {date}, _band)

@@ -14,25 +14,33 @@ from frostline.operators.long_series import (
 MAX_POINTS = 100_000
 
 
-def nest_series(rows: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
+def nest_series(rows: DataFrame, max_points: int | None = MAX_POINTS) -> DataFrame:
     """Pack long-form rows into one row per station with sorted `points`.
 
     A point is (date, value, avg, lpf), with NaN for a null value. A series of
     more than `max_points` rows is packed into several rows, numbered by
-    `chunk`, so that no array grows with the data.
+    `chunk`, so that no array grows with the data. `max_points=None` is for
+    reports with one row per month or year, whose length the calendar bounds.
     """
-    rows = rows.select("station_id", "date", "value", "avg", "lpf", "station_name")
+    rows = rows.select("station_id", "station_name", "date", "value", "avg", "lpf")
+    if max_points is None:
+        return _pack(rows.withColumn("chunk", F.lit(0)))
     short, long = split_by_length(rows, "station_id", max_points)
     numbered = number_rows(
         long, "station_id", "date", "value", ("avg", "lpf", "station_name")
     )
     blocks = into_blocks(numbered, "station_id", "value", block_rows=max_points)
-    chunked = short.withColumn("chunk", F.lit(0)).unionByName(
-        blocks.select(*rows.columns, F.col("_block").cast("int").alias("chunk"))
+    return _pack(
+        short.withColumn("chunk", F.lit(0)).unionByName(
+            blocks.select(*rows.columns, F.col("_block").cast("int").alias("chunk"))
+        )
     )
+
+
+def _pack(rows: DataFrame) -> DataFrame:
     point = F.struct(
         "date", F.coalesce("value", F.lit(NAN)).alias("value"), "avg", "lpf"
     )
-    return chunked.groupBy("station_id", "station_name", "chunk").agg(
+    return rows.groupBy("station_id", "station_name", "chunk").agg(
         F.sort_array(F.collect_list(point)).alias("points")
     )

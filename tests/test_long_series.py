@@ -1,0 +1,67 @@
+"""Numbering and cutting of long series."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from frostline.operators.long_series import (
+    home_rows,
+    into_blocks,
+    number_rows,
+    split_by_length,
+)
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = random.Random(11)
+    values = [None, NAN, INF, -INF, -0.25, 0.25, 0.5, 7.0, 7.75, 1e300, -1e300]
+    data = [
+        (s, f"19{rng.randint(90, 92)}-0{rng.randint(1, 3)}-1{rng.randint(0, 4)}", rng.choice(values))
+        for s in ("a", "b")
+        for _ in range(700)
+    ]
+    # a third of all rows are copies of one reading
+    data += [("a", "1991-02-12", 7.0)] * 700 + [("a", "text", 1.0), ("a", "", None)]
+    return spark.createDataFrame(data, "s string, d string, v double").repartition(6).cache()
+
+
+def test_series_are_split_by_length(rows):
+    short, long = split_by_length(rows, "s", 1000)
+    assert {r.s for r in short.collect()} == {"b"}
+    assert {r.s for r in long.collect()} == {"a"}
+    assert short.count() + long.count() == rows.count()
+
+
+def test_every_row_gets_its_place(rows):
+    unfolded = home_rows(into_blocks(number_rows(rows, "s", "d", "v"), "s", "v"))
+    for s in ("a", "b"):
+        placed = unfolded.where(F.col("s") == s).orderBy("_pos").collect()
+        want = rows.where(F.col("s") == s).orderBy("d", "v").collect()
+        assert [r._pos for r in placed] == list(range(len(want)))
+        assert [repr((r.d, r.v)) for r in placed] == [repr((r.d, r.v)) for r in want]
+        present = [r._index for r in placed if r.v is not None]
+        assert present == list(range(len(present)))
+        assert {r._length for r in placed} == {len(present)}
+        assert all(r._special != r._special for r in placed)  # NaN
+
+
+@pytest.mark.parametrize("before, after, size", [(0, 0, 100), (7, 6, 100), (150, 20, 100)])
+def test_blocks_hold_their_margins_and_no_more(rows, before, after, size):
+    numbered = number_rows(rows, "s", "d", "v")
+    blocks = into_blocks(numbered, "s", "v", "_pos", before, after, size)
+    length = max(size, before, after)
+    found = {}
+    for r in blocks.collect():
+        found.setdefault((r.s, r._block), []).append((r._pos, r._home))
+    totals = {s: rows.where(F.col("s") == s).count() for s in ("a", "b")}
+    for (s, b), held in found.items():
+        first, last = b * length - before, (b + 1) * length + after
+        want = [p for p in range(max(first, 0), min(last, totals[s]))]
+        assert sorted(p for p, _ in held) == want
+        assert all(home == (p // length == b) for p, home in held)
+        assert len(held) <= length + before + after
+    assert home_rows(blocks).count() == rows.count()

@@ -236,3 +236,9 @@ def test_nested_series(spark, small, max_points):
     assert str(first.value) == "nan" and second.value == 3.0
     if max_points == 1000:
         assert [r.chunk for r in nested] == [0, 0]
+
+
+def test_nested_months_are_one_row(spark, small):
+    nested = nest_series(fl.mean_temp_trend(small, "monthly"), None)
+    points = {r.station_name: [p.date for p in r.points] for r in nested.collect()}
+    assert points == {"Corvallis": ["2000-01"], "Eugene": ["2000-01", "2000-02"]}
