@@ -1,0 +1,151 @@
+"""Groups of near copies: SimHash distances in bit planes, then similarity of shingle sets."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from frostline.llm.bitsliced_simhash import _majority, close_pairs, shingles
+from frostline.llm.components import components
+from frostline.llm.workspace import map_rows, saved, text_rows, utf8
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(h: np.ndarray, seed: int) -> np.ndarray:
+    h = (h ^ np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64))) * _ODD
+    return h ^ (h >> np.uint64(32))
+
+
+def _sets(b: pa.RecordBatch, key: tuple[str, ...], words: int, tables: int, size: int):
+    ids, fps, keys, sketches = [], [], [], []
+    for data in utf8(b.column("text")):
+        found = shingles(data or b"", words)
+        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
+        fps.append(_majority(h) if len(h) else 0)
+        h = np.unique(h)
+        ids.append(xxhash.xxh64_intdigest(h.tobytes()))
+        keys.append([int(_mix(h, t + 1).min()) if len(h) else 0 for t in range(tables)])
+        low = (np.partition(h, size)[:size] if len(h) > size else h) >> np.uint64(32)
+        sketches.append(np.sort(low).astype("<u4").tobytes())
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+    keys = np.array(keys, np.uint64).reshape(-1, tables).view(np.int64)
+    return pa.record_batch(
+        [
+            *[b.column(c) for c in key],
+            signed(ids),
+            signed(fps),
+            pa.array(keys.tolist(), pa.list_(pa.int64())),
+            pa.array(sketches, pa.binary()),
+        ],
+        [*key, "id", "fp", "keys", "sketch"],
+    )
+
+
+def _similar(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity of two sets from the least hashes of each; of sets that fit into
+    a sketch together, it is exact."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if len(x) >= size or len(y) >= size:
+        union = union[:size]
+    if not len(union):
+        return 1.0
+    both = np.intersect1d(x, y, assume_unique=False)
+    return np.isin(union, both, assume_unique=True).sum() / len(union)
+
+
+def _block(ids, fps, sketches, radius, similarity, size):
+    """Links (u, v) between the sets of a block that are near copies; a pair whose sets
+    are linked through others already is not looked at again."""
+    label = np.arange(len(ids))
+    u, v = [], []
+
+    def root(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for i, j in close_pairs(fps, radius):
+        for a, b in zip(i.tolist(), j.tolist()):
+            ra, rb = root(a), root(b)
+            if ra != rb and _similar(sketches[a], sketches[b], size) >= similarity:
+                label[max(ra, rb)] = min(ra, rb)
+                u.append(ids[a])
+                v.append(ids[b])
+    return u, v
+
+
+def near_copy_groups(
+    docs: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    radius: int = 16,
+    tables: int = 6,
+    size: int = 256,
+    block: int = 4096,
+    key: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """The key columns and `id`, a number shared by near copies, of every row.
+
+    Texts are near copies if their sets of word shingles (A-Z in lower case) are at least
+    `similarity` alike, directly or through others. Texts with equal sets are folded
+    first. Sets that agree in one of `tables` min-hashes share a block; a block is
+    compared by SimHash in bit planes, and what lies within `radius` bits by the `size`
+    least hashes of both sets. Two sets of similarity s meet in no block with probability
+    (1 - s)^tables: 0.00006 at 0.8. A block of over `block` sets is cut, and every pair of
+    cuts compared, so no pair is lost and no task holds more than two cuts. Null texts and
+    texts without words have the empty set.
+    """
+    rows = text_rows(docs, *key, "text")
+    kept = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key]
+    schema = ", ".join([*kept, "id long, fp long, keys array<long>, sketch binary"])
+    rows = saved(map_rows(rows, lambda b: _sets(b, key, words, tables, size), schema), "sets")
+    sets = rows.groupBy("id").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "sketch")])
+    met = sets.select("id", F.posexplode("keys").alias("t", "key"))
+    met = saved(met, "met")
+    sizes = met.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cuts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), cuts).cast("int")
+    pair = F.transform(
+        F.sequence(F.lit(0), cuts - 1),
+        lambda d: F.struct(F.least(own, d).alias("a"), F.greatest(own, d).alias("b")),
+    )
+    placed = met.join(sizes, ["t", "key"]).select("id", "t", "key", F.explode(pair).alias("cut"))
+    blocks = (
+        placed.join(sets, "id")
+        .groupBy("t", "key", "cut")
+        .agg(F.collect_list(F.struct("id", "fp", "sketch")).alias("sets"))
+        .where(F.size("sets") > 1)
+        .select("sets")
+    )
+
+    def compare(b: pa.RecordBatch) -> pa.RecordBatch:
+        column = b.column("sets")
+        inner = column.flatten()
+        at = column.offsets.to_numpy() - column.offsets[0].as_py()
+        ids = inner.field("id").to_numpy(zero_copy_only=False)
+        fps = inner.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        sketches = inner.field("sketch").to_pylist()
+        u, v = [], []
+        for a, z in zip(at[:-1], at[1:]):
+            order = np.argsort(ids[a:z], kind="stable")
+            found = _block(
+                ids[a:z][order], fps[a:z][order].copy(), [sketches[a + k] for k in order],
+                radius, similarity, size,
+            )
+            u += found[0]
+            v += found[1]
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    links = saved(map_rows(blocks, compare, "u long, v long"), "links")
+    roots = components(links)
+    return (
+        rows.select(*key, "id")
+        .join(roots, F.col("id") == F.col("node"), "left")
+        .select(*key, F.coalesce("root", "id").alias("id"))
+    )
