@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.workspace import Batches, map_partitions, saved, text_rows, utf8
+from frostline.llm.workspace import Batches, bounded_batches, map_partitions, saved, text_rows, utf8
 
 #: Entries of the caches of a Python worker; beyond that they begin anew.
-CACHE_WORDS, CACHE_BASES = 900_000, 400_000
+CACHE_WORDS, CACHE_BASES = 300_000, 250_000
+PART_BYTES = 2_000_000
 VECTOR, DIMENSIONS, ORDER = 256, 3, 16
 
 
@@ -99,14 +100,22 @@ class WordTokens(dict):
             self.tails = {b"": b""}
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        split = [t.split() for t in texts]
-        missing = set().union(*split).difference(self)
-        if missing and len(self) + len(missing) > CACHE_WORDS:
-            self.clear()
-            missing = set().union(*split)
-        self.learn(missing)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        """The ids of each text. Words are split for about PART_BYTES of text at a time."""
+        out, first = [], 0
+        while first < len(texts):
+            end, size = first, 0
+            while end < len(texts) and size < PART_BYTES:
+                size += len(texts[end])
+                end += 1
+            split = [t.split() for t in texts[first:end]]
+            missing = set().union(*split).difference(self)
+            if missing and len(self) + len(missing) > CACHE_WORDS:
+                self.clear()
+                missing = set().union(*split)
+            self.learn(missing)
+            out += [b"".join(map(self.__getitem__, words)) for words in split]
+            first = end
+        return out
 
 
 _worker: dict[str, WordTokens] = {}
@@ -165,13 +174,17 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, keep: tuple[str, ...
         sign = np.random.default_rng(9).choice([-1.0, 1.0], len(bucket))
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.frombuffer(x + end, "<u4") for x in codec.texts([t or b"" for t in utf8(b.column("text"))])]
-            vectors = np.stack(
-                [np.bincount(bucket[x], sign[x], minlength=VECTOR) for x in found]
-            ) if found else np.empty((0, VECTOR))
+            vectors = np.zeros((b.num_rows, VECTOR))
+            ids, n = [], []
+            texts = utf8(b.column("text"))
+            for first in range(0, len(texts), 500):  # ids of a part of the batch at a time
+                for raw in codec.texts([t or b"" for t in texts[first : first + 500]]):
+                    x = np.frombuffer(raw + end, "<u4")
+                    vectors[len(n)] = np.bincount(bucket[x], sign[x], minlength=VECTOR)
+                    wide = x.max() >= 1 << 16
+                    ids.append(b"\x00" + x.tobytes() if wide else x.astype("<u2").tobytes())
+                    n.append(len(x))
             key = hilbert_key(document_points(vectors, projection, ORDER), ORDER)
-            ids = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\x00" + x.tobytes() for x in found]
-            n = [len(x) for x in found]
             return pa.record_batch(
                 [*[b.column(c) for c in keep], pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(key)],
                 [*keep, "ids", "n", "key"],
@@ -211,7 +224,7 @@ def _starts(slim: DataFrame) -> DataFrame:
     parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = slim.repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row")
     placed = saved(
-        ordered.mapInArrow(within, "row long, first long, n long").withColumn(
+        bounded_batches(ordered).mapInArrow(within, "row long, first long, n long").withColumn(
             "part", F.spark_partition_id()
         ),
         "placed",

@@ -109,6 +109,7 @@ def near_copy_groups(
     met = sets.select("id", F.posexplode("keys").alias("t", "key"))
     met = saved(met, "met")
     sizes = met.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = saved(sizes, "sizes")  # a table of its own, so that Spark can split a large key
     cuts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), cuts).cast("int")
     pair = F.transform(

@@ -56,4 +56,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY r, doc_id
 """
 
-ORACLES = {"op9_winnowing": OP9, "op10_perfect_hash_lines": OP10}
+OP7 = """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM conversations
+), said AS (
+  SELECT conv_id, n, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS chat,
+    coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-') AS exact
+  FROM t
+), prefixes AS (
+  SELECT conv_id, n, max(n) OVER (PARTITION BY conv_id) AS last,
+    string_agg(exact, ',') OVER (PARTITION BY conv_id ORDER BY n) AS prefix,
+    string_agg(chat, '') OVER (PARTITION BY conv_id ORDER BY n) AS chat
+  FROM said
+), whole AS (
+  SELECT prefix, n, min(conv_id) AS conv_id, count(*) AS copies, any_value(chat) AS chat
+  FROM prefixes WHERE n = last GROUP BY prefix, n
+)
+SELECT conv_id, n AS n_turns, copies, chat FROM whole
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.n < p.last AND p.prefix = whole.prefix)
+"""
+
+ORACLES = {
+    "op7_snapshot_collapse": OP7,
+    "op9_winnowing": OP9,
+    "op10_perfect_hash_lines": OP10,
+}

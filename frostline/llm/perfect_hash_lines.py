@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.workspace import Batches, map_rows, saved, text_rows, utf8
+from frostline.llm.workspace import Batches, bounded_batches, map_rows, saved, text_rows, utf8
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = -(1 << 63)  # stands for a null doc_id
@@ -135,7 +135,7 @@ def build_shards(counts: DataFrame, shards: int) -> DataFrame:
     dealt = counts.select(
         F.pmod("lo", F.lit(shards)).cast("int").alias("shard"), "lo", "hi", "n", "last"
     )
-    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(build, _SHARD)
+    return bounded_batches(dealt.repartitionById(shards, F.col("shard"))).mapInArrow(build, _SHARD)
 
 
 def probe(lines: DataFrame, shards: DataFrame, n_shards: int, least_docs: int) -> DataFrame:
@@ -193,7 +193,7 @@ def probe(lines: DataFrame, shards: DataFrame, n_shards: int, least_docs: int) -
                     )
 
     together = first.unionByName(then).repartitionById(n_shards, F.col("shard"))
-    return together.sortWithinPartitions("shard", "turn").mapInArrow(
+    return bounded_batches(together.sortWithinPartitions("shard", "turn")).mapInArrow(
         look_up, "doc_id long, lo long, hi long"
     )
 

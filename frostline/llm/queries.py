@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from frostline.llm import compression_bands, hilbert_packing, perfect_hash_lines, winnowing
 from frostline.llm.bitsliced_simhash import near_duplicates
+from frostline.llm.brown_clusters import brown_scores
+from frostline.llm.exact_substrings import dedup_substrings
+from frostline.llm.snapshot_collapse import rendered
+from frostline.llm.wrapper_induction import main_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +34,17 @@ def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"), span=200)
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select(
@@ -39,6 +54,14 @@ def op5_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(table(spark, sf_dir, "conversations"))
+
+
+def op8_brown_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -66,7 +89,11 @@ QUERIES = {
     for f in (
         op1_compression_bands,
         op2_hilbert_packing,
+        op3_wrapper_induction,
+        op4_induced_sorting,
         op5_bitsliced_simhash,
+        op7_snapshot_collapse,
+        op8_brown_clusters,
         op9_winnowing,
         op10_perfect_hash_lines,
     )

@@ -41,6 +41,23 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of the batches that go to Python, unless the session has its own limits.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
+}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Makes the session send small batches, so that long texts and the lists made of them
+    fit beside the executor's heap. Limits that were set are left alone."""
+    conf = df.sparkSession.conf
+    for name, (default, ours) in BATCH.items():
+        if conf.get(name) == default:
+            conf.set(name, ours)
+    return df
+
+
 def map_rows(
     df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
@@ -52,7 +69,7 @@ def map_rows(
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def map_partitions(
@@ -67,7 +84,7 @@ def map_partitions(
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
