@@ -31,6 +31,7 @@ def differences(result, connection, sql: str) -> list[str]:
         "double": "DOUBLE",
         "int": "INTEGER",
         "bigint": "BIGINT",
+        "boolean": "BOOLEAN",
     }
     for c in columns:
         if same.get(spark_types[c]) != types[c]:
