@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from frostline.llm import compression_bands, hilbert_packing, perfect_hash_lines, winnowing
 from frostline.llm.bitsliced_simhash import near_duplicates
 from frostline.llm.brown_clusters import brown_scores
+from frostline.llm.compact_windows import near_passages
 from frostline.llm.exact_substrings import dedup_substrings
 from frostline.llm.snapshot_collapse import rendered
 from frostline.llm.wrapper_induction import main_text
@@ -54,6 +55,10 @@ def op5_bitsliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(table(spark, sf_dir, "conversations"))
 
@@ -92,6 +97,7 @@ QUERIES = {
         op3_wrapper_induction,
         op4_induced_sorting,
         op5_bitsliced_simhash,
+        op6_compact_windows,
         op7_snapshot_collapse,
         op8_brown_clusters,
         op9_winnowing,
