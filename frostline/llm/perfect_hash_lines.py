@@ -112,9 +112,10 @@ def build_shards(counts: DataFrame, shards: int) -> DataFrame:
     fingerprints, counts up to 255 and the greatest doc_id."""
 
     def build(batches: Batches) -> Batches:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        table = pa.Table.from_batches(parts)
         lo, hi = (table[c].to_numpy().view(np.uint64) for c in ("lo", "hi"))
         shard = table["shard"].to_numpy()
         n = np.minimum(table["n"].to_numpy(), 255).astype(np.uint8)

@@ -1,0 +1,121 @@
+import re
+import zlib
+
+import numpy as np
+import pytest
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from frostline.llm import compression_bands as cb
+from frostline.llm import hilbert_packing as hp
+from frostline.llm.queries import tokenizer
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def figures(text):
+    text = text or ""
+    words = WORD.findall(text)
+    grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    failed = len(words) < 20 or 100 * len(inside) > 30 * len(words)
+    return (
+        len(words),
+        sum(map(len, words)),
+        sum(c in "#*$%&|<>" for c in text),
+        sum(x in lines[:i] for i, x in enumerate(lines)),
+        len(inside),
+        failed,
+    )
+
+
+def test_base_figures_against_brute_force(spark, odd_documents):
+    short = odd_documents.where("length(text) < 3000 OR text IS NULL")
+    got = cb.quality(short).collect()
+    want = [figures(r.text) for r in short.collect()]
+    names = list(cb.COLUMNS)[:6]
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(want)
+    assert all(not r.kept for r in got if r.base_failed)
+
+
+@given(st.lists(st.sampled_from("ab"), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_repeated_words(words):
+    assert cb.repeated_words([w.encode() for w in words]) == figures(" ".join(words))[4]
+
+
+def test_bands():
+    compress = zstandard.ZstdCompressor(level=3).compress
+    kept = list(cb.COLUMNS).index("kept")
+    noise = np.random.default_rng(1).integers(33, 126, 20_000).astype(np.uint8).tobytes()
+    packed = b" ".join(noise[i : i + 9] for i in range(0, len(noise), 9))
+    assert not cb.measure(packed, compress)[kept]  # incompressible
+    assert cb.accepted(50, 0.4) and not cb.accepted(1000, 0.4) and not cb.accepted(1000, 9)
+    parts = cb.chunks(b"x" * 5000)
+    assert b"".join(parts) == b"x" * 5000 and [len(p) for p in parts] == [2048, 2952]
+
+
+def test_quality_keeps_clean_prose(spark, documents):
+    marked = cb.quality(documents, keep=("doc_id", "text")).collect()
+    prose = [r for r in marked if not r.base_failed and r.n_symbols == 0 and r.n_bytes > 300]
+    assert sum(r.kept for r in prose) >= 0.95 * len(prose)
+
+
+def test_quality_of_nothing(no_documents):
+    assert cb.quality(no_documents).collect() == []
+
+
+@pytest.mark.parametrize("dimensions, order", [(2, 4), (3, 3)])
+def test_hilbert_neighbours(dimensions, order):
+    axes = np.meshgrid(*[np.arange(1 << order)] * dimensions, indexing="ij")
+    grid = np.stack([x.ravel() for x in axes], axis=1)
+    key = hp.hilbert_key(grid, order)
+    assert sorted(key) == list(range(len(grid)))
+    steps = np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(axis=1)
+    assert set(steps) == {1}
+
+
+def pieces_match(docs, pieces, length):
+    codec = hp.tokens_of(tokenizer()).codec
+    ids = lambda t: [*codec.encode(t or "", add_special_tokens=False).ids, 2]
+    want = sorted(str(ids(r.text)) for r in docs.collect())
+    by_place = sorted(pieces, key=lambda p: (p.sequence_id, p.offset))
+    at, whole, open_ = 0, [], []
+    for p in by_place:
+        assert p.sequence_id * length + p.offset == at  # gapless: only the end is padded
+        assert p.length > 0 and p.offset + p.length <= length
+        own = np.frombuffer(p.ids, "<u4").tolist()
+        assert len(own) == p.length and p.start == len(open_)
+        open_ += own
+        at += p.length
+        if p.start + p.length == p.doc_tokens:
+            whole.append(str(open_))
+            open_ = []
+    assert sorted(whole) == want
+
+
+def test_packing_round_trip(spark, odd_documents):
+    pieces = hp.pack(odd_documents, tokenizer(), length=512)
+    pieces_match(odd_documents, pieces.collect(), 512)
+    sums = hp.crc32_of(pieces).select("doc_id", "start", "ids_crc32").collect()
+    want = {(p.doc_id, p.start, zlib.crc32(p.ids)) for p in pieces.collect()}
+    assert {tuple(s) for s in sums} == want
+
+
+def test_packing_documents(spark, documents):
+    pieces_match(documents, hp.pack(documents, tokenizer()).collect(), 4096)
+
+
+def test_packing_nothing(no_documents):
+    assert hp.pack(no_documents, tokenizer()).collect() == []
+
+
+def test_small_caches_give_the_same_ids(monkeypatch, documents):
+    texts = [r.text.encode() for r in documents.limit(40).collect()]
+    want = hp.WordTokens(tokenizer()).texts(texts)
+    monkeypatch.setattr(hp, "CACHE_WORDS", 50)
+    monkeypatch.setattr(hp, "CACHE_BASES", 30)
+    monkeypatch.setattr(hp, "PART_BYTES", 100)
+    assert hp.WordTokens(tokenizer()).texts(texts) == want
