@@ -34,16 +34,19 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def line_rows(docs: DataFrame, least: int) -> DataFrame:
-    """(lo, hi, doc_id): the 128-bit hash of every distinct line of every document."""
+def line_rows(docs: DataFrame, least: int, without=None) -> DataFrame:
+    """(lo, hi, doc_id): the 128-bit hash of every distinct line of every document, but
+    those in `without`, a broadcast set."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         digests, owners = [], []
+        left_out = without.value if without is not None else frozenset()
         for at, data in enumerate(utf8(b.column("text"))):
             keys = {line_key(x, least) for x in (data or b"").split(b"\n")}
             keys.discard(None)
-            digests += map(_digest, keys)
-            owners += [at] * len(keys)
+            own = [d for d in map(_digest, keys) if d not in left_out]
+            digests += own
+            owners += [at] * len(own)
         lo, hi = _halves(digests)
         doc = b.column("doc_id").take(pa.array(owners, pa.int64()))
         return pa.record_batch([pa.array(lo), pa.array(hi), doc], ["lo", "hi", "doc_id"])
@@ -232,15 +235,7 @@ def dedup_lines(
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct // shard_lines))
     shards = build_shards(counts, n_shards)
     common = spark.sparkContext.broadcast(frozenset(heavy))
-    lines = line_rows(slim, least_chars)
-
-    def light(b: pa.RecordBatch) -> pa.RecordBatch:
-        lo, hi = (b.column(c).to_numpy(zero_copy_only=False).astype(">i8") for c in ("lo", "hi"))
-        both = np.stack([lo, hi], axis=1).tobytes()
-        stays = [both[k : k + 16] not in common.value for k in range(0, len(both), 16)]
-        return b.filter(pa.array(stays, pa.bool_()))
-
-    lines = map_rows(lines, light, "lo long, hi long, doc_id long")
+    lines = line_rows(slim, least_chars, common)
     lost = (
         probe(lines, shards, n_shards, least_docs)
         .groupBy("doc_id")

@@ -27,11 +27,11 @@ def test_broken_pages_do_not_fail(page):
 
 
 def test_alignment_matches_in_order():
-    a, b = parse("<div><p>1</p><h2>x</h2><p>2</p></div>"), parse("<div><h2>y</h2><p>3</p><p>4</p></div>")
+    a, b = parse("<div><p>1</p><h2>x<i>!</i></h2><p>2</p></div>"), parse("<div><h2>y<i>!</i></h2><p>3</p><p>4</p></div>")
     left, right = numbered(a), numbered(b)
     found = align(a, b)
     pairs = [(left[i].tag, right[j].tag) for i, j in sorted(found.items())]
-    assert pairs == [("#page", "#page"), ("div", "div"), ("h2", "h2"), ("p", "p")]
+    assert pairs == [("#page", "#page"), ("div", "div"), ("h2", "h2"), ("i", "i"), ("p", "p")]
 
 
 def test_template_goes_where_no_article_is_marked(spark):
