@@ -25,13 +25,15 @@ def combine(observations: DataFrame, path: str) -> LoadReport:
     return LoadReport(rows, observations.columns, path)
 
 
-def combine_csv(spark: SparkSession, folder: str, path: str) -> LoadReport | None:
+def combine_csv(
+    spark: SparkSession, folder: str, path: str, multi_line: bool = False
+) -> LoadReport | None:
     """Stack all CSV files of a folder into one Parquet table.
 
     Rows are kept as they are, copies included. A folder without CSV files
     writes nothing and gives None.
     """
-    observations = read_csv(spark, folder)
+    observations = read_csv(spark, folder, multi_line)
     if observations is None:
         log.warning("no CSV files in %s", folder)
         return None

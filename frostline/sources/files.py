@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.schema import OBSERVATION
+from frostline.sources.shared import remove
 
 # Quotes inside a field are doubled, and spaces belong to the field.
 _CSV = {
@@ -15,16 +16,30 @@ _CSV = {
 }
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame | None:
+def _hidden_files(spark: SparkSession, path: str) -> list[str]:
+    """CSV files whose names begin with a dot or an underscore, which Spark passes over."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(folder) if f.isFile()]
+    return [n for n in names if n.startswith((".", "_")) and n.endswith(".csv")]
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame | None:
     """All CSV files of a folder as one table, or None when there are none.
 
     The header must name the columns of the schema, and a value that is not a
-    number stops the read instead of turning into a null.
+    number stops the read instead of turning into a null. `multi_line` accepts line
+    breaks within quotes; a file is then read by one task. A file that Spark would pass
+    over for its name raises ValueError.
     """
+    if hidden := _hidden_files(spark, path):
+        raise ValueError(f"rename these files, Spark does not read them: {sorted(hidden)}")
     try:
         return (
             spark.read.schema(OBSERVATION)
-            .options(**_CSV, enforceSchema=False, mode="FAILFAST")
+            .options(**_CSV, enforceSchema=False, mode="FAILFAST", multiLine=multi_line)
             .csv(f"{path.rstrip('/')}/*.csv")
         )
     except AnalysisException as error:
@@ -33,13 +48,31 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_csv(observations: DataFrame, path: str) -> bool:
-    """Write CSV files with a header; without rows nothing is written."""
+def write_csv(observations: DataFrame, path: str, multi_line: bool = False) -> bool:
+    """Write CSV files with a header; without rows nothing stays written.
+
+    A text with a line break stops the job unless `multi_line` says that the readers of
+    the files accept it.
+    """
     rows = observations.select(*OBSERVATION.fieldNames())
-    if rows.isEmpty():
-        return False
+    if not multi_line:
+        broken = F.raise_error(F.lit("a text has a line break: write it with multi_line"))
+        texts = [f.name for f in OBSERVATION if f.dataType.simpleString() == "string"]
+        rows = rows.select(
+            *[
+                F.when(F.col(c).rlike("[\\r\\n]"), broken).otherwise(F.col(c)).alias(c)
+                if c in texts
+                else c
+                for c in rows.columns
+            ]
+        )
+    written = Observation()
+    rows = rows.observe(written, F.count(F.lit(1)).alias("rows"))
     rows.write.mode("overwrite").options(**_CSV).csv(path)
-    return True
+    if written.get["rows"]:
+        return True
+    remove(rows.sparkSession, path)
+    return False
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
@@ -50,19 +83,22 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 def write_observations(observations: DataFrame, path: str) -> int:
     """Replace the combined Parquet table, one folder per datatype.
 
-    Every query but the two listings reads one or two datatypes, and finds them
-    in their folders. `rebalance` gathers a datatype with one shuffle while
-    adaptive execution cuts large ones into files of the advisory size; within
-    a file rows are sorted, so a filter on the station skips row groups.
+    Every query but the two listings reads one or two datatypes, and finds them in their
+    folders. Rows are dealt by ranges of (datatype, station, date): a file holds few
+    stations, so a filter on the station skips the others, and a large datatype or station
+    is spread over tasks. An empty datatype, which no folder can be named for, stops the job.
 
     Gives the number of rows, counted while they are written. They are counted
     behind the shuffle, because adaptive execution drops what comes before an
     empty one.
     """
+    nameless = F.raise_error(F.lit("an observation has an empty datatype"))
+    named = F.when(F.col("datatype") == "", nameless).otherwise(F.col("datatype"))
     written = Observation()
     (
         observations.select(*OBSERVATION.fieldNames())
-        .hint("rebalance", "datatype")
+        .withColumn("datatype", named)
+        .repartitionByRange("datatype", "station", "date")
         .observe(written, F.count(F.lit(1)).alias("rows"))
         .sortWithinPartitions("datatype", "station", "date")
         .write.mode("overwrite")

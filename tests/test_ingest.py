@@ -16,7 +16,7 @@ from frostline.sources.files import (
     write_observations,
 )
 from frostline.sources.pages import page_index, page_observations, read_pages
-from frostline.sources.shared import shared_path
+from frostline.sources.shared import remove, shared_path
 
 ROWS = [
     ("2000-01-01", "TMAX", "a", 61.0),
@@ -92,7 +92,8 @@ def test_combined_table_replaces_the_old_one(spark, tmp_path):
     assert found.where("datatype = '007'").count() == 1
 
 
-def test_combined_table_cuts_large_datatypes_into_files(spark, tmp_path):
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_files_hold_few_stations_and_hot_datatypes_many_tasks(spark, tmp_path, adaptive):
     path = str(tmp_path / "all")
     rows = spark.range(400_000).select(
         F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") % 40_000).cast("int"))
@@ -101,17 +102,47 @@ def test_combined_table_cuts_large_datatypes_into_files(spark, tmp_path):
         F.concat(F.lit("s"), F.floor(F.col("id") / 40_000)).alias("station"),
         F.rand(1).alias("value"),
     )
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(key, "500k")
+    keys = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
     try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
         write_observations(rows.repartition(8), path)
     finally:
-        spark.conf.unset(key)
-    files = {d: len(list((tmp_path / "all" / f"datatype={d}").glob("*.parquet"))) for d in ("TMAX", "TMIN")}
-    assert files["TMAX"] > 2 and files["TMIN"] < files["TMAX"]
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = spark.read.parquet(path).where("datatype = 'TMAX'").groupBy(F.input_file_name()).agg(
+        F.min("station").alias("low"), F.max("station").alias("high")
+    ).orderBy("low", "high").collect()
+    assert len(files) > 4
+    assert all(a.high <= b.low for a, b in zip(files, files[1:]))
     assert read_observations(spark, path).count() == 400_000
 
 
+@pytest.mark.parametrize("name", ["_b.csv", ".c.csv"])
+def test_files_that_spark_passes_over_are_named(spark, tmp_path, name):
+    (tmp_path / "a.csv").write_text("date,datatype,station,value\n2000-01-01,TMAX,a,1\n")
+    (tmp_path / name).write_text("date,datatype,station,value\n2000-01-02,TMAX,a,2\n")
+    with pytest.raises(ValueError, match=name):
+        fl.combine_csv(spark, str(tmp_path), str(tmp_path / "all"))
+
+
+def test_line_breaks_need_to_be_asked_for(spark, tmp_path):
+    rows = from_rows(spark, [("2000-01-01", "TMAX", "two\nlines", 1.0), ("2000-01-02", "TMAX", 'a "b"', 2.0)])
+    with pytest.raises(Exception, match="line break"):
+        write_csv(rows, str(tmp_path / "one"))
+    assert write_csv(rows, str(tmp_path / "two"), multi_line=True)
+    assert listed(read_csv(spark, str(tmp_path / "two"), multi_line=True)) == listed(rows)
+
+
+def test_an_empty_datatype_stops_the_write(spark, tmp_path):
+    with pytest.raises(Exception, match="empty datatype"):
+        write_observations(from_rows(spark, [("2000-01-01", "", "a", 1.0)]), str(tmp_path / "all"))
+    path = str(tmp_path / "null")
+    write_observations(from_rows(spark, [("2000-01-01", None, "a", 1.0)]), path)
+    assert [r.datatype for r in read_observations(spark, path).collect()] == [None]
+
+
 def test_one_file_table_is_read_too(spark, tmp_path):
     path = str(tmp_path / "one")
     from_rows(spark, ROWS).coalesce(1).write.parquet(path)
@@ -172,6 +203,20 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_path(spark, "t") != shared_path(spark, "t")
 
 
-def test_without_a_shared_folder_a_temporary_one_is_made():
-    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
-    assert shared_path(session, "t").startswith(tempfile.gettempdir())
+def test_without_a_shared_folder_only_a_local_session_goes_on(tmp_path):
+    def session(master):
+        conf = SimpleNamespace(get=lambda key, default: default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert shared_path(session("local[4]"), "t").startswith(tempfile.gettempdir())
+    assert shared_path(session("yarn"), "t", "/shared").startswith("/shared/t-")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_path(session(master), "t")
+
+
+def test_tables_can_be_removed(spark, tmp_path):
+    path = shared_path(spark, "gone", str(tmp_path))
+    spark.range(3).write.parquet(path)
+    remove(spark, path)
+    assert list(tmp_path.iterdir()) == []
