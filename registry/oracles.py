@@ -1,6 +1,6 @@
 """DuckDB statements that compute the same results another way."""
 
-from registry.observations import with_observations
+from registry.observations import with_observations, with_readings
 from registry.queries import CORVALLIS, PAGE_ROWS
 
 NAME = """CASE station
@@ -13,14 +13,14 @@ KEYS = f"station AS station_id, {NAME} AS station_name"
 
 MEANS = """SELECT a.station, substr(a.date, 1, {n}) AS date,
     avg((a.value + b.value) / 2.0) AS value
-  FROM observations a JOIN observations b
+  FROM {table} a JOIN {table} b
     ON a.station = b.station AND a.date = b.date
   WHERE a.datatype = 'TMAX' AND b.datatype = 'TMIN'
   GROUP BY 1, 2"""
 
 HOT = """SELECT station, substr(date, 1, 4) AS date,
     CAST(count(value) AS DOUBLE) AS value
-  FROM observations WHERE datatype = 'TMAX' AND value > 85.0 GROUP BY 1, 2"""
+  FROM {table} WHERE datatype = 'TMAX' AND value > 85.0 GROUP BY 1, 2"""
 
 SEASONS = """SELECT station, CAST(y AS VARCHAR) AS date,
     CAST(fall - spring AS DOUBLE) AS value
@@ -28,27 +28,32 @@ SEASONS = """SELECT station, CAST(y AS VARCHAR) AS date,
     SELECT station, year(d) AS y,
       max(CASE WHEN month(d) BETWEEN 3 AND 6 THEN dayofyear(d) END) AS spring,
       min(CASE WHEN month(d) BETWEEN 7 AND 11 THEN dayofyear(d) END) AS fall
-    FROM (SELECT station, CAST(date AS DATE) AS d FROM observations
+    FROM (SELECT station, CAST(date AS DATE) AS d FROM {table}
           WHERE datatype = 'TMIN' AND value <= 32.0)
     GROUP BY 1, 2)
   WHERE fall > spring"""
 
 
-def _raw(datatype: str, condition: str = "") -> str:
+HOT_DAYS, FROSTS = HOT.format(table="observations"), SEASONS.format(table="observations")
+
+
+def _raw(datatype: str, condition: str = "", table: str = "observations") -> str:
     return (
-        "SELECT station, date, value FROM observations "
+        f"SELECT station, date, value FROM {table} "
         f"WHERE datatype = '{datatype}' {condition}"
     )
 
 
-def _series(rows: str, window: int | None = None, span: int | None = None) -> str:
+def _series(
+    rows: str, window: int | None = None, span: int | None = None, source_of=with_observations
+) -> str:
     """Long form of `rows` (station, date, value) with optional overlays."""
     avg = lpf = "CAST(NULL AS DOUBLE)"
     ctes = [f"base AS MATERIALIZED ({rows})"]
     source = "base"
     if window:
         avg = (
-            "round(avg(value) OVER (PARTITION BY station ORDER BY date ROWS BETWEEN "
+            "round(avg(value) OVER (PARTITION BY station ORDER BY date, value NULLS FIRST ROWS BETWEEN "
             f"{window // 2} PRECEDING AND {(window + 1) // 2 - 1} FOLLOWING), 6)"
         )
     if span:
@@ -56,9 +61,9 @@ def _series(rows: str, window: int | None = None, span: int | None = None) -> st
         step = f"{alpha} * n.{{x}} + (1.0 - {alpha}) * p.y"
         ctes += [
             """numbered AS MATERIALIZED (SELECT station, date, value,
-               row_number() OVER (PARTITION BY station ORDER BY date) AS i,
-               row_number() OVER (PARTITION BY station ORDER BY date DESC) AS j
-               FROM base)""",
+               row_number() OVER (PARTITION BY station ORDER BY date, value) AS i,
+               row_number() OVER (PARTITION BY station ORDER BY date DESC, value DESC) AS j
+               FROM base WHERE value IS NOT NULL)""",
             f"""forward AS (SELECT station, i, j, value AS y FROM numbered WHERE i = 1
                UNION ALL SELECT n.station, n.i, n.j, {step.format(x='value')}
                FROM forward p JOIN numbered n ON n.station = p.station AND n.i = p.i + 1)""",
@@ -69,16 +74,17 @@ def _series(rows: str, window: int | None = None, span: int | None = None) -> st
         ]
         source = (
             "(SELECT station, date, value, b.y FROM numbered "
-            "JOIN backward b USING (station, i))"
+            "JOIN backward b USING (station, i) UNION ALL "
+            "SELECT station, date, value, NULL FROM base WHERE value IS NULL)"
         )
         lpf = "round(y, 6)"
-    return with_observations(
+    return source_of(
         f", {', '.join(ctes)} SELECT {KEYS}, date, round(value, 6) AS value, "
         f"{avg} AS avg, {lpf} AS lpf FROM {source}"
     )
 
 
-def _fit(points: str, fitted: str, degree: int) -> str:
+def _fit(points: str, fitted: str, degree: int, source_of=with_observations) -> str:
     """Fit by orthogonal polynomials, each made by window sums over the station.
 
     `fitted` is the condition on the points that take part.
@@ -99,7 +105,7 @@ def _fit(points: str, fitted: str, degree: int) -> str:
         last = "p3"
         terms.append("w * (sum(y * w) {by}) / nullif(sum(w * w) {by}, 0)")
     value = " + ".join(terms).format(by=by)
-    return with_observations(
+    return source_of(
         f"""{ctes}, fits AS (SELECT station, date,
       CASE WHEN n > {degree} THEN {value} END AS fit FROM {last})
     SELECT {KEYS}, date, value, round(fit, 6) AS fit
@@ -120,7 +126,7 @@ ORACLES: dict[str, str] = {
     "series_rolling_365": _series(_raw("PRCP"), window=365),
     "series_lowpass_30": _series(_raw("TMAX"), span=30),
     "series_both_overlays": _series(_raw("TMAX"), window=31, span=90),
-    "series_blocks": _series(_raw("TMAX"), window=31, span=30),
+    "series_blocks": _series(_raw("TMAX"), window=31, span=3),
     "tmax_tmin_days": with_observations(
         """SELECT a.station, a.date, a.value AS tmax, b.value AS tmin,
              (a.value + b.value) / 2.0 AS mean_temp, CAST(1 AS BIGINT) AS copies
@@ -128,22 +134,22 @@ ORACLES: dict[str, str] = {
              ON a.station = b.station AND a.date = b.date
            WHERE a.datatype = 'TMAX' AND b.datatype = 'TMIN'"""
     ),
-    "mean_temp_monthly": _series(MEANS.format(n=7)),
-    "mean_temp_yearly": _series(MEANS.format(n=4)),
+    "mean_temp_monthly": _series(MEANS.format(n=7, table="observations")),
+    "mean_temp_yearly": _series(MEANS.format(n=4, table="observations")),
     "mean_temp_one_station": _series(
-        f"SELECT * FROM ({MEANS.format(n=7)}) WHERE station = '{CORVALLIS}'"
+        f"SELECT * FROM ({MEANS.format(n=7, table="observations")}) WHERE station = '{CORVALLIS}'"
     ),
-    "mean_temp_monthly_smoothed": _series(MEANS.format(n=7), window=12, span=6),
-    "hot_days_85": with_observations(f"SELECT {KEYS}, date, value FROM ({HOT})"),
-    "hot_days_fit_85": _fit(HOT, "CAST(date AS INT) >= 1980", 2),
+    "mean_temp_monthly_smoothed": _series(MEANS.format(n=7, table="observations"), window=12, span=6),
+    "hot_days_85": with_observations(f"SELECT {KEYS}, date, value FROM ({HOT_DAYS})"),
+    "hot_days_fit_85": _fit(HOT_DAYS, "CAST(date AS INT) >= 1980", 2),
     "growing_season": with_observations(
-        f"SELECT {KEYS}, date, value FROM ({SEASONS})"
+        f"SELECT {KEYS}, date, value FROM ({FROSTS})"
     ),
-    "growing_season_fit": _fit(SEASONS, "true", 3),
+    "growing_season_fit": _fit(FROSTS, "true", 3),
     "season_line": with_observations(
         f"""SELECT station AS station_id, round(avg(x), 6) AS center,
              round(avg(value), 6) AS c0, round(regr_slope(value, x), 6) AS c1
-           FROM (SELECT *, CAST(date AS DOUBLE) AS x FROM ({SEASONS})) GROUP BY 1"""
+           FROM (SELECT *, CAST(date AS DOUBLE) AS x FROM ({FROSTS})) GROUP BY 1"""
     ),
     "climate_trend_365": with_observations(
         """, highs AS (SELECT station, date, value,
@@ -161,6 +167,19 @@ ORACLES: dict[str, str] = {
            FROM anomalies WINDOW w AS (PARTITION BY station ORDER BY date
              ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)"""
     ),
+    "climate_trend_all": with_observations(
+        """, highs AS (SELECT date, value, dayofyear(CAST(date AS DATE)) AS day_of_year
+             FROM observations WHERE datatype = 'TMAX'),
+           seasonal AS (SELECT day_of_year, avg(value) AS seasonal_mean FROM highs GROUP BY 1),
+           anomalies AS (SELECT *, value - seasonal_mean AS anomaly
+             FROM highs LEFT JOIN seasonal USING (day_of_year))
+           SELECT '' AS station_id, date, value, CAST(day_of_year AS INT) AS day_of_year,
+             round(seasonal_mean, 6) AS seasonal_mean, round(anomaly, 6) AS anomaly,
+             round(CASE WHEN count(anomaly) OVER w >= 1826
+                   THEN avg(anomaly) OVER w END, 6) AS long_term_trend
+           FROM anomalies WINDOW w AS (ORDER BY date, value
+             ROWS BETWEEN 1826 PRECEDING AND 1825 FOLLOWING)"""
+    ),
     "water_year_precip": with_observations(
         f"""SELECT {KEYS}, CAST(year(d) + CAST(month(d) >= 10 AS INT) AS VARCHAR) AS date,
              sum(value) AS value
@@ -181,11 +200,11 @@ ORACLES: dict[str, str] = {
         f""", smooth AS (SELECT *, avg(value) OVER (PARTITION BY station ORDER BY date
              ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING) AS mean
              FROM observations WHERE datatype = 'TMAX')
-           SELECT {KEYS}, CAST(count(*) AS INT) AS n_points,
-             min(date) AS first_date, max(date) AS last_date,
-             arg_max(value, date) AS last_value,
-             round(arg_max(mean, date), 6) AS last_avg, sum(value) AS total
-           FROM smooth GROUP BY station"""
+           SELECT {KEYS}, substr(date, 1, 3) AS span,
+             min(date) OVER (PARTITION BY station, substr(date, 1, 3)) AS first_date,
+             CAST(row_number() OVER (PARTITION BY station, substr(date, 1, 3) ORDER BY date) - 1 AS INT) AS place,
+             date, value, round(mean, 6) AS avg, CAST(NULL AS DOUBLE) AS lpf
+           FROM smooth"""
     ),
     "combine_csv_roundtrip": with_observations(
         "SELECT date, datatype, station, value FROM observations"
@@ -210,4 +229,24 @@ ORACLES: dict[str, str] = {
              CAST(count(*) - {PAGE_ROWS} + 1 AS INT) AS "offset"
            FROM observations GROUP BY 1, 2 HAVING count(*) % {PAGE_ROWS} = 0"""
     ),
+    "tmax_tmin_days_repeated": with_readings(
+        """SELECT a.station, a.date, a.value AS tmax, b.value AS tmin,
+             (a.value + b.value) / 2.0 AS mean_temp, count(*) AS copies
+           FROM readings a JOIN readings b ON a.station = b.station AND a.date = b.date
+           WHERE a.datatype = 'TMAX' AND b.datatype = 'TMIN'
+           GROUP BY ALL"""
+    ),
+    "mean_temp_repeated": _series(
+        MEANS.format(n=7, table="readings"), source_of=with_readings
+    ),
+    "series_rolling_repeated": _series(
+        _raw("TMAX", table="readings"), window=51, source_of=with_readings
+    ),
+    "series_lowpass_nulls": _series(
+        _raw("TMAX", table="readings"), span=30, source_of=with_readings
+    ),
+    "hot_days_no_fit": _fit(
+        HOT.format(table="readings"), "CAST(date AS INT) >= 1980", 2, with_readings
+    ),
+    "growing_season_no_fit": _fit(SEASONS.format(table="readings"), "true", 3, with_readings),
 }

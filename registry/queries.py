@@ -18,7 +18,7 @@ from frostline.plans.ingest import combine, combine_csv, missing_years, unfinish
 from frostline.sources.files import read_observations, write_csv
 from frostline.sources.pages import page_index, page_observations, read_pages
 from frostline.sources.shared import shared_path
-from registry.observations import observations
+from registry.observations import observations, readings
 
 Report = Callable[[DataFrame], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def climate_trend_365(obs: DataFrame) -> DataFrame:
     return fl.climate_trend(highs, window=365, min_rows=182)
 
 
+def climate_trend_all(obs: DataFrame) -> DataFrame:
+    """One series of all readings of a datatype, with the default window of ten years."""
+    return fl.climate_trend(obs.where(F.col("datatype") == "TMAX"), by=None)
+
+
 def calendar_days(obs: DataFrame) -> DataFrame:
     date = F.col("date")
     return (
@@ -78,17 +83,11 @@ def missing_station_years(obs: DataFrame) -> DataFrame:
 
 
 def points_of_nested_series(obs: DataFrame) -> DataFrame:
+    """The points themselves, with their place in the row of their station and decade."""
     nested = nest_series(fl.series(obs, "TMAX", window=30))
     return nested.select(
-        "station_id",
-        "station_name",
-        F.size("points").alias("n_points"),
-        F.element_at("points", 1)["date"].alias("first_date"),
-        F.element_at("points", -1)["date"].alias("last_date"),
-        F.element_at("points", -1)["value"].alias("last_value"),
-        F.element_at("points", -1)["avg"].alias("last_avg"),
-        F.aggregate("points", F.lit(0.0), lambda s, p: s + p["value"]).alias("total"),
-    )
+        "station_id", "station_name", "span", "first_date", F.posexplode("points").alias("place", "p")
+    ).select("station_id", "station_name", "span", "first_date", "place", "p.*")
 
 
 def combine_csv_roundtrip(obs: DataFrame) -> DataFrame:
@@ -145,10 +144,8 @@ REPORTS: dict[str, Report] = {
     "series_rolling_365": lambda o: fl.series(o, "PRCP", window=365),
     "series_lowpass_30": lambda o: fl.series(o, "TMAX", low_pass=30),
     "series_both_overlays": lambda o: fl.series(o, "TMAX", window=31, low_pass=90),
-    # a low limit, so that stations are cut into blocks on this small table too
-    "series_blocks": lambda o: fl.series(
-        o, "TMAX", window=31, low_pass=30, max_rows=100, block_rows=250
-    ),
+    # small blocks, so that stations are cut on this small table too
+    "series_blocks": lambda o: fl.series(o, "TMAX", window=31, low_pass=3, block_rows=250),
     "series_nested": points_of_nested_series,
     "tmax_tmin_days": paired_days,
     "mean_temp_monthly": lambda o: fl.mean_temp_trend(o, "monthly"),
@@ -163,6 +160,7 @@ REPORTS: dict[str, Report] = {
     "growing_season_fit": fl.growing_season,
     "season_line": season_line,
     "climate_trend_365": climate_trend_365,
+    "climate_trend_all": climate_trend_all,
     "water_year_precip": fl.water_year_totals,
     "calendar_days": calendar_days,
     "combine_csv_roundtrip": combine_csv_roundtrip,
@@ -174,4 +172,21 @@ REPORTS: dict[str, Report] = {
     ),
 }
 
-QUERIES: dict[str, Query] = {n: on_observations(r) for n, r in REPORTS.items()}
+# Reports over readings that repeat, are null, or leave a station without a fit.
+REPEATED: dict[str, Report] = {
+    "tmax_tmin_days_repeated": paired_days,
+    "mean_temp_repeated": lambda o: fl.mean_temp_trend(o, "monthly"),
+    "series_rolling_repeated": lambda o: fl.series(o, "TMAX", window=51, block_rows=400),
+    "series_lowpass_nulls": lambda o: fl.series(o, "TMAX", low_pass=30),
+    "hot_days_no_fit": lambda o: fl.hot_days_per_year(o, 85.0),
+    "growing_season_no_fit": fl.growing_season,
+}
+
+
+def on_readings(report: Report) -> Query:
+    return lambda spark, sf_dir: rounded(report(readings(spark, sf_dir)))
+
+
+QUERIES: dict[str, Query] = {n: on_observations(r) for n, r in REPORTS.items()} | {
+    n: on_readings(r) for n, r in REPEATED.items()
+}
