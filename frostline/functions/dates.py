@@ -34,16 +34,14 @@ def calendar_day(date: Column) -> Column:
     year = F.substring(date, 1, 4).try_cast("int")
     month = F.substring(date, 6, 2).try_cast("int")
     day = F.substring(date, 9, 2).try_cast("int")
-    # (367 m - 362) div 12 counts the days before month m as if February had 30
-    before = F.floor((367 * month - 362) / 12).cast("int")
-    february = F.when(month <= 2, 0).when(is_leap_year(year), -1).otherwise(-2)
     valid = date.rlike(_DATE_TEXT) & month.between(1, 12) & day.between(1, 31)
+    first = F.dayofyear(F.make_date(year, F.when(valid, month).otherwise(1), F.lit(1)))
     return F.when(
         valid,
         F.struct(
             year.alias("year"),
             month.alias("month"),
-            (before + february + day).alias("day_of_year"),
+            (first + day - 1).alias("day_of_year"),
         ),
     )
 

@@ -23,10 +23,6 @@ def ema_weight(span: int) -> float:
     return 2.0 / (span + 1.0)
 
 
-def ema_memory(span: int) -> int:
-    """Rows after which an exponential mean has forgotten a sample.
-
-    The remaining weight is below e^-40, about 4e-18: less than the last bit
-    of a double.
-    """
-    return max(1, math.ceil(40.0 / -math.log1p(-ema_weight(span))))
+def ema_rows(span: int, decay: float) -> int:
+    """Rows after which the weight of a sample has fallen to e^-decay."""
+    return max(1, math.ceil(decay / -math.log1p(-ema_weight(span))))

@@ -1,47 +1,16 @@
-"""Series too long for one task.
+"""Series of any length, without a task that holds a whole one.
 
-A window partitioned by station sorts the whole station in one task. That is
-the cheapest plan while stations are short, and the wrong one for a station
-that holds a large share of all rows. `split_by_length` separates the two
-kinds; `number_rows` and `into_blocks` then cut a long series into overlapping
-blocks of consecutive rows, so that a window partitioned by (station, block)
-sees every row it needs and no task sees more than a block.
+A window partitioned by station sorts the whole station in one task. `number_rows` gives
+every reading its place in its series; `into_blocks` then cuts the series into overlapping
+blocks of consecutive rows, so that a window partitioned by (station, block) sees every row
+it needs and no task sees more than a block. All series take this way.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one series that a single task may sort.
-SERIES_ROWS = 1_000_000
-# Consecutive rows of a long series that form one block.
+# Consecutive rows of a series that form one block.
 BLOCK_ROWS = 250_000
-# Bound on the broadcast list of long series (one ID and one count each).
-MAX_LONG_SERIES = 50_000
-
-
-def split_by_length(
-    rows: DataFrame, by: str, max_rows: int = SERIES_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of the series within `max_rows`, and rows of the longer ones.
-
-    The list of long series is broadcast: it holds the MAX_LONG_SERIES longest
-    at most, so its size is bounded whatever the data. Any series beyond that
-    list has less than 1/MAX_LONG_SERIES of all rows and stays with the short
-    ones. While the list is empty, adaptive execution drops the second half.
-    """
-    long_series = (
-        rows.groupBy(F.col(by).alias("_series"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > max_rows)
-        .orderBy(F.desc("_rows"), "_series")
-        .limit(MAX_LONG_SERIES)
-        .select("_series")
-    )
-    is_long = F.col(by) == F.col("_series")
-    return (
-        rows.join(F.broadcast(long_series), is_long, "left_anti"),
-        rows.join(F.broadcast(long_series), is_long, "left_semi"),
-    )
 
 
 def number_rows(
@@ -49,10 +18,10 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each series by (date, value) without sorting it whole.
 
-    Copies of a row are folded first. Counts are then accumulated over three
-    nested levels - months of the series, readings of a month by date and unit
-    of value, and the readings within one unit - so no window spans more than
-    one such level. Neither `by` nor `date` may be null, and `value` has to be read
+    Copies of a row are folded first. Counts are then accumulated over two nested levels,
+    the dates of the series and the distinct readings of one date, so no window spans
+    more: a series has one row per date, as many as the calendar has, and a date of a
+    station as many rows as it has different readings. Neither `by` nor `date` may be null, and `value` has to be read
     rather than computed: were a sum to come out differently in a second try of a
     lost task, its unit might change, and the job would stop instead of losing rows.
 
@@ -66,47 +35,33 @@ def number_rows(
     reading = ", ".join([by, date, value, *extra])
     order = ", ".join([value, *extra])
     counts = "sum(_n) AS _n, sum(_m) AS _m, sum(_special) AS _special"
-    # _band orders values by their unit, as Spark sorts them: nulls first, NaN last.
-    # Every row finds its match; left joins infer no extra filters, so the three
-    # uses of `readings` stay alike and share one shuffle.
+    # Every row finds its match; the left join infers no extra filters, so both uses of
+    # `readings` stay alike and share one shuffle.
     return rows.sparkSession.sql(
         f"""
         WITH readings AS (
           SELECT {reading}, count(*) AS _n,
             CASE WHEN {value} IS NULL THEN 0 ELSE count(*) END AS _m,
             CASE WHEN isnan({value}) OR abs({value}) = double('Infinity')
-              THEN {value} END AS _special,
-            CASE WHEN {value} IS NULL THEN bigint('{-(2**63)}') WHEN isnan({value}) THEN {2**63 - 1}
-              ELSE floor({value}) END AS _band
+              THEN {value} END AS _special
           FROM {{rows}} GROUP BY {reading}),
-        bands AS (
-          SELECT {by}, {date}, _band, substring({date}, 1, 7) AS _month, {counts}
-          FROM readings GROUP BY {by}, {date}, _band),
-        months AS (SELECT {by}, _month, {counts} FROM bands GROUP BY {by}, _month),
-        month_starts AS (
-          SELECT {by}, _month,
-            coalesce(sum(_n) OVER earlier, 0) AS _n_month,
-            coalesce(sum(_m) OVER earlier, 0) AS _m_month,
-            sum(_m) OVER series AS _length, sum(_special) OVER series AS _special
-          FROM months
+        days AS (SELECT {by}, {date}, {counts} FROM readings GROUP BY {by}, {date}),
+        starts AS (
+          SELECT {by}, {date},
+            coalesce(sum(_n) OVER earlier, 0) AS _n_day,
+            coalesce(sum(_m) OVER earlier, 0) AS _m_day,
+            sum(_m) OVER series AS _length, sum(_special) OVER series AS _all
+          FROM days
           WINDOW series AS (PARTITION BY {by}),
-            earlier AS (PARTITION BY {by} ORDER BY _month
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        band_starts AS (
-          SELECT {by}, {date}, _band,
-            _n_month + coalesce(sum(_n) OVER earlier, 0) AS _n_band,
-            _m_month + coalesce(sum(_m) OVER earlier, 0) AS _m_band,
-            _length, m._special
-          FROM bands b LEFT JOIN month_starts m USING ({by}, _month)
-          WINDOW earlier AS (PARTITION BY {by}, _month ORDER BY {date}, _band
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+            earlier AS (PARTITION BY {by} ORDER BY {date}
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT {reading}, _n,
-          coalesce(_n_band, raise_error('a reading changed while it was numbered'))
+          coalesce(_n_day, raise_error('a reading changed while it was numbered'))
             + coalesce(sum(_n) OVER earlier, 0) AS _pos,
-          _m_band + coalesce(sum(_m) OVER earlier, 0) AS _index,
-          _length, b._special
-        FROM readings r LEFT JOIN band_starts b USING ({by}, {date}, _band)
-        WINDOW earlier AS (PARTITION BY {by}, {date}, _band ORDER BY {order}
+          _m_day + coalesce(sum(_m) OVER earlier, 0) AS _index,
+          _length, _all AS _special
+        FROM readings r LEFT JOIN starts s USING ({by}, {date})
+        WINDOW earlier AS (PARTITION BY {by}, {date} ORDER BY {order}
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         """,
         rows=rows,

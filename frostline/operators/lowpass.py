@@ -4,7 +4,12 @@ import math
 
 from pyspark.sql import DataFrame
 
-from frostline.functions.values import ema_memory, ema_weight
+from frostline.functions.values import ema_rows, ema_weight
+
+# Decay over one stretch. Powers up to e^300 leave room for values up to 1e170.
+STRETCH_DECAY = 300.0
+# Beyond this decay a weight is no longer a double above zero.
+VANISHED = 745.0
 
 
 def _exponential_mean(
@@ -14,22 +19,26 @@ def _exponential_mean(
 
     With r = 1 - a, y[i] is r^i times the running sum of u[i] r^-i, where u is
     x[0] or a x[i]. Running sums restart every `stretch` rows, which keeps the
-    powers far from overflow; what comes in from the stretch before is its last
-    value, and anything older is below the last bit of a double.
+    powers far from overflow; what comes in from the stretches before are their last
+    values, until their weight is no longer a double above zero.
     """
     weight = ema_weight(span)
     log_keep = f"({math.log1p(-weight)!r}D)"
-    stretch = ema_memory(span)
+    stretch = ema_rows(span, STRETCH_DECAY)
+    carried = range(1, math.ceil(VANISHED / STRETCH_DECAY) + 1)
     group = ", ".join(within)
     so_far = (
         f"PARTITION BY {group}, _stretch ORDER BY _step "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     )
-    previous = (
-        f"PARTITION BY {group} ORDER BY _stretch RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING"
-    )
+    earlier = f"PARTITION BY {group} ORDER BY _stretch RANGE BETWEEN {{k}} PRECEDING AND {{k}} PRECEDING"
     sample = f"CASE WHEN {index} = 0 THEN {value} ELSE {weight!r}D * {value} END"
     last = f"CASE WHEN {value} IS NOT NULL AND _step = {stretch - 1} THEN _local END"
+    carry = " + ".join(
+        f"exp({log_keep} * (_step + 1 + {(k - 1) * stretch})) "
+        f"* coalesce(sum({last}) OVER ({earlier.format(k=k)}), 0D)"
+        for k in carried
+    )
     return (
         rows.selectExpr(
             "*",
@@ -43,8 +52,7 @@ def _exponential_mean(
         )
         .selectExpr(
             *rows.columns,
-            f"CASE WHEN {value} IS NOT NULL THEN _local + exp({log_keep} * (_step + 1)) "
-            f"* coalesce(sum({last}) OVER ({previous}), 0D) END AS {out}",
+            f"CASE WHEN {value} IS NOT NULL THEN _local + {carry} END AS {out}",
         )
     )
 
@@ -79,4 +87,4 @@ def low_pass(
 
 def low_pass_reach(span: int) -> int:
     """Rows on either side that can still change the result of a row."""
-    return ema_memory(span)
+    return ema_rows(span, VANISHED)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from frostline.schema import STATION_NAMES
 
-# A mapping up to this size becomes a literal inside the plan.
-MAX_LITERAL_NAMES = 1000
-
 Names = Mapping[str, str] | DataFrame
 
 
@@ -18,22 +15,23 @@ def with_station_name(
 ) -> DataFrame:
     """Add `station_name`, falling back to the ID where no name is known.
 
-    A small mapping is folded into the projection and costs no join. A larger
-    one, or a DataFrame (id, name) with one row per id, is left-joined without
-    a hint: Spark broadcasts it only when its measured size allows that.
+    A mapping or a DataFrame (id, name) is left-joined without a hint: Spark broadcasts it
+    only when its measured size allows that. An id with two rows would repeat results, so
+    it stops the job.
     """
     if isinstance(names, DataFrame):
-        lookup = names.select(F.col("id").alias("_id"), F.col("name").alias("_name"))
-    elif len(names) <= MAX_LITERAL_NAMES:
-        known = F.lit(None).cast("string")
-        if names:
-            pairs = [F.lit(text) for pair in names.items() for text in pair]
-            known = F.create_map(*pairs)[F.col(station)]
-        return rows.withColumn("station_name", F.coalesce(known, F.col(station)))
+        twice = F.raise_error(F.concat(F.lit("two names for station "), F.col("id")))
+        lookup = names.groupBy("id").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("name").alias("_name")
+        ).select(
+            F.col("id").alias("_id"), F.when(F.col("_n") > 1, twice).otherwise(F.col("_name")).alias("_name")
+        )
+    elif names:
+        pairs = F.create_map(*[F.lit(text) for pair in names.items() for text in pair])
+        one = rows.sparkSession.sql("SELECT 1")
+        lookup = one.select(F.explode(pairs).alias("_id", "_name"))
     else:
-        lookup = rows.sparkSession.createDataFrame(
-            list(names.items()), "_id string, _name string"
-        )
+        return rows.withColumn("station_name", F.col(station))
     return (
         rows.join(lookup, F.col(station) == F.col("_id"), "left")
         .withColumn("station_name", F.coalesce("_name", station))

@@ -4,43 +4,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.values import NAN
-from frostline.operators.long_series import (
-    into_blocks,
-    number_rows,
-    split_by_length,
-)
 
-# Points of one packed row. A longer series goes on in further rows.
-MAX_POINTS = 100_000
+# Characters of a date that name a span of the calendar: three are a decade.
+SPAN_CHARACTERS = 3
 
 
-def nest_series(rows: DataFrame, max_points: int | None = MAX_POINTS) -> DataFrame:
-    """Pack long-form rows into one row per station with sorted `points`.
+def nest_series(rows: DataFrame, span_characters: int = SPAN_CHARACTERS) -> DataFrame:
+    """Pack long-form rows into rows of sorted `points`, one per station and decade.
 
-    A point is (date, value, avg, lpf), with NaN for a null value. A series of
-    more than `max_points` rows is packed into several rows, numbered by
-    `chunk`, so that no array grows with the data. `max_points=None` is for
-    reports with one row per month or year, whose length the calendar bounds.
+    A point is (date, value, avg, lpf), with NaN for a null value. `span` is the beginning
+    of the dates of a row and `first_date` the first of them; the points of a station are
+    those of its rows in the order of `span`. The calendar bounds an array, whatever the
+    length of the series, and one shuffle packs them.
     """
-    rows = rows.select("station_id", "station_name", "date", "value", "avg", "lpf")
-    if max_points is None:
-        return _pack(rows.withColumn("chunk", F.lit(0)))
-    short, long = split_by_length(rows, "station_id", max_points)
-    numbered = number_rows(
-        long, "station_id", "date", "value", ("avg", "lpf", "station_name")
-    )
-    blocks = into_blocks(numbered, "station_id", "value", block_rows=max_points)
-    return _pack(
-        short.withColumn("chunk", F.lit(0)).unionByName(
-            blocks.select(*rows.columns, F.col("_block").cast("int").alias("chunk"))
+    point = F.struct("date", F.coalesce("value", F.lit(NAN)).alias("value"), "avg", "lpf")
+    return (
+        rows.groupBy(
+            "station_id", "station_name", F.substring("date", 1, span_characters).alias("span")
         )
-    )
-
-
-def _pack(rows: DataFrame) -> DataFrame:
-    point = F.struct(
-        "date", F.coalesce("value", F.lit(NAN)).alias("value"), "avg", "lpf"
-    )
-    return rows.groupBy("station_id", "station_name", "chunk").agg(
-        F.sort_array(F.collect_list(point)).alias("points")
-    )
+        .agg(F.min("date").alias("first_date"), F.sort_array(F.collect_list(point)).alias("points"))
+    )

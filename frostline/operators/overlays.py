@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 from frostline.operators.filters import wants
 from frostline.operators.long_series import (
     BLOCK_ROWS,
-    SERIES_ROWS,
     home_rows,
     into_blocks,
     number_rows,
-    split_by_length,
 )
 from frostline.operators.lowpass import low_pass, low_pass_reach
 from frostline.operators.rolling import rolling_mean, window_reach
@@ -25,45 +23,49 @@ def with_overlays(
     value: str,
     window: int | None = None,
     span: int | None = None,
-    max_rows: int | None = SERIES_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add `avg`, a centred rolling mean, and `lpf`, a low-pass, per series.
 
-    Both smooth `value` itself, in (date, value) order, and are null when not
-    asked for. `max_rows=None` says that the calendar bounds every series, as
-    for one row per month. Otherwise series above `max_rows` are smoothed block
-    by block. Neither `by` nor `date` may be null.
+    Both smooth `value` itself, in (date, value) order, and are null when not asked for.
+    Series of any length are smoothed block by block. Neither `by` nor `date` may be null.
     """
-    kept = [by, date, value]
-    rows = rows.select(*kept)
+    rows = rows.select(by, date, value)
     if not wants(window) and not wants(span):
         none = F.lit(None).cast("double")
         return rows.withColumns({"avg": none, "lpf": none})
-    if max_rows is None:
-        return _smooth_whole(rows, by, date, value, window, span)
-    short, long = split_by_length(rows, by, max_rows)
-    return _smooth_whole(short, by, date, value, window, span).unionByName(
-        _smooth_blocks(long, by, date, value, window, span, block_rows)
-    )
+    return _smooth_blocks(rows, by, date, value, window, span, block_rows)
 
 
-def _smooth_whole(rows, by, date, value, window, span) -> DataFrame:
-    """One shuffle by series serves every window below."""
-    rows = _rolling(rows, value, window, [by], [date, value])
-    if not wants(span):
-        return rows.withColumn("lpf", F.lit(None).cast("double"))
+def with_period_overlays(
+    rows: DataFrame,
+    by: str,
+    date: str,
+    value: str,
+    window: int | None = None,
+    span: int | None = None,
+) -> DataFrame:
+    """As with_overlays, for rows grouped by (series, month or year): the calendar bounds
+    such a series, so its windows gather it, and one shuffle serves all of them."""
+    rows = rows.select(by, date, value)
+    if not wants(window) and not wants(span):
+        none = F.lit(None).cast("double")
+        return rows.withColumns({"avg": none, "lpf": none})
     so_far = f"ORDER BY {date}, {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     not_finite = f"isnan({value}) OR abs({value}) = double('Infinity')"
     rows = rows.selectExpr(
         "*",
+        f"count(1) OVER (PARTITION BY {by} {so_far}) - 1 AS _pos",
         f"count({value}) OVER (PARTITION BY {by} {so_far}) - 1 AS _index",
         f"count({value}) OVER (PARTITION BY {by}) AS _length",
         f"sum(CASE WHEN {not_finite} THEN {value} END) OVER (PARTITION BY {by}) AS _special",
     )
-    return low_pass(
-        rows, value, span, [by], "_index", "_length", "_special", "lpf"
-    ).drop(*_HELPERS)
+    rows = _rolling(rows, value, window, [by])
+    if wants(span):
+        rows = low_pass(rows, value, span, [by], "_index", "_length", "_special", "lpf")
+    else:
+        rows = rows.withColumn("lpf", F.lit(None).cast("double"))
+    return rows.drop(*_HELPERS)
 
 
 def _smooth_blocks(rows, by, date, value, window, span, block_rows) -> DataFrame:
@@ -73,7 +75,7 @@ def _smooth_blocks(rows, by, date, value, window, span, block_rows) -> DataFrame
     if wants(window):
         before, after = window_reach(window)
         rows = into_blocks(rows, by, value, "_pos", before, after, block_rows)
-        rows = home_rows(_rolling(rows, value, window, block, ["_pos"]))
+        rows = home_rows(_rolling(rows, value, window, block))
     else:
         rows = rows.withColumn("avg", none)
     if not wants(span):
@@ -90,7 +92,7 @@ def _smooth_blocks(rows, by, date, value, window, span, block_rows) -> DataFrame
     return present.unionByName(absent).drop(*_HELPERS)
 
 
-def _rolling(rows, value, window, within, order) -> DataFrame:
+def _rolling(rows, value, window, within) -> DataFrame:
     if not wants(window):
         return rows.withColumn("avg", F.lit(None).cast("double"))
-    return rolling_mean(rows, value, window, within, order, "avg")
+    return rolling_mean(rows, value, window, within, "_pos", "avg")

@@ -1,15 +1,11 @@
-"""Least-squares polynomials per series.
-
-Points are report rows, one per year or other period of a station, so the
-calendar bounds a series and a window may gather it.
-"""
+"""Least-squares polynomials per series, from sums that are combined before their shuffle."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.values import polynomial
 
-# A smaller pivot means that the points do not determine the polynomial.
+# Fixed value: a smaller pivot means that the points do not determine the polynomial.
 SINGULAR = 1e-12
 
 
@@ -21,13 +17,7 @@ def polynomial_coefficients(
     The coefficients are null where the series has no more than `degree` points
     or where its points are degenerate.
     """
-    sums = [f"{text} AS {name}" for name, text in _moments(y, degree).items()]
-    rows = (
-        _centred(points, by, x)
-        .groupBy(by)
-        .agg(F.first("_center").alias("center"), *map(F.expr, sums))
-    )
-    rows = _solve(rows, degree)
+    rows = _solve(_sums(points, by, x, y, degree), degree)
     return rows.selectExpr(by, "center", *[f"_c{k} AS c{k}" for k in range(degree + 1)])
 
 
@@ -36,22 +26,27 @@ def with_polynomial_fit(
 ) -> DataFrame:
     """Add the fitted value at `x`; null where x is null or there is no fit.
 
-    Only points whose x is not null take part. The sums are window aggregates
-    over the series, so the fit needs one shuffle by series and no join.
+    Only points whose x is not null take part. Each series has one row of coefficients,
+    which is joined to its points.
     """
-    sums = [
-        f"{text} OVER (PARTITION BY {by}) AS {name}"
-        for name, text in _moments(y, degree).items()
-    ]
-    rows = _solve(_centred(points, by, x).selectExpr("*", *sums), degree)
-    coefficients = [F.col(f"_c{k}") for k in range(degree + 1)]
-    return rows.select(*points.columns, polynomial(coefficients, F.col("_t")).alias(out))
-
-
-def _centred(points: DataFrame, by: str, x: str) -> DataFrame:
-    """Years near 2000 have huge powers; their distances from the mean do not."""
-    return points.selectExpr("*", f"avg({x}) OVER (PARTITION BY {by}) AS _center").selectExpr(
-        "*", f"{x} - _center AS _t"
+    fits = polynomial_coefficients(points, by, x, y, degree).withColumnRenamed(by, "_by")
+    coefficients = [F.col(f"c{k}") for k in range(degree + 1)]
+    return points.join(fits, F.col(by).eqNullSafe(F.col("_by")), "left").select(
+        *points.columns, polynomial(coefficients, F.col(x) - F.col("center")).alias(out)
+    )
+
+
+def _sums(points: DataFrame, by: str, x: str, y: str, degree: int) -> DataFrame:
+    """Moments about the mean of x: years near 2000 have huge powers, their distances from
+    the mean do not. The means come first, one row per series, then the sums."""
+    centers = points.groupBy(F.col(by).alias("_by")).agg(F.avg(x).alias("center"))
+    sums = [f"{text} AS {name}" for name, text in _moments(y, degree).items()]
+    return (
+        points.select(by, x, y)
+        .join(centers, F.col(by).eqNullSafe(F.col("_by")))
+        .selectExpr(by, y, "center", f"{x} - center AS _t")
+        .groupBy(by)
+        .agg(F.max("center").alias("center"), *map(F.expr, sums))
     )
 
 

@@ -2,15 +2,12 @@
 
 from pyspark.sql import DataFrame
 
-# A sliding frame adds up all its rows for every row. Beyond this width,
-# running sums are subtracted instead, at a cost that does not depend on it.
-MAX_DIRECT_WINDOW = 50
-_MAX_OFFSET = 2**31 - 2
-
 
 def window_reach(window: int) -> tuple[int, int]:
     """Rows before and after the current one in a centred window."""
-    return min(window // 2, _MAX_OFFSET), min((window + 1) // 2 - 1, _MAX_OFFSET)
+    if window >= 2**31:
+        raise ValueError("a window has less than 2^31 rows")
+    return window // 2, (window + 1) // 2 - 1
 
 
 def rolling_mean(
@@ -18,59 +15,59 @@ def rolling_mean(
     value: str,
     window: int,
     within: list[str],
-    order: list[str],
+    position: str,
     out: str,
     min_rows: int = 1,
 ) -> DataFrame:
     """Add the mean of `value` over the `window` rows centred on each row.
 
-    Windows are cut off at the ends of the group. Nulls take up a row but are
-    not averaged; with fewer than `min_rows` other values the result is null.
+    `position` numbers the rows of the whole series from 0, so a group may hold a part
+    of a series with the rows its windows reach. Windows are cut off at the ends of the
+    series. Nulls take up a row but are not averaged; with fewer than `min_rows` other
+    values the result is null.
+
+    The series is parted into stretches of `window` rows. A frame is the end of one
+    stretch and the beginning of the next, so both are running sums of rows that all lie
+    within the frame: its cost does not grow with the width, and nothing outside the
+    frame, however large, is added and taken away again.
     """
-    by = f"PARTITION BY {', '.join(within)} ORDER BY {', '.join(order)}"
     before, after = window_reach(window)
-    if window > MAX_DIRECT_WINDOW:
-        return _by_running_sums(rows, value, by, before, after, out, min_rows)
-    frame = f"OVER ({by} ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
-    mean = f"avg({value}) {frame}"
-    if min_rows > 1:
-        mean = f"CASE WHEN count({value}) {frame} >= {min_rows} THEN {mean} END"
-    return rows.selectExpr("*", f"{mean} AS {out}")
+    group = ", ".join(within)
+    stretch = f"PARTITION BY {group}, _stretch ORDER BY {position}"
+    to_here = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    everything = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    order = f"PARTITION BY {group} ORDER BY {position}"
+    parts = {"_sum": f"coalesce({value}, 0D)", "_count": f"IF({value} IS NULL, 0L, 1L)"}
+    # the frame of row p begins at p - before; its stretch ends with it, at the end of
+    # the series, or goes on in the next one
+    begins, ends = f"{position} - {before}", f"least({position} + {after}, _last)"
+    same = f"floor(({begins}) / {window}) = floor({ends} / {window})"
 
+    def frame(p: str) -> str:
+        head = f"coalesce(lead({p}_head, {after}) OVER ({order}), {p}_end)"
+        tail = f"lag({p}_tail, {before}) OVER ({order})"
+        return (
+            f"CASE WHEN {position} < {before} THEN {head} "
+            f"WHEN {same} THEN {tail} ELSE {tail} + {head} END AS {p}"
+        )
 
-def _by_running_sums(rows, value, by, before, after, out, min_rows) -> DataFrame:
-    # NaN and infinities cannot be subtracted away again, so they are counted. No
-    # running sum may be null: null stands for a frame that ends with the group.
-    nan, inf, neg = (f"{value} = double('{v}')" for v in ("NaN", "Infinity", "-Infinity"))
-    parts = {
-        "_sum": f"CASE WHEN NOT ({nan} OR {inf} OR {neg}) THEN {value} ELSE 0D END",
-        "_count": f"CASE WHEN {value} IS NOT NULL THEN 1 ELSE 0 END",
-        "_nan": f"CASE WHEN {nan} THEN 1 ELSE 0 END",
-        "_inf": f"CASE WHEN {inf} THEN 1 ELSE 0 END",
-        "_neg": f"CASE WHEN {neg} THEN 1 ELSE 0 END",
-    }
-    run = f"({by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    whole = f"({by} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    in_frame = (
-        "coalesce(lead({p}_run, {after}) OVER ({by}), {p}_all)"
-        " - coalesce(lag({p}_run, {before}) OVER ({by}), 0) AS {p}"
-    )
     return (
-        rows.selectExpr(
+        rows.selectExpr("*", f"floor({position} / {window}) AS _stretch")
+        .selectExpr(
             "*",
-            *[f"sum({text}) OVER {run} AS {p}_run" for p, text in parts.items()],
-            *[f"sum({text}) OVER {whole} AS {p}_all" for p, text in parts.items()],
+            *[f"sum({x}) OVER ({stretch} DESC {to_here}) AS {p}_tail" for p, x in parts.items()],
         )
         .selectExpr(
-            *rows.columns,
-            *[in_frame.format(p=p, by=by, after=after, before=before + 1) for p in parts],
+            "*", *[f"sum({x}) OVER ({stretch} {to_here}) AS {p}_head" for p, x in parts.items()]
+        )
+        .selectExpr(
+            "*",
+            f"last({position}) OVER ({order} {everything}) AS _last",
+            *[f"last({p}_head) OVER ({order} {everything}) AS {p}_end" for p in parts],
         )
+        .selectExpr(*rows.columns, *map(frame, parts))
         .selectExpr(
             *rows.columns,
-            f"""CASE WHEN _count < {max(min_rows, 1)} THEN NULL
-                  WHEN _nan > 0 OR (_inf > 0 AND _neg > 0) THEN double('NaN')
-                  WHEN _inf > 0 THEN double('Infinity')
-                  WHEN _neg > 0 THEN double('-Infinity')
-                  ELSE _sum / _count END AS {out}""",
+            f"CASE WHEN _count >= {max(min_rows, 1)} THEN _sum / _count END AS {out}",
         )
     )

@@ -5,7 +5,7 @@ Rows come in no particular order unless the docstring says otherwise; apply
 `in_display_order` to what is shown to a reader.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions.dates import (
@@ -16,16 +16,9 @@ from frostline.functions.dates import (
     year_number,
 )
 from frostline.operators.filters import above, at_or_below, of_datatype, of_station
-from frostline.operators.long_series import (
-    BLOCK_ROWS,
-    SERIES_ROWS,
-    home_rows,
-    into_blocks,
-    number_rows,
-    split_by_length,
-)
+from frostline.operators.long_series import BLOCK_ROWS, home_rows, into_blocks, number_rows
 from frostline.operators.names import Names, with_station_name
-from frostline.operators.overlays import with_overlays
+from frostline.operators.overlays import with_overlays, with_period_overlays
 from frostline.operators.pairing import daily_mean_sums
 from frostline.operators.polyfit import with_polynomial_fit
 from frostline.operators.rolling import rolling_mean, window_reach
@@ -77,13 +70,12 @@ def series(
     window: int | None = None,
     low_pass: int | None = None,
     names: Names = STATION_NAMES,
-    max_rows: int = SERIES_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The daily values of one datatype, with a rolling mean and a low-pass.
 
-    `window` and `low_pass` count rows; each overlay is null unless its width
-    is above 1. Stations with more than `max_rows` rows are smoothed in blocks.
+    `window` and `low_pass` count rows; each overlay is null unless its width is above 1.
+    Stations are smoothed in blocks of `block_rows` rows, which does not show in the result.
     """
     if not datatype:
         raise ValueError("datatype is required")
@@ -97,8 +89,7 @@ def series(
         "value",
         window,
         low_pass,
-        max_rows=max_rows,
-        block_rows=block_rows,
+        block_rows,
     )
     return _named(rows, names, "value", "avg", "lpf")
 
@@ -127,10 +118,7 @@ def mean_temp_trend(
         )
         .agg(F.when(pairs > 0, F.sum("mean_sum") / pairs).alias("value"))
     )
-    # One row per period, so the calendar bounds the length of a series.
-    rows = with_overlays(
-        means, "station_id", "date", "value", window, low_pass, max_rows=None
-    )
+    rows = with_period_overlays(means, "station_id", "date", "value", window, low_pass)
     return _named(rows, names, "value", "avg", "lpf")
 
 
@@ -189,7 +177,6 @@ def climate_trend(
     value: str = "value",
     window: int = TREND_WINDOW,
     min_rows: int = TREND_MIN_ROWS,
-    max_rows: int = SERIES_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Readings minus the mean of their day of the year, smoothed over years.
@@ -198,52 +185,35 @@ def climate_trend(
     long_term_trend: the centred mean of the anomaly over `window` rows, null
     with fewer than `min_rows` readings. `by=None` takes all rows as one series.
     """
-    key = F.lit("") if by is None else F.coalesce(F.col(by), F.lit(""))
+    text = F.coalesce(F.col(date).cast("string"), F.lit(""))
+    # one key for all rows, but no constant: that would bring them into one task
+    key = F.substring(text, 1, 0) if by is None else F.coalesce(F.col(by), F.lit(""))
     rows = readings.select(
-        key.alias("station_id"),
-        F.coalesce(F.col(date).cast("string"), F.lit("")).alias("date"),
-        F.col(value).cast("double").alias("value"),
-    )
-    short, long = split_by_length(rows, "station_id", max_rows)
-
-    # Short series: gathered by station once, for the climatology (which is then
-    # a window instead of a join) and the trend alike.
-    day = Window.partitionBy("station_id", "day_of_year")
-    short = _with_ordinal_day(short.repartition("station_id"))
-    short = _with_anomaly(short.withColumn("seasonal_mean", F.avg("value").over(day)))
-    short = rolling_mean(
-        short,
-        "anomaly",
-        window,
-        ["station_id"],
-        ["date", "value"],
-        "long_term_trend",
-        min_rows,
+        key.alias("station_id"), text.alias("date"), F.col(value).cast("double").alias("value")
     )
-
-    # Long series: 366 means per station, joined to the folded readings.
-    long = _with_ordinal_day(number_rows(long, "station_id", "date", "value"))
-    weight = F.when(F.col("value").isNotNull(), F.col("_n"))
+    rows = _with_ordinal_day(number_rows(rows, "station_id", "date", "value"))
+    # 366 means per station, from sums that are combined before their shuffle
     means = (
-        long.groupBy("station_id", "day_of_year")
-        .agg((F.sum(F.col("value") * weight) / F.sum(weight)).alias("seasonal_mean"))
+        _with_ordinal_day(
+            readings.select(
+                key.alias("station_id"), text.alias("date"), F.col(value).cast("double").alias("value")
+            )
+        )
         .where(F.col("day_of_year").isNotNull())
+        .groupBy("station_id", "day_of_year")
+        .agg(F.avg("value").alias("seasonal_mean"))
     )
-    long = _with_anomaly(long.join(means, ["station_id", "day_of_year"], "left"))
+    rows = _with_anomaly(rows.join(means, ["station_id", "day_of_year"], "left"))
     before, after = window_reach(window)
-    long = into_blocks(long, "station_id", "value", "_pos", before, after, block_rows)
-    long = home_rows(
+    rows = into_blocks(rows, "station_id", "value", "_pos", before, after, block_rows)
+    rows = home_rows(
         rolling_mean(
-            long,
-            "anomaly",
-            window,
-            ["station_id", "_block"],
-            ["_pos"],
-            "long_term_trend",
-            min_rows,
+            rows, "anomaly", window, ["station_id", "_block"], "_pos", "long_term_trend", min_rows
         )
     )
-    return short.unionByName(long.select(*short.columns))
+    return rows.select(
+        "station_id", "date", "value", "day_of_year", "seasonal_mean", "anomaly", "long_term_trend"
+    )
 
 
 def _with_ordinal_day(rows: DataFrame) -> DataFrame:
@@ -265,6 +235,8 @@ def water_year_totals(
     names: Names = STATION_NAMES,
 ) -> DataFrame:
     """Totals from 1 October to 30 September, `date` being the year of the end."""
+    if not datatype:
+        raise ValueError("datatype is required")
     totals = (
         of_station(of_datatype(observations, datatype), station)
         .select(

@@ -9,7 +9,6 @@ from frostline.operators.long_series import (
     home_rows,
     into_blocks,
     number_rows,
-    split_by_length,
 )
 
 NAN, INF = float("nan"), float("inf")
@@ -29,13 +28,6 @@ def rows(spark):
     return spark.createDataFrame(data, "s string, d string, v double").repartition(6).cache()
 
 
-def test_series_are_split_by_length(rows):
-    short, long = split_by_length(rows, "s", 1000)
-    assert {r.s for r in short.collect()} == {"b"}
-    assert {r.s for r in long.collect()} == {"a"}
-    assert short.count() + long.count() == rows.count()
-
-
 def test_every_row_gets_its_place(rows):
     unfolded = home_rows(into_blocks(number_rows(rows, "s", "d", "v"), "s", "v"))
     for s in ("a", "b"):

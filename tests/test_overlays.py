@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline import series
-from frostline.operators.overlays import with_overlays
-from frostline.operators.rolling import MAX_DIRECT_WINDOW
+from frostline.operators.overlays import with_period_overlays
+from frostline.operators.rolling import window_reach
 from frostline.sources.files import from_rows
 
 NAN, INF = float("nan"), float("inf")
@@ -76,25 +76,29 @@ def test_no_overlay_without_a_width_above_one(spark):
         assert [(r.avg, r.lpf) for r in rows] == [(None, None)] * 3
 
 
-def test_low_pass_keeps_constants_and_stations_apart(spark):
-    obs = make(spark, a=[10.0] * 3, b=[20.0] * 3)
-    found = collect(series(obs, "TMAX", low_pass=3), "lpf")
-    assert_same(found["a"], [10.0] * 3)
-    assert_same(found["b"], [20.0] * 3)
+def test_low_pass_is_linear(spark):
+    one, two = noise(60, 2), noise(60, 3)
+    mixed = [2.5 * x - y for x, y in zip(one, two)]
+    found = collect(series(make(spark, a=one, b=two, c=mixed), "TMAX", low_pass=7), "lpf")
+    assert_same(found["c"], [2.5 * x - y for x, y in zip(found["a"], found["b"])])
 
 
-def test_low_pass_has_no_phase_lag(spark):
-    obs = make(spark, a=[1.0 if i == 10 else 0.0 for i in range(21)])
-    lpf = collect(series(obs, "TMAX", low_pass=3), "lpf")["a"]
-    peak = max(lpf)
-    assert lpf.index(peak) == 10
-    for d in range(1, 6):
-        assert abs(lpf[10 - d] - lpf[10 + d]) < 1e-4 * peak
+def test_low_pass_of_one_reading_in_closed_form(spark):
+    # far from the ends, both passes together weigh a reading with a/(2-a) r^|distance|
+    span, n, at = 4, 401, 200
+    weight = 2 / (span + 1)
+    lpf = collect(series(make(spark, a=[float(i == at) for i in range(n)]), "TMAX", low_pass=span), "lpf")["a"]
+    want = [weight / (2 - weight) * (1 - weight) ** abs(i - at) for i in range(n)]
+    assert_same(lpf[100:301], want[100:301], 1e-12)
 
 
-def test_low_pass_is_defined_at_the_ends(spark):
-    obs = make(spark, a=[1.0, 2.0, 3.0, 4.0, 5.0])
-    assert None not in collect(series(obs, "TMAX", low_pass=4), "lpf")["a"]
+@pytest.mark.parametrize("span", [2, 30])
+def test_low_pass_forgets_nothing_too_early(spark, span):
+    values = [0.0] * 400
+    values[0] = 1e15
+    lpf = collect(series(make(spark, a=values), "TMAX", low_pass=span, block_rows=50), "lpf")["a"]
+    for have, want in zip(lpf, filtered(values, span)):
+        assert abs(have - want) <= 1e-9 * abs(want)
 
 
 @pytest.mark.parametrize("span", [2, 3, 30, 365])
@@ -112,9 +116,9 @@ def test_low_pass_skips_nulls(spark):
 
 @pytest.mark.parametrize("values", [[None, 1.0, None, None, 5.0, None], [None, None], [None]])
 def test_low_pass_with_nulls_at_the_ends(spark, values):
-    for limit in (1_000, 1):
+    for limit in (1_000, 2):
         obs = make(spark, a=values)
-        lpf = collect(series(obs, "TMAX", low_pass=4, max_rows=limit, block_rows=2), "lpf")
+        lpf = collect(series(obs, "TMAX", low_pass=4, block_rows=limit), "lpf")
         by_value = sorted(zip(values, filtered(values, 4)), key=repr)
         assert len(lpf["a"]) == len(values)
         assert sorted(map(repr, lpf["a"])) == sorted(repr(y) for _, y in by_value)
@@ -128,7 +132,7 @@ def test_low_pass_carries_what_is_not_finite(spark, special, limit):
         values[at] = v
     obs = make(spark, a=values, b=noise(50))
     found = collect(
-        series(obs, "TMAX", low_pass=2, max_rows=limit, block_rows=40), "lpf"
+        series(obs, "TMAX", low_pass=2, block_rows=limit), "lpf"
     )
     assert_same(found["a"], filtered(values, 2))
     assert_same(found["b"], filtered(noise(50), 2))
@@ -159,15 +163,24 @@ def test_rolling_mean_with_values_that_are_not_finite(spark, window, limit):
     values[5], values[300], values[301], values[690] = INF, NAN, INF, -INF
     values[620] = INF
     obs = make(spark, a=values)
-    avg = collect(series(obs, "TMAX", window=window, max_rows=limit, block_rows=90), "avg")
+    avg = collect(series(obs, "TMAX", window=window, block_rows=limit), "avg")
     assert_same(avg["a"], rolled(values, window))
 
 
-def test_wide_windows_are_exact_at_the_limit(spark):
-    values = noise(500)
-    for window in (MAX_DIRECT_WINDOW, MAX_DIRECT_WINDOW + 1):
-        avg = collect(series(make(spark, a=values), "TMAX", window=window), "avg")["a"]
-        assert_same(avg, rolled(values, window))
+@pytest.mark.parametrize("window", [2, 50, 51, 365, 3652])
+def test_a_large_reading_stays_within_its_windows(spark, window):
+    values = [1e15, *noise(4200)[1:]]
+    avg = collect(series(make(spark, a=values), "TMAX", window=window, block_rows=900), "avg")["a"]
+    before, after = window_reach(window)
+    for i in range(0, len(values), 61):
+        frame = values[max(0, i - before) : i + after + 1]
+        want = math.fsum(frame) / len(frame)
+        assert abs(avg[i] - want) <= 1e-12 * abs(want)
+
+
+def test_windows_have_a_limit():
+    with pytest.raises(ValueError):
+        window_reach(2**31)
 
 
 def test_both_overlays_smooth_the_raw_values(spark):
@@ -190,9 +203,7 @@ def test_blocks_give_what_whole_series_give(spark, window, span, block_rows):
     rows += [(day(i), "TMAX", "short", float(i)) for i in range(30)]
     obs = from_rows(spark, rows).repartition(5)
     whole = series(obs, "TMAX", window=window, low_pass=span)
-    parts = series(
-        obs, "TMAX", window=window, low_pass=span, max_rows=100, block_rows=block_rows
-    )
+    parts = series(obs, "TMAX", window=window, low_pass=span, block_rows=block_rows)
     key = ["station_id", "station_name", "date", "value"]
 
     def listed(frame):
@@ -205,10 +216,10 @@ def test_blocks_give_what_whole_series_give(spark, window, span, block_rows):
     assert len(listed(parts)) == len(rows)
 
 
-def test_months_are_smoothed_without_counting_first(spark):
+def test_months_are_smoothed_in_one_shuffle(spark):
     values = noise(48)
     rows = [(f"{2000 + i // 12}-{i % 12 + 1:02d}", "a", v) for i, v in enumerate(values)]
     frame = spark.createDataFrame(rows, "date string, station_id string, value double")
-    found = with_overlays(frame, "station_id", "date", "value", 12, 6, max_rows=None)
+    found = with_period_overlays(frame, "station_id", "date", "value", 12, 6)
     assert_same(collect(found, "avg")["a"], rolled(values, 12))
     assert_same(collect(found, "lpf")["a"], filtered(values, 6))

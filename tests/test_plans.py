@@ -6,6 +6,7 @@ import pytest
 
 import frostline as fl
 from frostline.operators.nesting import nest_series
+from frostline.operators.polyfit import polynomial_coefficients
 from frostline.plans.ingest import combine
 from frostline.sources.files import read_observations
 from registry.observations import observations
@@ -29,7 +30,7 @@ def final_plan(frame):
 
 
 def exchanges(plan):
-    return re.findall(r"Exchange (\w+)", plan)
+    return re.findall(r"(?<!Broadcast)Exchange (\w+)", plan)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -45,20 +46,37 @@ def test_no_python_and_no_single_task(spark, name):
     "make, shuffles",
     [
         (lambda o: fl.series(o, "TMAX"), 0),
-        (lambda o: fl.series(o, "TMAX", window=30), 1),
-        (lambda o: fl.series(o, "TMAX", window=365, low_pass=30), 1),
         (lambda o: fl.mean_temp_trend(o, "monthly"), 2),
         (lambda o: fl.mean_temp_trend(o, "monthly", window=3, low_pass=3), 3),
-        (lambda o: fl.hot_days_per_year(o, 85.0), 2),
-        (lambda o: fl.growing_season(o), 2),
-        (lambda o: fl.climate_trend(o.where("datatype = 'TMAX'")), 1),
         (lambda o: fl.water_year_totals(o), 1),
     ],
 )
 def test_shuffles(table, make, shuffles):
+    assert exchanges(final_plan(make(table))) == ["hashpartitioning"] * shuffles
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda o: fl.series(o, "TMAX", window=30),
+        lambda o: fl.series(o, "TMAX", window=365, low_pass=30),
+        lambda o: fl.climate_trend(o.where("datatype = 'TMAX'")),
+        lambda o: fl.climate_trend(o.where("datatype = 'TMAX'"), by=None),
+        lambda o: nest_series(fl.series(o, "TMAX", window=30)),
+    ],
+)
+def test_no_window_holds_the_rows_of_a_station(table, make):
     plan = final_plan(make(table))
-    assert exchanges(plan) == ["hashpartitioning"] * shuffles
-    assert "Join" not in plan
+    assert "SinglePartition" not in plan
+    windows = re.findall(r"Window \[(.*)\], \[(.*?)\](?:, \[|\n|$)", plan)
+    by_station = [what for what, by in windows if re.fullmatch(r"station_id#\d+", by)]
+    assert all("_n" in what or "_m" in what for what in by_station)  # counts of days only
+
+
+def test_fits_combine_before_their_shuffle(table):
+    points = table.selectExpr("station", "cast(substring(date, 1, 4) AS double) AS x", "value")
+    plan = final_plan(polynomial_coefficients(points, "station", "x", "value", 2))
+    assert "partial_sum" in plan and "Window" not in plan
 
 
 def test_scans_read_only_what_they_need(table):
@@ -71,17 +89,7 @@ def test_scans_read_only_what_they_need(table):
     assert "ReadSchema: struct<station:string>" in plan
 
 
-def test_long_series_are_cut_into_blocks(table):
-    frame = fl.series(table, "TMAX", window=30, low_pass=30, max_rows=100, block_rows=200)
-    plan = final_plan(frame)
-    windows = re.findall(r"Window \[.*\], \[(.*?)\], \[", plan)
-    # rows are windowed by block; by station alone only months and counts are
-    assert any("_block" in w for w in windows)
-    rows_by_station = [w for w in windows if re.fullmatch(r"station_id#\d+", w)]
-    assert len(rows_by_station) <= 2
-    assert "BroadcastExchange" in plan
-
-
-def test_nested_rows_are_bounded(table):
-    frame = nest_series(fl.series(table, "TMAX"), 100)
-    assert max(len(r.points) for r in frame.collect()) <= 100
+def test_nested_rows_hold_a_span_of_the_calendar(table):
+    rows = nest_series(fl.series(table, "TMAX"), 4).collect()
+    assert len({(r.station_id, r.span) for r in rows}) == len(rows)
+    assert all(p.date[:4] == r.span and r.first_date == r.points[0].date for r in rows for p in r.points)

@@ -145,9 +145,9 @@ def climate(frame, window, min_rows):
     return frame
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 500])
+@pytest.mark.parametrize("block_rows", [10_000, 300])
 @pytest.mark.parametrize("window, min_rows", [(31, 20), (365, 182), (400, 200)])
-def test_climate_trend(spark, max_rows, window, min_rows):
+def test_climate_trend(spark, block_rows, window, min_rows):
     rng = random.Random(5)
     dates = [str(d.date()) for d in pd.date_range("1996-01-01", "1999-12-31")]
     # readings are missing, doubled and null
@@ -161,7 +161,7 @@ def test_climate_trend(spark, max_rows, window, min_rows):
         "date string, station string, value double",
     )
     found = fl.climate_trend(
-        obs, window=window, min_rows=min_rows, max_rows=max_rows, block_rows=300
+        obs, window=window, min_rows=min_rows, block_rows=block_rows
     ).toPandas()
     for s, r in given.items():
         want = climate(pd.DataFrame(r, columns=["date", "value"]), window, min_rows)
@@ -214,31 +214,36 @@ def test_dates_that_do_not_exist_have_no_anomaly(spark):
         "date string, station string, value double",
     )
     for limit in (100, 1):
-        found = fl.climate_trend(frame, window=3, min_rows=1, max_rows=limit)
+        found = fl.climate_trend(frame, window=3, min_rows=1, block_rows=limit)
         by_date = {r.date: (r.day_of_year, r.anomaly) for r in found.collect()}
         assert by_date == {"2001-02-31": (None, None), "2001-02-28": (59, 0.0), "": (None, None)}
 
 
-@pytest.mark.parametrize("max_points", [1000, 7])
-def test_nested_series(spark, small, max_points):
-    given = [(f"2000-01-{i % 28 + 1:02d}", "TMAX", "a", float(i % 5)) for i in range(60)]
+def test_nested_series(spark, small):
+    given = [(f"20{i % 3}0-01-{i % 28 + 1:02d}", "TMAX", "a", float(i % 5)) for i in range(60)]
     given += [("2000-01-05", "TMAX", "a", 2.0)] * 30
     given += [("2000-01-01", "TMAX", CORVALLIS, None), ("2000-01-02", "TMAX", CORVALLIS, 3.0)]
     flat = fl.series(from_rows(spark, given), "TMAX", window=3)
-    nested = nest_series(flat, max_points).orderBy("station_id", "chunk").collect()
-    assert all(len(r.points) <= max_points for r in nested)
+    nested = nest_series(flat).orderBy("station_id", "span").collect()
+    assert [r.span for r in nested if r.station_id == "a"] == ["200", "201", "202"]
     packed = [tuple(p) for r in nested if r.station_id == "a" for p in r.points]
     want = flat.where("station_id = 'a'").orderBy("date", "value", "avg")
     assert packed == rows(want, "date", "value", "avg", "lpf")
-    corvallis = [r for r in nested if r.station_id == CORVALLIS]
-    assert [r.station_name for r in corvallis] == ["Corvallis"]
-    (first, second) = corvallis[0].points
+    (corvallis,) = [r for r in nested if r.station_id == CORVALLIS]
+    assert (corvallis.station_name, corvallis.first_date) == ("Corvallis", "2000-01-01")
+    (first, second) = corvallis.points
     assert str(first.value) == "nan" and second.value == 3.0
-    if max_points == 1000:
-        assert [r.chunk for r in nested] == [0, 0]
 
 
 def test_nested_months_are_one_row(spark, small):
-    nested = nest_series(fl.mean_temp_trend(small, "monthly"), None)
+    nested = nest_series(fl.mean_temp_trend(small, "monthly"))
     points = {r.station_name: [p.date for p in r.points] for r in nested.collect()}
     assert points == {"Corvallis": ["2000-01"], "Eugene": ["2000-01", "2000-02"]}
+
+
+def test_two_names_for_a_station_stop_the_job(spark, small):
+    twice = spark.createDataFrame([("Z1", "one"), ("Z1", "two")], "id string, name string")
+    with pytest.raises(Exception, match="two names"):
+        fl.series(small, "TMAX", names=twice).union(fl.series(small, "PRCP", names=twice)).union(
+            fl.series(small, "TMIN", names=twice)
+        ).collect()
