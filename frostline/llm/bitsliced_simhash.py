@@ -201,6 +201,7 @@ def links(fps: DataFrame, radius: int = 2, block: int = 8192) -> DataFrame:
     """
     values = saved(fps.select("fp").distinct(), "fingerprints")
     tables = [(k, p, -1) for k, p in enumerate(_spread(list(range(BITS)), radius + 1))]
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, found = values, []
     while True:
         probe = F.array(
@@ -224,6 +225,7 @@ def links(fps: DataFrame, radius: int = 2, block: int = 8192) -> DataFrame:
         sizes = saved(sizes, "blocks")
         blocks = (
             dealt.join(sizes.where(F.col("n") <= block), ["t", "key"])
+            .repartition(tasks, "t", "key")  # few bytes, but much to compare
             .groupBy("t", "key")
             .agg(F.collect_list("fp").alias("fps"))
             .select("fps")

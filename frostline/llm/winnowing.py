@@ -241,6 +241,8 @@ def contamination(
         .groupBy("combo")
         .agg(F.array_sort(F.collect_set("id")).alias("items"))
     )
+    # only documents with hits meet their items, in tables that Spark can split by size
+    named = groups.join(saved(combos, "combos"), "combo").select("row", "items")
     n_hit = F.aggregate(
         F.coalesce("spans", empty), F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]
     )
@@ -248,8 +250,7 @@ def contamination(
     return (
         marked.select("row", "doc_id", "n_words")
         .join(runs, "row", "left")
-        .join(groups, "row", "left")
-        .join(combos, "combo", "left")
+        .join(named, "row", "left")
         .select(
             "doc_id",
             "n_words",
