@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from frostline.llm.workspace import Batches, bounded_batches, map_partitions, saved, text_rows, utf8
 
 #: Entries of the caches of a Python worker; beyond that they begin anew.
-CACHE_WORDS, CACHE_BASES = 300_000, 250_000
+CACHE_WORDS, CACHE_BASES = 600_000, 400_000
 PART_BYTES = 2_000_000
 VECTOR, DIMENSIONS, ORDER = 256, 3, 16
 
@@ -100,20 +100,32 @@ class WordTokens(dict):
             self.tails = {b"": b""}
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text. Words are split for about PART_BYTES of text at a time."""
+        """The ids of each text. Words are split for about PART_BYTES of text at a time;
+        those that the cache lacks are learned together."""
         out, first = [], 0
         while first < len(texts):
+            if len(self) > CACHE_WORDS:
+                self.clear()
             end, size = first, 0
             while end < len(texts) and size < PART_BYTES:
                 size += len(texts[end])
                 end += 1
-            split = [t.split() for t in texts[first:end]]
-            missing = set().union(*split).difference(self)
-            if missing and len(self) + len(missing) > CACHE_WORDS:
-                self.clear()
-                missing = set().union(*split)
+            gaps, missing = [], set()
+            for text in texts[first:end]:
+                words = text.split()
+                parts = list(map(self.get, words))
+                try:
+                    out.append(b"".join(parts))
+                except TypeError:  # a word is missing
+                    holes = [i for i, ids in enumerate(parts) if ids is None]
+                    missing.update([words[i] for i in holes])
+                    gaps.append((len(out), parts, [(i, words[i]) for i in holes]))
+                    out.append(b"")
             self.learn(missing)
-            out += [b"".join(map(self.__getitem__, words)) for words in split]
+            for at, parts, holes in gaps:
+                for i, word in holes:
+                    parts[i] = self[word]
+                out[at] = b"".join(parts)
             first = end
         return out
 
@@ -171,7 +183,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, keep: tuple[str, ...
         codec, projection = tokens_of(tokenizer), _projection(VECTOR, DIMENSIONS)
         end = np.array([end_id], "<u4").tobytes()
         bucket = np.random.default_rng(8).integers(0, VECTOR, max(len(codec.ends), end_id + 1))
-        sign = np.random.default_rng(9).choice([-1.0, 1.0], len(bucket))
+        sign = np.random.default_rng(9).choice([-1.0, 1.0], VECTOR)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             vectors = np.zeros((b.num_rows, VECTOR))
@@ -180,7 +192,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, keep: tuple[str, ...
             for first in range(0, len(texts), 500):  # ids of a part of the batch at a time
                 for raw in codec.texts([t or b"" for t in texts[first : first + 500]]):
                     x = np.frombuffer(raw + end, "<u4")
-                    vectors[len(n)] = np.bincount(bucket[x], sign[x], minlength=VECTOR)
+                    vectors[len(n)] = np.bincount(bucket[x], minlength=VECTOR) * sign
                     wide = x.max() >= 1 << 16
                     ids.append(b"\x00" + x.tobytes() if wide else x.astype("<u2").tobytes())
                     n.append(len(x))
