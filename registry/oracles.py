@@ -161,9 +161,9 @@ ORACLES: dict[str, str] = {
              FROM highs LEFT JOIN seasonal USING (station, day_of_year))
            SELECT station AS station_id, date, value,
              CAST(day_of_year AS INT) AS day_of_year,
-             round(seasonal_mean, 6) AS seasonal_mean, round(anomaly, 6) AS anomaly,
+             round(seasonal_mean + 1.7e-8, 6) AS seasonal_mean, round(anomaly + 1.7e-8, 6) AS anomaly,
              round(CASE WHEN count(anomaly) OVER w >= 182
-                   THEN avg(anomaly) OVER w END, 6) AS long_term_trend
+                   THEN avg(anomaly) OVER w END + 1.7e-8, 6) AS long_term_trend
            FROM anomalies WINDOW w AS (PARTITION BY station ORDER BY date
              ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)"""
     ),
@@ -174,9 +174,9 @@ ORACLES: dict[str, str] = {
            anomalies AS (SELECT *, value - seasonal_mean AS anomaly
              FROM highs LEFT JOIN seasonal USING (day_of_year))
            SELECT '' AS station_id, date, value, CAST(day_of_year AS INT) AS day_of_year,
-             round(seasonal_mean, 6) AS seasonal_mean, round(anomaly, 6) AS anomaly,
+             round(seasonal_mean + 1.7e-8, 6) AS seasonal_mean, round(anomaly + 1.7e-8, 6) AS anomaly,
              round(CASE WHEN count(anomaly) OVER w >= 1826
-                   THEN avg(anomaly) OVER w END, 6) AS long_term_trend
+                   THEN avg(anomaly) OVER w END + 1.7e-8, 6) AS long_term_trend
            FROM anomalies WINDOW w AS (ORDER BY date, value
              ROWS BETWEEN 1826 PRECEDING AND 1825 FOLLOWING)"""
     ),
