@@ -21,6 +21,11 @@ def test_article_of_a_page():
     ]
 
 
+def test_names_of_the_page_do_not_hide_it():
+    page = '<body class="has-sidebar"><main class="no-menu"><article class="post has-comments"><p>Text</p><article class="comment"><p>me</p></article></article></main></body>'
+    assert blocks(parse(page)) == ["Text"]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</p></p>", "plain", "<p>a<table><tr><td>b<td>c", "<script>x", "<a b='>'>t</a>", "<!--"])
 def test_broken_pages_do_not_fail(page):
     blocks(parse(page))
