@@ -84,7 +84,7 @@ def near_copy_groups(
     docs: DataFrame,
     words: int = 5,
     similarity: float = 0.8,
-    radius: int = 16,
+    radius: int = 24,
     tables: int = 6,
     size: int = 256,
     block: int = 4096,
@@ -96,8 +96,9 @@ def near_copy_groups(
     `similarity` alike, directly or through others. Texts with equal sets are folded
     first. Sets that agree in one of `tables` min-hashes share a block; a block is
     compared by SimHash in bit planes, and what lies within `radius` bits by the `size`
-    least hashes of both sets. Two sets of similarity s meet in no block with probability
-    (1 - s)^tables: 0.00006 at 0.8. A block of over `block` sets is cut, and every pair of
+    least hashes of both sets. Fingerprints of sets 0.8 alike differ in 9.6 bits on average,
+    with a deviation of 2.9, so the default radius is five deviations away. Two sets of
+    similarity s meet in no block with probability (1 - s)^tables: 0.00006 at 0.8. A block of over `block` sets is cut, and every pair of
     cuts compared, so no pair is lost and no task holds more than two cuts. Null texts and
     texts without words have the empty set.
     """

@@ -1,8 +1,12 @@
 import pytest
+import zstandard
+from test_duplicates import brute_lines, roots_of
+from test_models_and_benchmark import brute
 
 import corpus_pipeline as cp
-from frostline.llm.queries import tokenizer
+from frostline.llm import compression_bands as cb
 from frostline.llm import hilbert_packing as hp
+from frostline.llm.queries import tokenizer
 from frostline.llm.workspace import saved
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +67,28 @@ def test_no_documents(spark, no_documents):
     for _, stage in cp.STAGES:
         docs = saved(stage(spark, docs, SF), "none")
     assert docs.count() == 0
+
+
+def test_pipeline_against_brute_force(spark, stages):
+    docs = [(r.doc_id, r.text) for r in stages["documents"].collect()]
+    compress = zstandard.ZstdCompressor(level=3).compress
+    docs = [(d, t) for d, t in docs if cb.measure((t or "").encode(), compress)[6]]
+    lines = {int(d): kept for d, kept, _, _ in brute_lines(docs)}
+    docs = [(d, lines[d]) for d, _ in docs if lines[d].strip()]
+
+    def shingles(text):
+        w = text.encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = [shingles(t) for _, t in docs]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    n = range(len(docs))
+    root = roots_of(len(docs), [(i, j) for i in n for j in range(i) if alike(sets[i], sets[j])])
+    first = {}
+    for i, (d, _) in enumerate(docs):
+        first[root[i]] = min(d, first.get(root[i], d))
+    docs = [(d, t) for i, (d, t) in enumerate(docs) if first[root[i]] == d]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dirty = {int(d) for d, _, _, _, bad in brute(docs, items) if bad}
+    want = {d: t for d, t in docs if d not in dirty}
+    assert {r.doc_id: r.text for r in stages["decontamination"].collect()} == want
