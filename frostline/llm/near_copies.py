@@ -86,7 +86,7 @@ def near_copy_groups(
     similarity: float = 0.8,
     radius: int = 24,
     tables: int = 6,
-    size: int = 256,
+    size: int = 512,
     block: int = 4096,
     key: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:

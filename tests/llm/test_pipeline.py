@@ -70,7 +70,13 @@ def test_no_documents(spark, no_documents):
 
 
 def test_pipeline_against_brute_force(spark, stages):
-    docs = [(r.doc_id, r.text) for r in stages["documents"].collect()]
+    # texts whose shingle sets fit into a sketch, so that similarity is exact
+    short = stages["documents"].where("length(text) - length(replace(text, ' ', '')) < 400")
+    found = short
+    for _, stage in cp.STAGES[:-1]:
+        found = saved(stage(spark, found, SF), "short")
+    docs = [(r.doc_id, r.text) for r in short.collect()]
+    assert len(docs) > 100
     compress = zstandard.ZstdCompressor(level=3).compress
     docs = [(d, t) for d, t in docs if cb.measure((t or "").encode(), compress)[6]]
     lines = {int(d): kept for d, kept, _, _ in brute_lines(docs)}
@@ -91,4 +97,4 @@ def test_pipeline_against_brute_force(spark, stages):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = {int(d) for d, _, _, _, bad in brute(docs, items) if bad}
     want = {d: t for d, t in docs if d not in dirty}
-    assert {r.doc_id: r.text for r in stages["decontamination"].collect()} == want
+    assert {r.doc_id: r.text for r in found.collect()} == want
