@@ -63,20 +63,22 @@ def _block(ids, fps, sketches, radius, similarity, size):
     are linked through others already is not looked at again."""
     label = np.arange(len(ids))
     u, v = [], []
-
-    def root(x):
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
     for i, j in close_pairs(fps, radius):
-        for a, b in zip(i.tolist(), j.tolist()):
-            ra, rb = root(a), root(b)
-            if ra != rb and _similar(sketches[a], sketches[b], size) >= similarity:
-                label[max(ra, rb)] = min(ra, rb)
-                u.append(ids[a])
-                v.append(ids[b])
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for near in np.split(np.arange(len(i)), cuts) if len(i) else ():
+            a, others = i[near[0]], j[near]
+            while True:
+                others = others[label[others] != label[a]]  # not linked so far
+                if not len(others):
+                    break
+                b, others = others[0], others[1:]
+                if _similar(sketches[a], sketches[b], size) >= similarity:
+                    high, low = max(label[a], label[b]), min(label[a], label[b])
+                    label[label == high] = low
+                    u.append(ids[a])
+                    v.append(ids[b])
     return u, v
 
 
