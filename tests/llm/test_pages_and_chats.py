@@ -51,6 +51,20 @@ def test_template_goes_where_no_article_is_marked(spark):
     assert main_text(df).count() == len(rows)
 
 
+def test_template_and_names_within_articles(spark):
+    page = """<body><article><h1>Title {0}</h1><div class="search-notice"><p>Found in {0} places</p></div>
+<p>Story {0} begins</p><div class="box"><h4>About us</h4><p>We write since 1990</p></div><div class="share"><p>Tell all</p></div>
+<div class="related notice"><p>See {0}</p></div></article></body>"""
+    rows = [(i, "http://h.example/%d" % i, page.format(i)) for i in range(8)]
+    same = "<body><p>{}</p><article><p>Same for all</p></article></body>"
+    rows += [(20 + i, "http://same.example/%d" % i, same.format(i)) for i in range(6)]
+    rows.append((90, "http://few.example/", page.format(90)))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nFound in 3 places\nStory 3 begins"
+    assert got[21] == "Same for all"
+    assert got[90] == "Title 90\nStory 90 begins\nAbout us\nWe write since 1990"
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, p in zip(main_text(pages).orderBy("page_id").collect(), pages.orderBy("page_id").collect()):
