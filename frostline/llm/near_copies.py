@@ -1,4 +1,5 @@
-"""Groups of near copies: SimHash distances in bit planes, then similarity of shingle sets."""
+"""Groups of near copies: SimHash distances in bit planes, then similarity of shingle sets, of
+long texts by their least hashes where that is clear and by the whole sets where it is not."""
 
 from __future__ import annotations
 
@@ -13,6 +14,10 @@ from frostline.llm.components import components
 from frostline.llm.workspace import map_rows, saved, text_rows, utf8
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Sketches this far from the similarity decide; 0.1 is five standard errors of 512 hashes.
+MARGIN = 0.1
+#: What a block finds: links, pairs that whole sets must decide, and a block to look at again.
+LINK, DOUBT, AGAIN = 0, 1, 2
 
 
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -20,14 +25,20 @@ def _mix(h: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _shingle_set(data: bytes | None, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hashes of a text's shingles, the distinct ones in order, and the number of the set."""
+    found = shingles(data or b"", words)
+    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
+    own = np.unique(h)
+    return h, own, xxhash.xxh64_intdigest(own.tobytes())
+
+
 def _sets(b: pa.RecordBatch, key: tuple[str, ...], words: int, tables: int, size: int):
     ids, fps, keys, sketches = [], [], [], []
     for data in utf8(b.column("text")):
-        found = shingles(data or b"", words)
-        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
-        fps.append(_majority(h) if len(h) else 0)
-        h = np.unique(h)
-        ids.append(xxhash.xxh64_intdigest(h.tobytes()))
+        every, h, number = _shingle_set(data, words)
+        fps.append(_majority(every) if len(every) else 0)
+        ids.append(number)
         keys.append([int(_mix(h, t + 1).min()) if len(h) else 0 for t in range(tables)])
         low = (np.partition(h, size)[:size] if len(h) > size else h) >> np.uint64(32)
         sketches.append(np.sort(low).astype("<u4").tobytes())
@@ -45,41 +56,77 @@ def _sets(b: pa.RecordBatch, key: tuple[str, ...], words: int, tables: int, size
     )
 
 
-def _similar(a: bytes, b: bytes, size: int) -> float:
-    """Jaccard similarity of two sets from the least hashes of each; of sets that fit into
-    a sketch together, it is exact."""
+def _similar(a: bytes, b: bytes, size: int) -> tuple[float, bool]:
+    """Jaccard similarity of two sets from the least hashes of each, and whether it is exact,
+    as it is for sets that fit into a sketch."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     union = np.union1d(x, y)
-    if len(x) >= size or len(y) >= size:
+    exact = len(x) < size and len(y) < size
+    if not exact:
         union = union[:size]
     if not len(union):
-        return 1.0
+        return 1.0, True
     both = np.intersect1d(x, y, assume_unique=False)
-    return np.isin(union, both, assume_unique=True).sum() / len(union)
+    return np.isin(union, both, assume_unique=True).sum() / len(union), exact
 
 
-def _block(ids, fps, sketches, radius, similarity, size):
-    """Links (u, v) between the sets of a block that are near copies; a pair whose sets
-    are linked through others already is not looked at again."""
-    label = np.arange(len(ids))
-    u, v = [], []
+def _block(ids, roots, fps, sketches, radius, similarity, size, budget):
+    """Links (u, v) between the sets of a block that are near copies, pairs (u, v) that are in
+    doubt, and whether to look again when those are decided.
+
+    A pair whose sets are linked through others already is not looked at again. A set that has
+    `budget` pairs in doubt waits for them, so a large group does not put all its pairs in doubt.
+    """
+    label = np.unique(roots, return_inverse=True)[1]
+    links, doubts, again = [], [], False
     for i, j in close_pairs(fps, radius):
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
         cuts = np.flatnonzero(np.diff(i)) + 1
         for near in np.split(np.arange(len(i)), cuts) if len(i) else ():
             a, others = i[near[0]], j[near]
+            open_pairs = 0
             while True:
                 others = others[label[others] != label[a]]  # not linked so far
                 if not len(others):
                     break
+                if open_pairs >= budget:
+                    again = True
+                    break
                 b, others = others[0], others[1:]
-                if _similar(sketches[a], sketches[b], size) >= similarity:
+                alike, exact = _similar(sketches[a], sketches[b], size)
+                if not exact and abs(alike - similarity) < MARGIN:
+                    open_pairs += 1
+                    doubts.append((a, b))
+                elif alike >= similarity:
                     high, low = max(label[a], label[b]), min(label[a], label[b])
                     label[label == high] = low
-                    u.append(ids[a])
-                    v.append(ids[b])
-    return u, v
+                    links.append((ids[a], ids[b]))
+    return links, [(ids[a], ids[b]) for a, b in doubts if label[a] != label[b]], again
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, key: tuple[str, ...], words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of sets that are `similarity` alike, by all their shingles."""
+    wanted = saved(pairs.select(F.col("u").alias("w")).union(pairs.select("v")).distinct(), "wanted")
+    names = rows.join(wanted, F.col("id") == F.col("w"), "left_semi").select(*[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(key)]).distinct()
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"k{n}")) for n, c in enumerate(key)]
+    texts = docs.join(names, same, "left_semi").select("text")
+
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, sets = [], []
+        for data in utf8(b.column("text")):
+            _, own, number = _shingle_set(data, words)
+            ids.append(number)
+            sets.append(own.view(np.int64))
+        ids = pa.array(np.array(ids, np.uint64).view(np.int64))
+        return pa.record_batch([ids, pa.array(sets, pa.list_(pa.int64()))], ["id", "whole"])
+
+    sets = map_rows(texts, whole, "id long, whole array<long>").join(wanted, F.col("id") == F.col("w"), "left_semi")
+    sets = saved(sets.groupBy("id").agg(F.first("whole").alias("whole")), "whole")
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    counted = both.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b")).alias("total"))
+    return counted.where(F.col("shared") / (F.col("total") - F.col("shared")) >= similarity).select("u", "v")
 
 
 def near_copy_groups(
@@ -90,6 +137,7 @@ def near_copy_groups(
     tables: int = 6,
     size: int = 512,
     block: int = 4096,
+    budget: int = 8,
     key: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """The key columns and `id`, a number shared by near copies, of every row.
@@ -98,7 +146,11 @@ def near_copy_groups(
     `similarity` alike, directly or through others. Texts with equal sets are folded
     first. Sets that agree in one of `tables` min-hashes share a block; a block is
     compared by SimHash in bit planes, and what lies within `radius` bits by the `size`
-    least hashes of both sets. Fingerprints of sets 0.8 alike differ in 9.6 bits on average,
+    least hashes of both sets. These decide for sets that fit into them, and for longer ones
+    at MARGIN or more from `similarity`; what lies between is decided by the whole sets of
+    just those pairs. A set puts `budget` pairs at most in doubt; blocks with more are looked
+    at again, with eight times the budget, once these are decided, until none is left.
+    Fingerprints of sets 0.8 alike differ in 9.6 bits on average,
     with a deviation of 2.9, so the default radius is five deviations away. Two sets of
     similarity s meet in no block with probability (1 - s)^tables: 0.00006 at 0.8. A block of over `block` sets is cut, and every pair of
     cuts compared, so no pair is lost and no task holds more than two cuts. Null texts and
@@ -120,34 +172,56 @@ def near_copy_groups(
         lambda d: F.struct(F.least(own, d).alias("a"), F.greatest(own, d).alias("b")),
     )
     placed = met.join(sizes, ["t", "key"]).select("id", "t", "key", F.explode(pair).alias("cut"))
-    blocks = (
-        placed.join(sets, "id")
-        .groupBy("t", "key", "cut")
-        .agg(F.collect_list(F.struct("id", "fp", "sketch")).alias("sets"))
-        .where(F.size("sets") > 1)
-        .select("sets")
-    )
-
-    def compare(b: pa.RecordBatch) -> pa.RecordBatch:
-        column = b.column("sets")
-        inner = column.flatten()
-        at = column.offsets.to_numpy() - column.offsets[0].as_py()
-        ids = inner.field("id").to_numpy(zero_copy_only=False)
-        fps = inner.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        sketches = inner.field("sketch").to_pylist()
-        u, v = [], []
-        for a, z in zip(at[:-1], at[1:]):
-            order = np.argsort(ids[a:z], kind="stable")
-            found = _block(
-                ids[a:z][order], fps[a:z][order].copy(), [sketches[a + k] for k in order],
-                radius, similarity, size,
-            )
-            u += found[0]
-            v += found[1]
-        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    links = saved(map_rows(blocks, compare, "u long, v long"), "links")
-    roots = components(links)
+    placed = placed.select("id", "t", "key", "cut.a", "cut.b")
+    place = ["t", "key", "a", "b"]
+
+    def compared(placed: DataFrame, sets: DataFrame, budget: int) -> DataFrame:
+        blocks = (
+            placed.join(sets, "id")
+            .groupBy(*place)
+            .agg(F.collect_list(F.struct("id", "root", "fp", "sketch")).alias("sets"))
+            .where(F.size("sets") > 1)
+        )
+
+        def compare(b: pa.RecordBatch) -> pa.RecordBatch:
+            column = b.column("sets")
+            inner = column.flatten()
+            at = column.offsets.to_numpy() - column.offsets[0].as_py()
+            ids, roots, fps = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "fp"))
+            sketches = inner.field("sketch").to_pylist()
+            out = []
+            for k, (a, z) in enumerate(zip(at[:-1], at[1:])):
+                order = np.argsort(ids[a:z], kind="stable")
+                links, doubts, again = _block(
+                    ids[a:z][order], roots[a:z][order], fps[a:z][order].view(np.uint64), [sketches[a + n] for n in order],
+                    radius, similarity, size, budget,
+                )
+                out += [(u, v, LINK, 0, 0, 0) for u, v in links]
+                out += [(u, v, DOUBT, 0, 0, 0) for u, v in doubts]
+                if again:
+                    t, own, a, z = (b.column(c)[k].as_py() for c in place)
+                    out.append((own, own, AGAIN, t, a, z))
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
+            columns = zip(*out) if out else [[]] * 6
+            return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["u", "v", "kind", "t", "a", "b"])
+
+        return saved(map_rows(blocks, compare, "u long, v long, kind int, t int, a int, b int"), "found")
+
+    found = compared(placed, sets.withColumn("root", F.col("id")), budget)
+    links = found.where(F.col("kind") == LINK).select("u", "v")
+    while True:
+        doubts = found.where(F.col("kind") == DOUBT).select("u", "v").distinct()
+        if not doubts.isEmpty():
+            links = links.union(saved(_alike(doubts, rows, docs, key, words, similarity), "alike"))
+        roots = components(links)
+        again = found.where(F.col("kind") == AGAIN).select("t", F.col("u").alias("key"), "a", "b")
+        if again.isEmpty():
+            break
+        budget *= 8
+        rooted = sets.join(roots, F.col("id") == F.col("node"), "left")
+        rooted = rooted.select("id", F.coalesce("root", "id").alias("root"), "fp", "sketch")
+        found = compared(placed.join(again, place, "left_semi"), rooted, budget)
+        links = links.union(found.where(F.col("kind") == LINK).select("u", "v"))
     return (
         rows.select(*key, "id")
         .join(roots, F.col("id") == F.col("node"), "left")
