@@ -255,6 +255,21 @@ def test_verbatim_passages_are_found(spark, documents):
         assert got[i].n_passages == 0 and got[i].class_id == i
 
 
+def test_passages_that_stand_twice_in_a_text(spark):
+    assert {(0, 1, 4), (0, 3, 4)} <= set(cw.compact_windows(np.array([5, 1, 5, 1, 5], np.uint64), 4))
+    pick = random.Random(11)
+    text = lambda n: " ".join("w%d" % pick.randrange(9999) for _ in range(n))
+    passage = text(60)
+    rows = [(1, f"{text(70)} {passage} {text(70)} {passage} {text(70)}"), (2, f"{text(40)} {passage} {text(40)}")]
+    for order in (rows, [(2, rows[0][1]), (1, rows[1][1])]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = {r.doc_id: r for r in cw.near_passages(df).collect()}
+        twice, once = got[order[0][0]], got[order[1][0]]
+        for s in (70, 200):
+            assert any(x.s <= s and x.e >= s + 60 for x in twice.spans)
+        assert any(x.s <= 40 and x.e >= 100 for x in once.spans) and twice.class_id == once.class_id == 1
+
+
 def test_passages_of_the_documents(spark, documents):
     rows = [(r.doc_id, words_of(r.text)) for r in documents.collect()]
     held = collections.defaultdict(set)
