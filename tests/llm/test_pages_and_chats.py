@@ -65,6 +65,18 @@ def test_template_and_names_within_articles(spark):
     assert got[90] == "Title 90\nStory 90 begins\nAbout us\nWe write since 1990"
 
 
+def test_template_of_a_second_layout_and_of_few_pages(spark):
+    first = "<body><div id='post-{0}'><p>Site of facts</p><div><p>Story {0} begins</p></div><p>Call us</p></div></body>"
+    second = "<body><table><tr><td>Shop of facts</td><td>Offer {0}</td></tr></table><div><p>Call us</p></div></body>"
+    third = "<body><div><p>Site of facts</p><ul><li>Item {0}</li></ul><p>Call us</p></div></body>"
+    pages = [*[(i, first) for i in range(9)], *[(20 + i, second) for i in range(6)], (40, third), (41, third)]
+    rows = [(i, "http://h.example/%d" % i, page.format(i)) for i, page in pages]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), share=0.6).collect()}
+    assert got[3] == "Story 3 begins"
+    assert got[22] == "Offer 22"
+    assert got[40] == "Item 40"
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, p in zip(main_text(pages).orderBy("page_id").collect(), pages.orderBy("page_id").collect()):
