@@ -77,8 +77,84 @@ SELECT conv_id, n AS n_turns, copies, chat FROM whole
 WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.n < p.last AND p.prefix = whole.prefix)
 """
 
+# The byte table of CRC-32 by its rule, then each different word's bytes folded into it.
+OP11 = rf"""
+WITH words AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_ascii_lower("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), NULL, list_filter(regexp_split_to_array({_ascii_lower("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')
+  FROM benchmark
+), counted AS (
+  SELECT side, r, w, count(*) AS n FROM (SELECT side, r, unnest(w) AS w FROM words) GROUP BY ALL
+), bytes AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1))) ORDER BY b) AS crc
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
+), hashed AS (
+  SELECT w, xor(list_reduce([4294967295] || list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || x[2 * i - 1 : 2 * i] AS BIGINT)),
+    lambda a, z: xor(a >> 8, crc[(xor(a, z) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM counted)), bytes
+), features AS (SELECT side, r, bucket, sum(n) AS n FROM counted JOIN hashed USING (w) GROUP BY ALL),
+corpus AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM features GROUP BY bucket
+), sums AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM corpus),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM corpus, sums
+), weights AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM features JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM (FROM words WHERE side = 'd') LEFT JOIN weights USING (r)
+), noisy AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS place,
+    count(*) FILTER (n_features >= 20) OVER () AS n
+  FROM noisy
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+def _clusters(k: int, rounds: int, width: int) -> str:
+    """Assignment and floored means, a pair of statements for each round."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width}
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, q) - 1 AS c, q FROM v
+  ORDER BY sha256('2:' || vec_id) NULLS LAST, q LIMIT {k}
+)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.r, v.vec_id, v.q, m.c, CAST(list_sum(list_transform(list_zip(v.q, m.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM v, c{i} m) GROUP BY ALL
+)""".replace("GROUP BY ALL", "GROUP BY r, vec_id, q"))
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM (
+    SELECT c, j, sum(q[j]) AS s, count(*) AS n FROM a{i}, range(1, {width + 1}) t(j) GROUP BY c, j) GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return f"""WITH {', '.join(steps)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m USING (c)"""
+
+
+OP13 = _clusters(40, 5, 64)
+
 ORACLES = {
     "op7_snapshot_collapse": OP7,
     "op9_winnowing": OP9,
     "op10_perfect_hash_lines": OP10,
+    "op11_bitsliced_resampling": OP11,
+    "op13_simplex_clusters": OP13,
 }

@@ -9,7 +9,10 @@ from frostline.llm import compression_bands, hilbert_packing, perfect_hash_lines
 from frostline.llm.bitsliced_simhash import near_duplicates
 from frostline.llm.brown_clusters import brown_scores
 from frostline.llm.compact_windows import near_passages
+from frostline.llm.cross_polytope import nearest_neighbours
 from frostline.llm.exact_substrings import dedup_substrings
+from frostline.llm.importance_resampling import importance_resample
+from frostline.llm.simplex_clusters import cluster
 from frostline.llm.snapshot_collapse import rendered
 from frostline.llm.wrapper_induction import main_text
 
@@ -89,6 +92,20 @@ def op10_perfect_hash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bitsliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op13_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, seed=2)
+    return found.withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,5 +119,8 @@ QUERIES = {
         op8_brown_clusters,
         op9_winnowing,
         op10_perfect_hash_lines,
+        op11_bitsliced_resampling,
+        op12_cross_polytope,
+        op13_simplex_clusters,
     )
 }
