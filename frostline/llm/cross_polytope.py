@@ -52,7 +52,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     n, width = x.shape
     step = 1
     while step < width:
-        y = x.reshape(n, -1, 2, step)
+        y = x.reshape(n, width // (2 * step), 2, step)
         x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, width)
         step *= 2
     return x / math.sqrt(width)
@@ -369,12 +369,14 @@ def nearest_neighbours(
     enough, everything, answers = min(k + 1, facts["ids"]), hashing.buckets * tables, []
     while True:
         found = saved(_search(asked, blocks, hashing, kind, n, k + 1), "found")
-        full = F.size("near") >= enough
-        if n >= everything or found.where(~full).isEmpty():
+        if n >= everything:
             answers.append(found)
             break
-        answers.append(found.where(full))
-        asked, n = asked.join(found.where(~full), "key", "left_semi"), min(everything, 8 * n)
+        full = found.where(F.size("near") >= enough)
+        answers.append(full)
+        asked, n = asked.join(full.select("key"), "key", "left_anti"), min(everything, 8 * n)
+        if asked.isEmpty():
+            break
     every_answer = answers[0]
     for more in answers[1:]:
         every_answer = every_answer.unionByName(more)
