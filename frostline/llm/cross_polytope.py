@@ -15,6 +15,8 @@ from frostline.llm.workspace import Batches, bounded_batches, map_rows, saved, t
 
 #: Vectors of a bucket, and queries to it, that meet as one product of matrices.
 BLOCK = 1024
+#: Candidates a task holds before it leaves out those that others of the same query surpass.
+HELD = 300_000
 #: Queries whose true neighbours set the number of probes, and the share of these to be found.
 SAMPLE, RECALL = 100, 0.95
 
@@ -278,6 +280,23 @@ def best_of_block(q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int):
     return row[pair], at[pair], vec_id[kept], exact[pair]
 
 
+def surpassed(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """Candidates without those that `k` others of their query surpass, each once."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    code, of = (
+        rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("key", "of")
+    )
+    far, vec_id = (rows.column(c).to_numpy() for c in ("far", "vec_id"))
+    order = np.lexsort((of, vec_id, far, code))
+    code, of, far, vec_id = code[order], of[order], far[order], vec_id[order]
+    other = np.diff(code, prepend=-1) != 0
+    worse = other | (np.diff(far, prepend=np.nan) != 0) | (np.diff(vec_id, prepend=-1) != 0)
+    place = np.cumsum(worse)
+    place -= np.repeat(place[other], np.diff(np.append(np.flatnonzero(other), len(code))))
+    kept = (place < k) & (worse | (np.diff(of, prepend=-1) != 0))
+    return rows.take(pa.array(order[kept])).combine_chunks().to_batches()[0]
+
+
 def _search(asked: DataFrame, blocks: DataFrame, hashing: CrossPolytope, kind: str, n: int, k: int) -> DataFrame:
     """(key, near): up to `k` candidates (minus score, vec_id, key) of each query, nearest first."""
 
@@ -299,24 +318,29 @@ def _search(asked: DataFrame, blocks: DataFrame, hashing: CrossPolytope, kind: s
     packs = _gathered(sent, kind, hashing.dim, "t long, b long, v binary, key array<binary>")
     packs = packs.select("t", "b", F.col("v").alias("qv"), F.col("key").alias("qkey"))
 
-    def meet(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
-        for i in range(b.num_rows):
-            q, x = (
-                np.frombuffer(b.column(c)[i].as_py(), kind).reshape(-1, hashing.dim).astype(float) for c in ("qv", "v")
-            )
-            row, at, vec_id, score = best_of_block(q, x, b.column("ids")[i].as_py(), k)
-            qkeys, keys = b.column("qkey")[i].values, b.column("key")[i].values
-            out.append(
-                pa.record_batch(
-                    [qkeys.take(pa.array(row)), pa.array(-score), pa.array(vec_id), keys.take(pa.array(at))],
-                    ["key", "far", "vec_id", "of"],
-                )
-            )
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+    def met_in(b: pa.RecordBatch, i: int) -> pa.RecordBatch:
+        q, x = (np.frombuffer(b.column(c)[i].as_py(), kind).reshape(-1, hashing.dim).astype(float) for c in ("qv", "v"))
+        row, at, vec_id, score = best_of_block(q, x, b.column("ids")[i].as_py(), k)
+        qkeys, keys = b.column("qkey")[i].values, b.column("key")[i].values
+        return pa.record_batch(
+            [qkeys.take(pa.array(row)), pa.array(-score), pa.array(vec_id), keys.take(pa.array(at))],
+            ["key", "far", "vec_id", "of"],
+        )
+
+    def meet(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                held.append(met_in(b, i))
+                if sum(h.num_rows for h in held) > HELD:
+                    held = [surpassed(held, k)]
+                    if held[0].num_rows > HELD // 2:
+                        yield held.pop()
+        if held:
+            yield surpassed(held, k)
 
     pairs = packs.join(blocks, ["t", "b"]).select("qv", "qkey", "v", "key", "ids")
-    met = map_rows(pairs, meet, "key binary, far double, vec_id long, of binary")
+    met = bounded_batches(pairs).mapInArrow(meet, "key binary, far double, vec_id long, of binary")
     place = F.dense_rank().over(Window.partitionBy("key").orderBy("far", "vec_id", "of"))
     near = F.sort_array(F.collect_set(F.struct("far", "vec_id", "of")))
     return met.withColumn("place", place).where(F.col("place") <= k).groupBy("key").agg(near.alias("near"))

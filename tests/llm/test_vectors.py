@@ -51,6 +51,7 @@ def brute_neighbours(rows, every, k):
 def test_neighbours_with_all_probes_are_exact(spark, seed, monkeypatch):
     monkeypatch.setattr(cp, "RECALL", 1.0)
     monkeypatch.setattr(cp, "BLOCK", 37)
+    monkeypatch.setattr(cp, "HELD", 200 * seed)
     rows = odd_rows(np.random.default_rng(seed), 6, 150)
     found = cp.nearest_neighbours(table(spark, rows), every=5, k=7, tables=2, bucket_rows=10)
     assert sorted(map(tuple, found.collect())) == brute_neighbours(rows, 5, 7)
