@@ -7,7 +7,8 @@ it needs and no task sees more than a block. All series take this way.
 """
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from frostline.operators.rolling import window_reach
 
 # Consecutive rows of a series that form one block.
 BLOCK_ROWS = 250_000
@@ -30,6 +31,7 @@ def number_rows(
       _pos      the position of the first copy in the series,
       _index    the same, counting only rows whose value is not null,
       _length   the number of rows of the series whose value is not null,
+      _rows     the number of all its rows,
       _special  the sum of the values that are NaN or infinite, else null.
     """
     reading = ", ".join([by, date, value, *extra])
@@ -50,7 +52,8 @@ def number_rows(
           SELECT {by}, {date},
             coalesce(sum(_n) OVER earlier, 0) AS _n_day,
             coalesce(sum(_m) OVER earlier, 0) AS _m_day,
-            sum(_m) OVER series AS _length, sum(_special) OVER series AS _all
+            sum(_m) OVER series AS _length, sum(_n) OVER series AS _rows,
+            sum(_special) OVER series AS _all
           FROM days
           WINDOW series AS (PARTITION BY {by}),
             earlier AS (PARTITION BY {by} ORDER BY {date}
@@ -59,7 +62,7 @@ def number_rows(
           coalesce(_n_day, raise_error('a reading changed while it was numbered'))
             + coalesce(sum(_n) OVER earlier, 0) AS _pos,
           _m_day + coalesce(sum(_m) OVER earlier, 0) AS _index,
-          _length, _all AS _special
+          _length, _rows, _all AS _special
         FROM readings r LEFT JOIN starts s USING ({by}, {date})
         WINDOW earlier AS (PARTITION BY {by}, {date} ORDER BY {order}
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -110,6 +113,15 @@ def into_blocks(
     )
 
 
+def blocks_for(
+    readings: DataFrame, by: str, value: str, window: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Blocks by position, with the margins of a centred window that is not wider than a block.
+    Wider windows are put together from blocks without margins."""
+    before, after = window_reach(window) if window <= block_rows else (0, 0)
+    return into_blocks(readings, by, value, "_pos", before, after, block_rows)
+
+
 def home_rows(rows: DataFrame) -> DataFrame:
     """Drop the margins again."""
-    return rows.where("_home").drop("_block", "_home")
+    return rows.where("_home").drop("_home")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from frostline.operators.filters import wants
 from frostline.operators.long_series import (
     BLOCK_ROWS,
+    blocks_for,
     home_rows,
-    into_blocks,
     number_rows,
 )
-from frostline.operators.lowpass import low_pass, low_pass_reach
-from frostline.operators.rolling import rolling_mean, window_reach
+from frostline.operators.lowpass import carried_between_blocks, low_pass
+from frostline.operators.rolling import rolling_mean, wide_rolling_mean
 
 _HELPERS = ("_n", "_pos", "_index", "_length", "_special")
 
@@ -62,34 +62,32 @@ def with_period_overlays(
     )
     rows = _rolling(rows, value, window, [by])
     if wants(span):
-        rows = low_pass(rows, value, span, [by], "_index", "_length", "_special", "lpf")
+        rows = low_pass(rows, value, span, [by], "_index", "_length", "_special", "lpf", "_pos")
     else:
         rows = rows.withColumn("lpf", F.lit(None).cast("double"))
     return rows.drop(*_HELPERS)
 
 
 def _smooth_blocks(rows, by, date, value, window, span, block_rows) -> DataFrame:
+    """Both overlays over one layout of blocks, with margins if the window needs any."""
     none = F.lit(None).cast("double")
-    block = [by, "_block"]
-    rows = number_rows(rows, by, date, value)
-    if wants(window):
-        before, after = window_reach(window)
-        rows = into_blocks(rows, by, value, "_pos", before, after, block_rows)
-        rows = home_rows(_rolling(rows, value, window, block))
+    wide = wants(window) and window > block_rows
+    numbered = number_rows(rows, by, date, value)
+    blocks = blocks_for(numbered, by, value, window if wants(window) else 1, block_rows)
+    blocks = blocks.drop("_n") if wide else blocks.drop("_n", "_rows")
+    rows = home_rows(blocks if wide else _rolling(blocks, value, window, [by, "_block"]))
+    if wants(span):
+        carried = carried_between_blocks(home_rows(blocks), by, value, span, "_index", "_length")
+        enters, bounds = ("_in", "_back"), ("_first", "_next")
+        rows = rows.join(carried, [by, "_block"])
+        rows = low_pass(
+            rows, value, span, [by, "_block"], "_index", "_length", "_special", "lpf", "_pos", enters, bounds
+        )
     else:
-        rows = rows.withColumn("avg", none)
-    if not wants(span):
-        return rows.withColumn("lpf", none).drop(*_HELPERS)
-    reach = low_pass_reach(span)
-    present = rows.where(F.col(value).isNotNull())
-    present = into_blocks(present, by, value, "_index", reach, reach, block_rows)
-    present = home_rows(
-        low_pass(present, value, span, block, "_index", "_length", "_special", "lpf")
-    )
-    # Null readings take no part, and many of them may share one index.
-    absent = rows.where(F.col(value).isNull()).withColumn("lpf", none)
-    absent = home_rows(into_blocks(absent, by, value, "_pos", block_rows=block_rows))
-    return present.unionByName(absent).drop(*_HELPERS)
+        rows = rows.withColumn("lpf", none)
+    if wide:
+        rows = wide_rolling_mean(rows, by, value, window, block_rows, "avg")
+    return rows.select(by, date, value, "avg", "lpf")
 
 
 def _rolling(rows, value, window, within) -> DataFrame:

@@ -16,12 +16,12 @@ from frostline.functions.dates import (
     year_number,
 )
 from frostline.operators.filters import above, at_or_below, of_datatype, of_station
-from frostline.operators.long_series import BLOCK_ROWS, home_rows, into_blocks, number_rows
+from frostline.operators.long_series import BLOCK_ROWS, blocks_for, number_rows
 from frostline.operators.names import Names, with_station_name
 from frostline.operators.overlays import with_overlays, with_period_overlays
 from frostline.operators.pairing import daily_mean_sums
 from frostline.operators.polyfit import with_polynomial_fit
-from frostline.operators.rolling import rolling_mean, window_reach
+from frostline.operators.rolling import block_rolling_mean
 from frostline.operators.seasons import season_lengths
 from frostline.schema import (
     FIRST_FIT_YEAR,
@@ -204,12 +204,9 @@ def climate_trend(
         .agg(F.avg("value").alias("seasonal_mean"))
     )
     rows = _with_anomaly(rows.join(means, ["station_id", "day_of_year"], "left"))
-    before, after = window_reach(window)
-    rows = into_blocks(rows, "station_id", "value", "_pos", before, after, block_rows)
-    rows = home_rows(
-        rolling_mean(
-            rows, "anomaly", window, ["station_id", "_block"], "_pos", "long_term_trend", min_rows
-        )
+    rows = blocks_for(rows, "station_id", "value", window, block_rows)
+    rows = block_rolling_mean(
+        rows, "station_id", "anomaly", window, block_rows, "long_term_trend", min_rows
     )
     return rows.select(
         "station_id", "date", "value", "day_of_year", "seasonal_mean", "anomaly", "long_term_trend"

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from frostline import series
+from frostline import climate_trend, series
+from frostline.operators.long_series import blocks_for, number_rows
 from frostline.operators.overlays import with_period_overlays
 from frostline.operators.rolling import window_reach
 from frostline.sources.files import from_rows
@@ -216,6 +217,49 @@ def test_blocks_give_what_whole_series_give(spark, window, span, block_rows):
     assert len(listed(parts)) == len(rows)
 
 
+@pytest.mark.parametrize("span", [3, 30, 5_000, 1_000_000])
+def test_low_pass_carries_over_blocks_of_any_span(spark, span):
+    values = noise(3000)
+    values[40:43], values[1200:1420] = [None] * 3, [None] * 220  # a few, and two whole blocks
+    lpf = collect(series(make(spark, a=values, b=noise(7)), "TMAX", low_pass=span, block_rows=100), "lpf")
+    assert_same(lpf["a"], filtered(values, span))
+    assert_same(lpf["b"], filtered(noise(7), span))
+
+
+@pytest.mark.parametrize("window", [101, 130, 250, 999, 1000, 2999, 3000, 100_000])
+def test_windows_wider_than_a_block(spark, window):
+    values = noise(1203)
+    values[3:5], values[700:820] = [None] * 2, [None] * 120
+    obs = make(spark, a=values, b=noise(3), c=noise(250))
+    both = series(obs, "TMAX", window=window, low_pass=9, block_rows=100)
+    avg, lpf = collect(both, "avg"), collect(both, "lpf")
+    for name, have in (("a", values), ("b", noise(3)), ("c", noise(250))):
+        assert_same(avg[name], rolled(have, window))
+        assert_same(lpf[name], filtered(have, 9))
+
+
+def test_trend_with_a_window_wider_than_a_block(spark):
+    obs = make(spark, a=noise(1500))
+    parts, whole = (
+        climate_trend(obs, window=365, min_rows=300, block_rows=n).orderBy("date").collect() for n in (40, 100_000)
+    )
+    assert_same([r.long_term_trend for r in parts], [r.long_term_trend for r in whole])
+
+
+def test_a_large_reading_stays_within_wide_windows(spark):
+    values = [1e15, *noise(2000)[1:]]
+    avg = collect(series(make(spark, a=values), "TMAX", window=365, block_rows=90), "avg")["a"]
+    assert_same(avg[400:], rolled(values, 365)[400:])
+
+
+@pytest.mark.parametrize("window", [None, 101, 10_000_000])
+def test_blocks_do_not_grow_with_wide_windows(spark, window):
+    obs = make(spark, a=noise(2000))
+    numbered = number_rows(obs, "station", "date", "value")
+    blocks = blocks_for(numbered, "station", "value", window or 1, 100)
+    assert blocks.groupBy("_block").count().agg({"count": "max"}).first()[0] == 100
+
+
 def test_months_are_smoothed_in_one_shuffle(spark):
     values = noise(48)
     rows = [(f"{2000 + i // 12}-{i % 12 + 1:02d}", "a", v) for i, v in enumerate(values)]
