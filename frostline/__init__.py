@@ -1,6 +1,6 @@
 """Daily station records on Spark: ingest, smoothing, trends and seasons."""
 
-from frostline.operators.nesting import nest_series
+from frostline.operators.nesting import nest_days_and_fit, nest_series
 from frostline.operators.pairing import paired_days
 from frostline.operators.polyfit import polynomial_coefficients, with_polynomial_fit
 from frostline.plans.ingest import (
@@ -46,6 +46,7 @@ __all__ = [
     "in_display_order",
     "mean_temp_trend",
     "missing_years",
+    "nest_days_and_fit",
     "nest_series",
     "page_index",
     "page_observations",

@@ -1,5 +1,7 @@
 """Least-squares polynomials per series, from sums that are combined before their shuffle."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ from frostline.functions.values import polynomial
 
 # Fixed value: a smaller pivot means that the points do not determine the polynomial.
 SINGULAR = 1e-12
+# Length of the stretches of x whose powers are summed about their middle.
+STRETCH = 64.0
 
 
 def polynomial_coefficients(
@@ -36,24 +40,50 @@ def with_polynomial_fit(
     )
 
 
+def with_period_fit(
+    points: DataFrame, by: str, x: str, y: str, degree: int, out: str
+) -> DataFrame:
+    """As with_polynomial_fit, for points grouped by (series, year): the calendar bounds such a
+    series, so windows gather its sums and the points are neither read again nor joined."""
+    whole = f"OVER (PARTITION BY {by})"
+    sums = [f"{text} {whole} AS {name}" for name, text in _moments(y, degree).items()]
+    rows = points.selectExpr("*", f"avg({x}) {whole} AS center").selectExpr("*", f"{x} - center AS _t")
+    rows = _solve(rows.selectExpr("*", *sums), degree)
+    coefficients = [F.col(f"_c{k}") for k in range(degree + 1)]
+    return rows.select(*points.columns, polynomial(coefficients, F.col("_t")).alias(out))
+
+
 def _sums(points: DataFrame, by: str, x: str, y: str, degree: int) -> DataFrame:
     """Moments about the mean of x: years near 2000 have huge powers, their distances from
-    the mean do not. The means come first, one row per series, then the sums."""
-    centers = points.groupBy(F.col(by).alias("_by")).agg(F.avg(x).alias("center"))
+    the mean do not. One pass over the points sums powers about the middle of a stretch of x
+    near each; the stretches of a series, a few rows, are then moved to its mean by the
+    binomial rule."""
     sums = [f"{text} AS {name}" for name, text in _moments(y, degree).items()]
-    return (
-        points.select(by, x, y)
-        .join(centers, F.col(by).eqNullSafe(F.col("_by")))
-        .selectExpr(by, y, "center", f"{x} - center AS _t")
-        .groupBy(by)
-        .agg(F.max("center").alias("center"), *map(F.expr, sums))
+    stretches = (
+        points.selectExpr(by, y, x, f"{STRETCH!r}D * rint({x} / {STRETCH!r}D) AS _middle")
+        .selectExpr(by, y, "_middle", f"{x} - _middle AS _t")
+        .groupBy(by, "_middle")
+        .agg(*map(F.expr, sums))
     )
+    whole = f"OVER (PARTITION BY {by})"
+    moved = stretches.selectExpr(
+        "*", f"sum(_middle * _t0 + _t1) {whole} / sum(_t0) {whole} AS center"
+    ).selectExpr("*", "_middle - center AS _d")
+    about_center = {}
+    for name, highest in (("_t", 2 * degree), ("_y", degree)):
+        for k in range(highest + 1):
+            terms = [
+                " * ".join([f"{math.comb(k, j)}D", *["_d"] * (k - j), f"{name}{j}"]) for j in range(k + 1)
+            ]
+            about_center[f"{name}{k}"] = " + ".join(terms)
+    totals = [F.expr(f"sum({text}) AS {name}") for name, text in about_center.items()]
+    return moved.groupBy(by).agg(F.max("center").alias("center"), *totals)
 
 
 def _moments(y: str, degree: int) -> dict[str, str]:
     """Sums of t^k for k up to 2*degree and of y t^k for k up to degree."""
     powers = ["CASE WHEN _t IS NOT NULL THEN 1D END"]
-    powers += [" * ".join(["_t"] * k) for k in range(1, 2 * degree + 1)]
+    powers += [" * ".join(["_t"] * k) for k in range(1, max(2 * degree, 1) + 1)]
     sums = {f"_t{k}": f"sum({power})" for k, power in enumerate(powers)}
     sums |= {f"_y{k}": f"sum({y} * {powers[k]})" for k in range(degree + 1)}
     return sums

@@ -20,7 +20,7 @@ from frostline.operators.long_series import BLOCK_ROWS, blocks_for, number_rows
 from frostline.operators.names import Names, with_station_name
 from frostline.operators.overlays import with_overlays, with_period_overlays
 from frostline.operators.pairing import daily_mean_sums
-from frostline.operators.polyfit import with_polynomial_fit
+from frostline.operators.polyfit import with_period_fit
 from frostline.operators.rolling import block_rolling_mean
 from frostline.operators.seasons import season_lengths
 from frostline.schema import (
@@ -145,7 +145,7 @@ def hot_days_per_year(
     )
     year = year_number(F.col("date"))
     days = days.withColumn("_year", F.when(year >= FIRST_FIT_YEAR, year))
-    fitted = with_polynomial_fit(days, "station_id", "_year", "value", 2, "fit")
+    fitted = with_period_fit(days, "station_id", "_year", "value", 2, "fit")
     return _named(fitted, names, "value", "fit")
 
 
@@ -166,7 +166,7 @@ def growing_season(
         F.col("year").cast("double").alias("_year"),
         F.col("days").alias("value"),
     )
-    fitted = with_polynomial_fit(seasons, "station_id", "_year", "value", 3, "fit")
+    fitted = with_period_fit(seasons, "station_id", "_year", "value", 3, "fit")
     return _named(fitted, names, "value", "fit")
 
 

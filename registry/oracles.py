@@ -1,7 +1,7 @@
 """DuckDB statements that compute the same results another way."""
 
 from registry.observations import with_observations, with_readings
-from registry.queries import CORVALLIS, PAGE_ROWS
+from registry.queries import CORVALLIS, OFF_TIES, PAGE_ROWS
 
 NAME = """CASE station
   WHEN 'GHCND:USC00351862' THEN 'Corvallis'
@@ -45,8 +45,9 @@ def _raw(datatype: str, condition: str = "", table: str = "observations") -> str
 
 
 def _series(
-    rows: str, window: int | None = None, span: int | None = None, source_of=with_observations
-) -> str:
+    rows: str, window: int | None = None, span: int | None = None, source_of=with_observations,
+    off_ties: float = 0.0,
+) -> str:
     """Long form of `rows` (station, date, value) with optional overlays."""
     avg = lpf = "CAST(NULL AS DOUBLE)"
     ctes = [f"base AS MATERIALIZED ({rows})"]
@@ -54,7 +55,7 @@ def _series(
     if window:
         avg = (
             "round(avg(value) OVER (PARTITION BY station ORDER BY date, value NULLS FIRST ROWS BETWEEN "
-            f"{window // 2} PRECEDING AND {(window + 1) // 2 - 1} FOLLOWING), 6)"
+            f"{window // 2} PRECEDING AND {(window + 1) // 2 - 1} FOLLOWING) + {off_ties!r}, 6)"
         )
     if span:
         alpha = repr(2.0 / (span + 1.0))
@@ -113,6 +114,24 @@ def _fit(points: str, fitted: str, degree: int, source_of=with_observations) ->
     )
 
 
+def _days_and_fit(report: str) -> str:
+    """Both lists of points of a report, with their places."""
+    def points(part: str, value: str) -> str:
+        return f"""SELECT station_id, station_name, '{part}' AS part,
+          CAST(row_number() OVER (PARTITION BY station_id ORDER BY date) - 1 AS INT) AS place, date, {value} AS value
+          FROM report WHERE {value} IS NOT NULL"""
+
+    return f"WITH report AS MATERIALIZED ({report}) {points('days', 'value')} UNION ALL {points('fit', 'fit')}"
+
+
+def _nested_hot_days() -> str:
+    report = _fit(HOT_DAYS, "CAST(date AS INT) >= 1980", 2)
+    decade = "PARTITION BY station_id, substr(date, 1, 3)"
+    return f"""SELECT station_id, substr(date, 1, 3) AS span, min(date) OVER ({decade}) AS first_date,
+      CAST(row_number() OVER ({decade} ORDER BY date) - 1 AS INT) AS place, date, value, fit
+      FROM ({report})"""
+
+
 ORACLES: dict[str, str] = {
     "observations": with_observations("SELECT * FROM observations"),
     "stations": with_observations(
@@ -127,6 +146,8 @@ ORACLES: dict[str, str] = {
     "series_lowpass_30": _series(_raw("TMAX"), span=30),
     "series_both_overlays": _series(_raw("TMAX"), window=31, span=90),
     "series_blocks": _series(_raw("TMAX"), window=31, span=3),
+    "series_lowpass_100000": _series(_raw("TMAX"), span=100_000),
+    "series_rolling_wide": _series(_raw("TMAX"), window=801, span=12, off_ties=OFF_TIES),
     "tmax_tmin_days": with_observations(
         """SELECT a.station, a.date, a.value AS tmax, b.value AS tmin,
              (a.value + b.value) / 2.0 AS mean_temp, CAST(1 AS BIGINT) AS copies
@@ -142,6 +163,9 @@ ORACLES: dict[str, str] = {
     "mean_temp_monthly_smoothed": _series(MEANS.format(n=7, table="observations"), window=12, span=6),
     "hot_days_85": with_observations(f"SELECT {KEYS}, date, value FROM ({HOT_DAYS})"),
     "hot_days_fit_85": _fit(HOT_DAYS, "CAST(date AS INT) >= 1980", 2),
+    "hot_days_nested": _nested_hot_days(),
+    "hot_days_and_fit": _days_and_fit(_fit(HOT_DAYS, "CAST(date AS INT) >= 1980", 2)),
+    "growing_season_and_fit": _days_and_fit(_fit(FROSTS, "true", 3)),
     "growing_season": with_observations(
         f"SELECT {KEYS}, date, value FROM ({FROSTS})"
     ),
@@ -249,4 +273,16 @@ ORACLES: dict[str, str] = {
         HOT.format(table="readings"), "CAST(date AS INT) >= 1980", 2, with_readings
     ),
     "growing_season_no_fit": _fit(SEASONS.format(table="readings"), "true", 3, with_readings),
+    "growing_season_no_curve": _days_and_fit(_fit(SEASONS.format(table="readings"), "true", 3, with_readings)),
+    # a null value is NaN in a point, which comes after all numbers of its date
+    "series_nested_nulls": with_readings(
+        f""", points AS (SELECT station, date, coalesce(value, CAST('NaN' AS DOUBLE)) AS value
+             FROM readings WHERE datatype = 'TMAX')
+           SELECT {KEYS}, substr(date, 1, 3) AS span,
+             min(date) OVER (PARTITION BY station, substr(date, 1, 3)) AS first_date,
+             CAST(row_number() OVER (PARTITION BY station, substr(date, 1, 3) ORDER BY date, value) - 1 AS INT) AS place,
+             date, value, CAST(NULL AS DOUBLE) AS avg, CAST(NULL AS DOUBLE) AS lpf
+           FROM points"""
+    ),
 }
+ORACLES["climate_trend_wide"] = ORACLES["climate_trend_365"]

@@ -90,13 +90,36 @@ def missing_station_years(obs: DataFrame) -> DataFrame:
 
 
 def points_of_nested_series(obs: DataFrame) -> DataFrame:
+    return points_of_nested(fl.series(obs, "TMAX", window=30))
+
+
+def points_of_nested(rows: DataFrame) -> DataFrame:
     """The points themselves, with their place in the row of their station and decade."""
-    nested = nest_series(fl.series(obs, "TMAX", window=30))
+    nested = nest_series(rows)
     return nested.select(
         "station_id", "station_name", "span", "first_date", F.posexplode("points").alias("place", "p")
     ).select("station_id", "station_name", "span", "first_date", "place", "p.*")
 
 
+def points_of_days_and_fit(report: DataFrame) -> DataFrame:
+    """The points of both lists, with their places."""
+    nested = fl.nest_days_and_fit(report)
+    lists = [
+        nested.select(
+            "station_id", "station_name", F.lit(part).alias("part"), F.posexplode(part).alias("place", "p")
+        ).select("station_id", "station_name", "part", "place", "p.*")
+        for part in ("days", "fit")
+    ]
+    return lists[0].unionByName(lists[1])
+
+
+def decades_of_hot_days(obs: DataFrame) -> DataFrame:
+    nested = nest_series(fl.hot_days_per_year(obs, 85.0))
+    return nested.select(
+        "station_id", "span", "first_date", F.posexplode("points").alias("place", "p")
+    ).select("station_id", "span", "first_date", "place", "p.*")
+
+
 def combine_csv_roundtrip(obs: DataFrame) -> DataFrame:
     spark = obs.sparkSession
     raw, combined = shared_path(spark, "csv"), shared_path(spark, "combined")
@@ -153,6 +176,14 @@ REPORTS: dict[str, Report] = {
     "series_both_overlays": lambda o: fl.series(o, "TMAX", window=31, low_pass=90),
     # small blocks, so that stations are cut on this small table too
     "series_blocks": lambda o: fl.series(o, "TMAX", window=31, low_pass=3, block_rows=250),
+    # blocks shorter than the reach of the filter and than the window
+    "series_lowpass_100000": lambda o: fl.series(o, "TMAX", low_pass=100_000, block_rows=250),
+    "series_rolling_wide": lambda o: fl.series(
+        o, "TMAX", window=801, low_pass=12, block_rows=250
+    ).withColumn("avg", F.col("avg") + OFF_TIES),
+    "climate_trend_wide": lambda o: off_ties(
+        fl.climate_trend(o.where("datatype = 'TMAX'"), window=365, min_rows=182, block_rows=100)
+    ),
     "series_nested": points_of_nested_series,
     "tmax_tmin_days": paired_days,
     "mean_temp_monthly": lambda o: fl.mean_temp_trend(o, "monthly"),
@@ -163,6 +194,9 @@ REPORTS: dict[str, Report] = {
     ),
     "hot_days_85": lambda o: fl.hot_days_per_year(o, 85.0).drop("fit"),
     "hot_days_fit_85": lambda o: fl.hot_days_per_year(o, 85.0),
+    "hot_days_nested": decades_of_hot_days,
+    "hot_days_and_fit": lambda o: points_of_days_and_fit(fl.hot_days_per_year(o, 85.0)),
+    "growing_season_and_fit": lambda o: points_of_days_and_fit(fl.growing_season(o)),
     "growing_season": lambda o: fl.growing_season(o).drop("fit"),
     "growing_season_fit": fl.growing_season,
     "season_line": season_line,
@@ -187,6 +221,8 @@ REPEATED: dict[str, Report] = {
     "series_lowpass_nulls": lambda o: fl.series(o, "TMAX", low_pass=30),
     "hot_days_no_fit": lambda o: fl.hot_days_per_year(o, 85.0),
     "growing_season_no_fit": fl.growing_season,
+    "growing_season_no_curve": lambda o: points_of_days_and_fit(fl.growing_season(o)),
+    "series_nested_nulls": lambda o: points_of_nested(fl.series(o, "TMAX")),
 }
 
 

@@ -4,9 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frostline import growing_season, hot_days_per_year
+from frostline import growing_season, hot_days_per_year, nest_days_and_fit
 from frostline.functions.values import polynomial
-from frostline.operators.polyfit import polynomial_coefficients, with_polynomial_fit
+from frostline.operators.polyfit import (
+    polynomial_coefficients,
+    with_period_fit,
+    with_polynomial_fit,
+)
 from frostline.operators.seasons import season_lengths
 from frostline.sources.files import from_rows
 
@@ -132,3 +136,33 @@ def test_hot_days_are_strictly_above_and_fitted_from_1980(spark):
     x = np.array([1980, 1981, 1982, 1986]) - 1982.25
     want = np.polyval(np.polyfit(x, [1, 4, 9, 1], 2), x)
     assert np.allclose([r.fit for r in found[1:5]], want)
+
+
+def test_points_far_apart_share_their_moments(spark):
+    f = lambda x: 0.25 * x * x - 3 * x + 1
+    frame = points(spark, a=[(x, f(x)) for x in range(1500, 2100, 7)], b=[(x, 2.0) for x in (-5000, 0, 5000, 9)])
+    assert np.allclose(fitted(frame, 2)[: len(range(1500, 2100, 7))], [f(x) for x in range(1500, 2100, 7)], rtol=1e-9)
+    assert abs(coefficients(frame, 2)["a"][0] - np.mean(range(1500, 2100, 7))) < 1e-9
+
+
+def test_windows_fit_as_the_join_does(spark):
+    rng = random.Random(4)
+    frame = points(spark, a=[(x, rng.random()) for x in range(1990, 2020)], b=[(1, 1), (2, 2)], c=[(2000, y) for y in range(6)])
+    frame = frame.unionByName(spark.createDataFrame([("a", None, 3.0), ("d", None, 1.0)], frame.schema))
+    key = lambda r: (r.s, r.x is None, r.x, r.y)
+    for degree in (0, 1, 2, 3):
+        left, right = (
+            sorted(fit(frame, "s", "x", "y", degree, "fit").collect(), key=key) for fit in (with_polynomial_fit, with_period_fit)
+        )
+        for a, b in zip(left, right, strict=True):
+            assert a[:3] == b[:3] and (a.fit is None) == (b.fit is None)
+            assert a.fit is None or abs(a.fit - b.fit) < 1e-9
+
+
+def test_days_and_fit_are_two_lists(spark):
+    rows = [(f"{1978 + i}-07-0{d}", "TMAX", s, 90.0) for s in "ab" for i in range(6 if s == "a" else 3) for d in range(1, 2 + i)]
+    found = {r.station_id: r for r in nest_days_and_fit(hot_days_per_year(from_rows(spark, rows), 85.0)).collect()}
+    assert [(p.date, p.value) for p in found["a"].days] == [(str(1978 + i), i + 1.0) for i in range(6)]
+    assert [p.date for p in found["a"].fit] == ["1980", "1981", "1982", "1983"]
+    assert np.allclose([p.value for p in found["a"].fit], [3, 4, 5, 6])
+    assert len(found["b"].days) == 3 and found["b"].fit == []
