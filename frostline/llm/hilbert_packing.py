@@ -6,14 +6,15 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm.workspace import Batches, bounded_batches, map_partitions, saved, text_rows, utf8
 
-#: Entries of the caches of a Python worker; beyond that they begin anew.
-CACHE_WORDS, CACHE_BASES = 600_000, 400_000
-PART_BYTES = 2_000_000
+#: Entries of the cache of a Python worker; beyond that it begins anew.
+CACHE_WORDS = 900_000
+PART_BYTES = 4_000_000
 VECTOR, DIMENSIONS, ORDER = 256, 3, 16
 
 
@@ -48,7 +49,6 @@ class WordTokens(dict):
         vocabulary = self.codec.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.bases: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, text: str) -> bytes:
@@ -59,76 +59,79 @@ class WordTokens(dict):
         for first in range(0, len(bases), 2048):
             part = bases[first : first + 2048]
             text = b" ".join(part).decode()
-            ids = np.array(self.units.encode(text, add_special_tokens=False).ids, "<u4")
+            # without the places of tokens in the text, which nothing needs
+            ids = np.array(self.units.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(last) != len(part):  # pragma: no cover - another kind of vocabulary
-                self.bases.update((x, self.encode(x.decode())) for x in part)
+                self.update((x, self.encode(x.decode())) for x in part)
                 continue
             raw, start = ids.tobytes(), 0
             for base, end in zip(part, last):
-                self.bases[base] = raw[start:end]
+                self[base] = raw[start:end]
                 start = end
 
     def learn(self, words: set[bytes]) -> None:
-        plain, other = [], []
+        bases, longer, other = set(), [], []
         for w in words:
             base = w.rstrip(_TAIL)
-            if base.isalpha():  # ASCII letters
-                plain.append((w, base.lower(), w[len(base) :]))
+            if base.isalpha() and base.islower():  # ASCII letters
+                unit = base
+            else:
+                text = base.decode()
+                unit = None
+                if text.isalpha() and max(text) < "\u0300":
+                    lower = text.lower()
+                    unit = lower.encode() if len(lower) == len(text) else None
+            if unit is None:
+                other.append(w)
                 continue
-            text = base.decode()
-            if text.isalpha() and max(text) < "\u0300":
-                lower = text.lower()
-                if len(lower) == len(text):
-                    plain.append((w, lower.encode(), w[len(base) :]))
-                    continue
-            other.append(w)
-        needed = {x[1] for x in plain}
-        missing = needed.difference(self.bases)
-        if missing and len(self.bases) + len(missing) > CACHE_BASES:
-            self.bases.clear()
-            missing = needed
-        self._learn_bases(list(missing))
-        bases, tails = self.bases, self.tails
-        for w, base, tail in plain:
+            bases.add(unit)
+            if unit != w:
+                longer.append((w, unit, w[len(base) :]))
+        self._learn_bases([x for x in bases if x not in self])
+        tails = self.tails
+        for w, unit, tail in longer:
             if tail not in tails:
                 tails[tail] = self.encode(tail.decode())
-            self[w] = bases[base] + tails[tail]
+            self[w] = self[unit] + tails[tail]
         for w in other:
             self[w] = self.encode(w.decode())
         if len(tails) > 10_000:
             self.tails = {b"": b""}
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text. Words are split for about PART_BYTES of text at a time;
-        those that the cache lacks are learned together."""
+        """The ids of each text. Arrow splits about PART_BYTES of text at a time and finds the
+        different words in it; each of these is looked up once, and those that the cache lacks
+        are learned together. A-Z are lower-cased first, as the tokenizer would."""
         out, first = [], 0
         while first < len(texts):
-            if len(self) > CACHE_WORDS:
-                self.clear()
             end, size = first, 0
             while end < len(texts) and size < PART_BYTES:
                 size += len(texts[end])
                 end += 1
-            gaps, missing = [], set()
-            for text in texts[first:end]:
-                words = text.split()
-                parts = list(map(self.get, words))
-                try:
-                    out.append(b"".join(parts))
-                except TypeError:  # a word is missing
-                    holes = [i for i, ids in enumerate(parts) if ids is None]
-                    missing.update([words[i] for i in holes])
-                    gaps.append((len(out), parts, [(i, words[i]) for i in holes]))
-                    out.append(b"")
-            self.learn(missing)
-            for at, parts, holes in gaps:
-                for i, word in holes:
-                    parts[i] = self[word]
-                out[at] = b"".join(parts)
+            lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts[first:end]], pa.large_binary()).cast(pa.large_string()))
+            words = lists.flatten().dictionary_encode()
+            different = words.dictionary.cast(pa.large_binary()).to_pylist()
+            ids = pa.array(self.looked_up(different), pa.large_binary()).take(words.indices)
+            raw, starts = ids.buffers()[2], np.frombuffer(ids.buffers()[1], "<i8")
+            raw = raw.to_pybytes() if raw is not None else b""
+            edges = starts[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+            out += [raw[a:z] for a, z in zip(edges, edges[1:])]
             first = end
         return out
 
+    def looked_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        ids = list(map(self.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            self.learn({words[i] for i in missing})
+            for i in missing:
+                ids[i] = self[words[i]]
+        return ids
+
 
 _worker: dict[str, WordTokens] = {}
 
@@ -189,8 +192,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, keep: tuple[str, ...
             vectors = np.zeros((b.num_rows, VECTOR))
             ids, n = [], []
             texts = utf8(b.column("text"))
-            for first in range(0, len(texts), 500):  # ids of a part of the batch at a time
-                for raw in codec.texts([t or b"" for t in texts[first : first + 500]]):
+            for first in range(0, len(texts), 1000):  # ids of a part of the batch at a time
+                for raw in codec.texts([t or b"" for t in texts[first : first + 1000]]):
                     x = np.frombuffer(raw + end, "<u4")
                     vectors[len(n)] = np.bincount(bucket[x], minlength=VECTOR) * sign
                     wide = x.max() >= 1 << 16

@@ -116,6 +116,5 @@ def test_small_caches_give_the_same_ids(monkeypatch, documents):
     texts = [r.text.encode() for r in documents.limit(40).collect()]
     want = hp.WordTokens(tokenizer()).texts(texts)
     monkeypatch.setattr(hp, "CACHE_WORDS", 50)
-    monkeypatch.setattr(hp, "CACHE_BASES", 30)
     monkeypatch.setattr(hp, "PART_BYTES", 100)
     assert hp.WordTokens(tokenizer()).texts(texts) == want
