@@ -8,17 +8,20 @@ from frostline.plans.ingest import (
     combine,
     combine_csv,
     missing_years,
+    save_trend,
     unfinished_pages,
 )
 from frostline.plans.queries import (
     climate_trend,
     datatypes,
+    datatypes_of_table,
     growing_season,
     hot_days_per_year,
     in_display_order,
     mean_temp_trend,
     series,
     stations,
+    stations_of_table,
     water_year_totals,
 )
 from frostline.schema import OBSERVATION, PAGE, STATION_NAMES
@@ -26,6 +29,8 @@ from frostline.sources.files import (
     from_rows,
     read_csv,
     read_observations,
+    read_trend,
+    replace_observations,
     write_csv,
     write_observations,
 )
@@ -40,6 +45,7 @@ __all__ = [
     "combine",
     "combine_csv",
     "datatypes",
+    "datatypes_of_table",
     "from_rows",
     "growing_season",
     "hot_days_per_year",
@@ -55,8 +61,12 @@ __all__ = [
     "read_csv",
     "read_observations",
     "read_pages",
+    "read_trend",
+    "replace_observations",
+    "save_trend",
     "series",
     "stations",
+    "stations_of_table",
     "unfinished_pages",
     "water_year_totals",
     "with_polynomial_fit",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.schema import FULL_PAGE
-from frostline.sources.files import read_csv, write_observations
+from frostline.sources.files import read_csv, replace_observations, write_trend
 
 log = logging.getLogger(__name__)
 
@@ -20,11 +20,17 @@ class LoadReport:
 
 
 def combine(observations: DataFrame, path: str) -> LoadReport:
-    """Write the combined table and report what was written."""
-    rows = write_observations(observations, path)
+    """Replace the combined table and report what was written. Until all is written, and if
+    the job is lost, readers have the old table."""
+    rows = replace_observations(observations, path)
     return LoadReport(rows, observations.columns, path)
 
 
+def save_trend(trend: DataFrame, path: str) -> LoadReport:
+    """Replace the table of a climate trend and report what was written."""
+    return LoadReport(write_trend(trend, path), trend.columns, path)
+
+
 def combine_csv(
     spark: SparkSession, folder: str, path: str, multi_line: bool = False
 ) -> LoadReport | None:

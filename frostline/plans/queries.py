@@ -5,7 +5,7 @@ Rows come in no particular order unless the docstring says otherwise; apply
 `in_display_order` to what is shown to a reader.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.functions.dates import (
@@ -30,6 +30,7 @@ from frostline.schema import (
     TREND_MIN_ROWS,
     TREND_WINDOW,
 )
+from frostline.sources.files import datatypes_listed, stations_listed
 
 
 def in_display_order(result: DataFrame) -> DataFrame:
@@ -63,6 +64,16 @@ def datatypes(observations: DataFrame) -> DataFrame:
     )
 
 
+def stations_of_table(spark: SparkSession, path: str, names: Names = STATION_NAMES) -> DataFrame:
+    """As `stations`, from the list that the load wrote beside the rows."""
+    return stations(stations_listed(spark, path), names)
+
+
+def datatypes_of_table(spark: SparkSession, path: str) -> DataFrame:
+    """As `datatypes`, from the names of the table's folders."""
+    return datatypes(datatypes_listed(spark, path))
+
+
 def series(
     observations: DataFrame,
     datatype: str,

@@ -1,11 +1,14 @@
 """Tidy CSV and Parquet files of observations."""
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.schema import OBSERVATION
 from frostline.sources.shared import remove
+from frostline.sources.versions import current_version, names_in, new_version, publish
 
 # Quotes inside a field are doubled, and spaces belong to the field.
 _CSV = {
@@ -75,9 +78,65 @@ def write_csv(observations: DataFrame, path: str, multi_line: bool = False) -> b
     return False
 
 
+def _rows_of(spark: SparkSession, path: str) -> str:
+    version = current_version(spark, path)
+    return f"{version}/rows" if version else path
+
+
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    """The combined Parquet table, with or without datatype folders."""
-    return spark.read.schema(OBSERVATION).parquet(path)
+    """The combined Parquet table, with or without datatype folders, with or without versions."""
+    return spark.read.schema(OBSERVATION).parquet(_rows_of(spark, path))
+
+
+def replace_observations(observations: DataFrame, path: str) -> int:
+    """As write_observations, but as the next version of the table: the old rows can be read
+    until all new ones are written, and stay if the job is lost.
+
+    Beside the rows stands the list of stations, taken from the rows as written."""
+    spark = observations.sparkSession
+    version = new_version(spark, path)
+    rows = write_observations(observations, f"{version}/rows")
+    written = spark.read.schema(OBSERVATION).parquet(f"{version}/rows")
+    written.select("station").where("station IS NOT NULL").distinct().write.parquet(f"{version}/stations")
+    publish(spark, path, version)
+    return rows
+
+
+def stations_listed(spark: SparkSession, path: str) -> DataFrame:
+    """The different stations of a table, from the list written with its rows if it has one."""
+    version = current_version(spark, path)
+    if version is None:
+        return read_observations(spark, path).select("station").where("station IS NOT NULL").distinct()
+    return spark.read.schema("station string").parquet(f"{version}/stations")
+
+
+def datatypes_listed(spark: SparkSession, path: str) -> DataFrame:
+    """The different datatypes of a table, from the names of its folders, so that no file is
+    opened; a table without such folders is read."""
+    folders = [n for n in names_in(spark, _rows_of(spark, path)) if n.startswith("datatype=")]
+    if not folders:
+        return read_observations(spark, path).select("datatype").where("datatype IS NOT NULL").distinct()
+    named = [unquote(n.removeprefix("datatype=")) for n in folders if n != "datatype=__HIVE_DEFAULT_PARTITION__"]
+    return spark.createDataFrame([(n,) for n in named], "datatype string")
+
+
+def write_trend(trend: DataFrame, path: str) -> int:
+    """Replace the table of a climate trend, dealt by ranges of (station_id, date), and give the
+    number of rows written."""
+    spark = trend.sparkSession
+    version, written = new_version(spark, path), Observation()
+    (
+        trend.repartitionByRange("station_id", "date")
+        .observe(written, F.count(F.lit(1)).alias("rows"))
+        .sortWithinPartitions("station_id", "date")
+        .write.parquet(f"{version}/rows")
+    )
+    publish(spark, path, version)
+    return written.get["rows"]
+
+
+def read_trend(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{current_version(spark, path)}/rows")
 
 
 def write_observations(observations: DataFrame, path: str) -> int:

@@ -238,6 +238,19 @@ ORACLES: dict[str, str] = {
              'datatype,date,station,value' AS columns, count(*) AS written_rows
            FROM observations"""
     ),
+    "trend_report": with_observations(
+        """SELECT count(*) AS reported_rows,
+             'anomaly,date,day_of_year,long_term_trend,seasonal_mean,station_id,value' AS columns,
+             count(*) AS written_rows, count(*) FILTER (n >= 182) AS smoothed_rows
+           FROM (SELECT count(value) OVER (PARTITION BY station ORDER BY date
+             ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING) AS n
+             FROM observations WHERE datatype = 'TMAX')"""
+    ),
+    "table_replaced": with_observations("SELECT date, datatype, station, value FROM observations"),
+    "table_stations": with_observations(
+        f"SELECT DISTINCT station AS id, {NAME} AS name FROM observations"
+    ),
+    "table_datatypes": with_observations("SELECT DISTINCT datatype FROM observations"),
     "ingest_pages": with_observations(
         "SELECT date, datatype, station, value FROM observations"
     ),

@@ -139,6 +139,27 @@ def combine_report(obs: DataFrame) -> DataFrame:
     )
 
 
+def replaced_table(obs: DataFrame) -> str:
+    """A combined table that was loaded twice, the second time with all rows."""
+    path = shared_path(obs.sparkSession, "combined")
+    combine(obs.where("datatype = 'PRCP'"), path)
+    combine(obs, path)
+    return path
+
+
+def trend_report(obs: DataFrame) -> DataFrame:
+    """Rows and columns reported by the save of a trend, beside what was really written."""
+    spark = obs.sparkSession
+    trend = fl.climate_trend(obs.where("datatype = 'TMAX'"), window=365, min_rows=182)
+    report = fl.save_trend(trend, shared_path(spark, "trend"))
+    return fl.read_trend(spark, report.path).agg(
+        F.lit(report.rows).cast("long").alias("reported_rows"),
+        F.lit(",".join(sorted(report.columns))).alias("columns"),
+        F.count(F.lit(1)).alias("written_rows"),
+        F.count("long_term_trend").alias("smoothed_rows"),
+    )
+
+
 def landed_pages(obs: DataFrame) -> DataFrame:
     """The observations as API pages in JSON files, read back.
 
@@ -206,6 +227,10 @@ REPORTS: dict[str, Report] = {
     "calendar_days": calendar_days,
     "combine_csv_roundtrip": combine_csv_roundtrip,
     "combine_report": combine_report,
+    "trend_report": trend_report,
+    "table_replaced": lambda o: read_observations(o.sparkSession, replaced_table(o)),
+    "table_stations": lambda o: fl.stations_of_table(o.sparkSession, replaced_table(o)),
+    "table_datatypes": lambda o: fl.datatypes_of_table(o.sparkSession, replaced_table(o)),
     "ingest_pages": lambda o: page_observations(landed_pages(o)),
     "ingest_gaps": missing_station_years,
     "ingest_unfinished": lambda o: unfinished_pages(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import frostline as fl
+from frostline.schema import OBSERVATION
 from frostline.plans.ingest import combine, missing_years, unfinished_pages
 from frostline.schema import OBSERVATION
 from frostline.sources.files import (
@@ -220,3 +221,39 @@ def test_tables_can_be_removed(spark, tmp_path):
     spark.range(3).write.parquet(path)
     remove(spark, path)
     assert list(tmp_path.iterdir()) == []
+
+
+def test_a_lost_load_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "all")
+    combine(from_rows(spark, ROWS[:1]), path)
+    bad = from_rows(spark, [*ROWS, ("2000-01-01", "", "a", 1.0)])  # an empty datatype stops the write
+    with pytest.raises(Exception, match="empty datatype"):
+        combine(bad, path)
+    old = read_observations(spark, path)
+    assert [tuple(r) for r in old.select(*OBSERVATION.fieldNames()).collect()] == [ROWS[0]]
+    assert combine(from_rows(spark, ROWS), path).rows == len(ROWS)
+    assert read_observations(spark, path).count() == len(ROWS)
+    assert old.count() == 1  # a plan made before the switch still reads the old version
+    combine(from_rows(spark, ROWS[:2]), path)
+    assert len(list((tmp_path / "all" / "_table").iterdir())) == 2  # the lost one is gone too
+    assert read_observations(spark, path).count() == 2
+
+
+def test_listings_from_the_load(spark, tmp_path):
+    rows = [("2000-01-01", t, s, 1.0) for t, s in (("T/MAX %", "b"), ("PRCP", "a"), (None, "c"), ("PRCP", None))]
+    path, plain = str(tmp_path / "all"), str(tmp_path / "plain")
+    combine(from_rows(spark, rows), path)
+    from_rows(spark, rows).write.parquet(plain)  # neither folders nor versions
+    for at in (path, plain):
+        assert [r.datatype for r in fl.datatypes_of_table(spark, at).collect()] == ["PRCP", "T/MAX %"]
+        assert [tuple(r) for r in fl.stations_of_table(spark, at).collect()] == [(s, s) for s in "abc"]
+    assert "Parquet" not in fl.datatypes_of_table(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_trend_is_saved_and_replaced(spark, tmp_path):
+    trend = fl.climate_trend(from_rows(spark, [(f"2000-01-{d:02d}", "TMAX", "a", float(d)) for d in range(1, 31)]), window=5, min_rows=3)
+    path = str(tmp_path / "trend")
+    assert fl.save_trend(trend.limit(0), path).rows == 0
+    report = fl.save_trend(trend, path)
+    assert (report.rows, report.columns) == (30, trend.columns)
+    assert sorted(fl.read_trend(spark, path).collect()) == sorted(trend.collect())
