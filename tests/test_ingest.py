@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import frostline as fl
-from frostline.schema import OBSERVATION
 from frostline.plans.ingest import combine, missing_years, unfinished_pages
 from frostline.schema import OBSERVATION
 from frostline.sources.files import (

@@ -217,7 +217,7 @@ def test_blocks_give_what_whole_series_give(spark, window, span, block_rows):
     assert len(listed(parts)) == len(rows)
 
 
-@pytest.mark.parametrize("span", [3, 30, 5_000, 1_000_000])
+@pytest.mark.parametrize("span", [30, 1_000_000])
 def test_low_pass_carries_over_blocks_of_any_span(spark, span):
     values = noise(3000)
     values[40:43], values[1200:1420] = [None] * 3, [None] * 220  # a few, and two whole blocks
@@ -226,7 +226,7 @@ def test_low_pass_carries_over_blocks_of_any_span(spark, span):
     assert_same(lpf["b"], filtered(noise(7), span))
 
 
-@pytest.mark.parametrize("window", [101, 130, 250, 999, 1000, 2999, 3000, 100_000])
+@pytest.mark.parametrize("window", [101, 250, 999, 100_000])
 def test_windows_wider_than_a_block(spark, window):
     values = noise(1203)
     values[3:5], values[700:820] = [None] * 2, [None] * 120
