@@ -332,3 +332,16 @@ def test_perfect_hash_numbers_every_key_once(keys):
     index = PerfectHash.of(lo, hi)
     again = PerfectHash([np.frombuffer(x.tobytes(), np.uint64) for x in index.levels])
     assert sorted(again.find(lo, hi).tolist()) == list(range(len(keys)))
+
+
+def test_dense_places_are_those_of_dense_runs():
+    pick = random.Random(8)
+    for _ in range(60):
+        x = np.array([pick.random() < pick.choice([0.3, 0.7, 0.95]) for _ in range(60)])
+        share, least = pick.choice([0.5, 0.8, 8 / 9]), pick.randint(3, 20)
+        want = np.zeros(60, bool)
+        for i in range(60):
+            for j in range(i + least, 61):
+                if x[i:j].mean() >= share - 1e-12:
+                    want[i:j] = True
+        assert (cw.dense_places(x, share, least) == want).all()
