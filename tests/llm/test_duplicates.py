@@ -14,7 +14,6 @@ from frostline.llm import compact_windows as cw
 from frostline.llm import exact_substrings as es
 from frostline.llm.components import components
 from frostline.llm.induced_sorting import BucketQueue, suffix_order
-from frostline.llm.near_copies import near_copy_groups
 from frostline.llm.oracles import ORACLES
 from frostline.llm.perfect_hash_lines import PerfectHash, dedup_lines
 from frostline.llm.queries import QUERIES
@@ -107,49 +106,6 @@ def test_components(spark):
     assert got == {n: want[n] for link in links for n in link if link[0] != link[1]}
 
 
-def test_near_copies(spark):
-    pick = random.Random(4)
-    text = [str(pick.random()) for _ in range(400)]
-
-    def edited(n):
-        out = list(text)
-        for i in range(n):
-            out[pick.randrange(5, 395)] = f"new{i}"
-        return " ".join(out)
-
-    other = " ".join(str(pick.random()) for _ in range(300))
-    rows = [(1, " ".join(text)), (2, edited(3)), (3, edited(2)), (4, other), (5, other.upper()), (6, edited(200)), (7, None), (8, ""), (9, "one"), (None, "one")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (4096, 2):
-        got = {r.doc_id: r.id for r in near_copy_groups(df, block=block).collect()}
-        assert got[1] == got[2] == got[3] and got[4] == got[5] and got[7] == got[8] and got[9] == got[None]
-        assert len({got[1], got[4], got[6], got[7], got[9]}) == 5
-
-
-def test_near_copies_of_long_texts(spark):
-    pick = random.Random(5)
-    texts = []
-    for n in range(24):  # pairs that are 0.77 to 0.83 alike
-        text = [str(pick.random()) for _ in range(1200)]
-        edits = set(range(10, 10 + 5 * (21 + n // 2), 5))
-        texts += [" ".join(text), " ".join("new" if i in edits else w for i, w in enumerate(text))]
-    text = [str(pick.random()) for _ in range(1200)]
-    for n in range(12):  # a group whose pairs are about 0.83 alike
-        texts.append(" ".join(f"n{n}" if (i - 7 * n) % 110 == 0 else w for i, w in enumerate(text)))
-    sets = []
-    for x in texts:
-        w = x.split()
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
-    n = range(len(sets))
-    links = [(i, j) for i in n for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert 12 < len(links) and sum((i, i - 1) in links for i in range(1, 48, 2)) not in (0, 24)
-    want = roots_of(len(sets), links)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block, budget in ((4096, 8), (4096, 1), (5, 1)):
-        got = {r.doc_id: r.id for r in near_copy_groups(df, block=block, budget=budget).collect()}
-        assert len({(got[i], want[i]) for i in n}) == len(set(got.values())) == len({want[i] for i in n})
-
-
 # --- exact substrings ---
 
 
