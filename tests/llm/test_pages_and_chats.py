@@ -1,9 +1,12 @@
+import random
+
 import pytest
 
 from compare import differences, oracle
 from frostline.llm.oracles import ORACLES
 from frostline.llm.queries import QUERIES
 from frostline.llm.snapshot_collapse import maximal_conversations, rendered
+from frostline.llm import wrapper_induction as wi
 from frostline.llm.wrapper_induction import align, blocks, main_text, numbered, parse
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +80,62 @@ def test_template_of_a_second_layout_and_of_few_pages(spark):
     assert got[40] == "Item 40"
 
 
+def test_constant_headings_of_what_varies_stay(spark):
+    page = """<body><div><h3>Site of facts</h3><p>Since 1990</p></div><article><h1>Dish {0}</h1><h2>Ingredients</h2><p>Salt {0}</p>
+<h2>Method</h2><h3>First</h3><p>Stir {0}</p><dl><dt>Time</dt><dd>{0} h</dd></dl><h2>About us</h2><p>We cook</p></article></body>"""
+    for body in (page, page.replace("article", "div")):
+        rows = [(i, "http://h.example/%d" % i, body.format(i)) for i in range(8)]
+        got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 3").first().text
+        assert got.split("\n") == ["Dish 3", "Ingredients", "Salt 3", "Method", "First", "Stir 3", "Time", "3 h"]
+
+
+def plain_matching(a, b):
+    """The weight of the best matching of two trees, by the definition."""
+    if a.tag != b.tag:
+        return 0
+    left, right = a.elements(), b.elements()
+    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, p in enumerate(left):
+        for j, q in enumerate(right):
+            both = plain_matching(p, q)
+            table[i + 1][j + 1] = max(table[i][j] + both, table[i][j + 1], table[i + 1][j])
+    return (3 if a.kind == b.kind else 2) + table[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [wi.CELLS, 4])
+def test_alignment_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(wi, "CELLS", cells)
+    pick = random.Random(8)
+
+    def tree(depth):
+        tag = pick.choice(["b", "i"])
+        inner = "".join(tree(depth - 1) for _ in range(pick.randint(0, 4))) if depth else "x"
+        return f"<{tag} class={pick.choice('uv')}>{inner}</{tag}>"
+
+    for _ in range(150):
+        a, b = (parse("<div>" + "".join(tree(2) for _ in range(pick.randint(0, 5))) + "</div>") for _ in range(2))
+        left, right = numbered(a), numbered(b)
+        found = align(a, b)
+        up = [{c.number: n.number for n in t for c in n.elements()} for t in (left, right)]
+        assert len(set(found.values())) == len(found)
+        for i, j in found.items():
+            assert left[i].tag == right[j].tag and (not i or found[up[0][i]] == up[1][j])
+        order = sorted(found)
+        for i, k in zip(order, order[1:]):
+            assert up[0].get(i) != up[0].get(k) or found[i] < found[k]
+        weight = sum(3 if left[i].kind == right[j].kind else 2 for i, j in found.items())
+        assert weight == plain_matching(a, b)
+
+
+def test_deep_and_wide_pages(spark):
+    deep = lambda n: "<div>" * n + "Deep text" + "</div>" * n
+    wide = lambda n, k: "".join(f"<p class=c{(i * k) % n}><b>Row {i}</b></p>" for i in range(n))
+    rows = [(k, "http://deep.example/", deep(100_000 + k)) for k in range(5)]
+    rows += [(10 + k, "http://wide.example/", wide(10_000 + k, 2 * k + 1)) for k in range(5)]
+    got = {r.page_id: r for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 10 and {got[k].text for k in range(5)} <= {"Deep text", ""}
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, p in zip(main_text(pages).orderBy("page_id").collect(), pages.orderBy("page_id").collect()):
