@@ -17,15 +17,47 @@ def _distinct_readings(rows: DataFrame, datatype: str, name: str) -> DataFrame:
     )
 
 
-def paired_days(observations: DataFrame) -> DataFrame:
+def _crowded_days(high: DataFrame, low: DataFrame, side: int) -> DataFrame:
+    """(station, date, _p, _q) of the days whose different highs and lows make more than
+    side * side pairs, with the number of parts of either."""
+    parts = [
+        rows.groupBy("station", "date").agg(F.count(F.lit(1)).alias(name))
+        for rows, name in ((high, "_p"), (low, "_q"))
+    ]
+    days = parts[0].join(parts[1], ["station", "date"]).where(F.col("_p") * F.col("_q") > side * side)
+    return days.select(
+        "station", "date", *[F.ceil(F.col(c) / side).cast("int").alias(c) for c in ("_p", "_q")]
+    )
+
+
+def _dealt(rows: DataFrame, days: DataFrame, value: str, own: str, other: str) -> DataFrame:
+    """The readings of crowded days, each in one of its own parts and sent to all of the others'."""
+    return (
+        rows.join(days, ["station", "date"])
+        .withColumn(own, F.pmod(F.xxhash64(value), F.col(own)))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        .withColumn(other, F.col(other).cast("bigint"))
+    )
+
+
+def paired_days(observations: DataFrame, side: int = 1000) -> DataFrame:
     """Inner join of highs and lows on (station, date).
 
     Repeated readings multiply, as in any inner join. They are folded before
-    the shuffle, and `copies` says how often a row of the join occurs.
+    the shuffle, and `copies` says how often a row of the join occurs. A day
+    with p different highs and q lows has p * q rows; if these are more than
+    side * side, highs and lows are dealt into parts of about `side` readings,
+    and each two parts meet in a group of their own, so no task holds the day.
     """
     high = _distinct_readings(observations, "TMAX", "tmax")
     low = _distinct_readings(observations, "TMIN", "tmin")
-    return high.join(low, ["station", "date"], "inner").select(
+    day = ["station", "date"]
+    crowded = _crowded_days(high, low, side)
+    plain = high.join(crowded, day, "left_anti").join(low, day, "inner")
+    dealt = _dealt(high, crowded, "tmax", "_p", "_q").join(
+        _dealt(low, crowded, "tmin", "_q", "_p"), [*day, "_p", "_q"], "inner"
+    )
+    return plain.unionByName(dealt.drop("_p", "_q")).select(
         "station",
         "date",
         "tmax",

@@ -273,6 +273,14 @@ ORACLES: dict[str, str] = {
            WHERE a.datatype = 'TMAX' AND b.datatype = 'TMIN'
            GROUP BY ALL"""
     ),
+    "tmax_tmin_years_crowded": with_readings(
+        """, years AS (SELECT station, substr(date, 1, 4) AS date, datatype, value, count(*) AS n
+             FROM readings GROUP BY ALL)
+           SELECT a.station, a.date, a.value AS tmax, b.value AS tmin,
+             (a.value + b.value) / 2.0 AS mean_temp, a.n * b.n AS copies
+           FROM years a JOIN years b ON a.station = b.station AND a.date = b.date
+           WHERE a.datatype = 'TMAX' AND b.datatype = 'TMIN'"""
+    ),
     "mean_temp_repeated": _series(
         MEANS.format(n=7, table="readings"), source_of=with_readings
     ),

@@ -241,6 +241,10 @@ REPORTS: dict[str, Report] = {
 # Reports over readings that repeat, are null, or leave a station without a fit.
 REPEATED: dict[str, Report] = {
     "tmax_tmin_days_repeated": paired_days,
+    # all readings of a year as those of one day, paired in parts
+    "tmax_tmin_years_crowded": lambda o: paired_days(
+        o.withColumn("date", F.substring("date", 1, 4)), side=4
+    ),
     "mean_temp_repeated": lambda o: fl.mean_temp_trend(o, "monthly"),
     "series_rolling_repeated": lambda o: fl.series(o, "TMAX", window=51, block_rows=400),
     "series_lowpass_nulls": lambda o: fl.series(o, "TMAX", low_pass=30),

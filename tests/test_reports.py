@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import frostline as fl
 from frostline.operators.names import with_station_name
 from frostline.operators.nesting import nest_series
-from frostline.operators.pairing import paired_days
+from frostline.operators.pairing import _crowded_days, _dealt, _distinct_readings, paired_days
 from frostline.plans.queries import in_display_order
 from frostline.sources.files import from_rows
 
@@ -119,6 +119,29 @@ def test_repeated_readings_multiply_as_in_the_join(spark):
     assert n == len(joined) and abs(total - joined["mean"].sum()) < 1e-9
 
 
+def test_crowded_days_are_paired_in_parts(spark):
+    """A day with many different highs and lows is dealt into groups of bounded size."""
+    days = [("2000-01-01", 70, 40), ("2000-01-02", 3, 200), ("2000-01-03", 2, 2), ("2000-01-04", 50, 0)]
+    given = [
+        (date, name, s, v)
+        for date, *counts in days
+        for name, n in zip(("TMAX", "TMIN"), counts)
+        for s in ("a", "b")
+        for v in [None, *map(float, range(n)), 1.0]
+        if n
+    ]
+    obs = from_rows(spark, given)
+    key = ["station", "date", "tmax", "tmin", "mean_temp", "copies"]
+    want = sorted(map(str, paired_days(obs, side=10**6).select(key).collect()))
+    assert len(want) == 2 * (71 * 41 + 4 * 201 + 3 * 3)
+    assert sorted(map(str, paired_days(obs, side=8).select(key).collect())) == want
+    high, low = (_distinct_readings(obs, d, n) for d, n in (("TMAX", "tmax"), ("TMIN", "tmin")))
+    crowded = _crowded_days(high, low, 8)
+    assert {(r.date, r._p, r._q) for r in crowded.collect()} == {("2000-01-01", 9, 6), ("2000-01-02", 1, 26)}
+    parts = _dealt(high, crowded, "tmax", "_p", "_q").groupBy("station", "date", "_p", "_q").count()
+    assert parts.agg(F.max("count")).first()[0] < 24
+
+
 def test_water_year_totals(spark):
     obs = from_rows(
         spark,
