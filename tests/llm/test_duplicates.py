@@ -238,6 +238,71 @@ def test_passages_of_the_documents(spark, documents):
         assert len(ids) == 1 or all(got[d].n_near_words >= 50 for d in ids)
 
 
+def test_pairs_that_share_frequent_words_are_found(spark):
+    """Pairs with an equal passage of 60 words, the first 40 of which stand in all texts."""
+    pick = random.Random(5)
+    text = lambda n: ["w%d" % pick.randrange(10**6) for _ in range(n)]
+    common, rows = text(40), []
+    for i in range(300):
+        passage = common + text(20)
+        rows += [(2 * i + j, " ".join(text(70) + passage + text(70))) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.class_id for r in cw.near_passages(df).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(300)) >= 297
+    assert all(c in (d, d - d % 2) for d, c in got.items())  # no two pairs are one class
+
+
+def alike_somewhere(a: list, b: list, least: int = 46) -> bool:
+    """If any runs of `least` shingles are 0.8 alike, by comparing all with all."""
+    if len(set(a) & set(b)) < 0.8 * least:
+        return False
+    runs = [[set(x[i : i + least]) for i in range(len(x) - least + 1)] for x in (a, b)]
+    return any(5 * len(x & y) >= 4 * len(x | y) for x in runs[0] for y in runs[1])
+
+
+def test_changed_passages_against_brute_force(spark):
+    """Groups of 2 to 30 texts share a passage, changed in each, behind words of all texts."""
+    pick = random.Random(8)
+    text = lambda n: ["w%d" % pick.randrange(10**6) for _ in range(n)]
+    common, rows = text(30), []
+    for size in (*[2] * 20, 5, 5, 12, 30):
+        passage = common + text(50)
+        for _ in range(size):
+            changed = list(passage)
+            changed[pick.randrange(80)] = text(1)[0]
+            rows.append((len(rows), text(20) + changed + text(20)))
+    shingles = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for _, w in rows]
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if alike_somewhere(shingles[i], shingles[j])]
+    root = list(range(len(rows)))
+    for i, j in pairs:
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if r == old else r for r in root]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in cw.near_passages(df).collect()}
+    assert len(pairs) > 300
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    assert all(root[d] == root[c] for d, c in got.items())
+
+
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=300), st.data())
+@settings(max_examples=100, deadline=None)
+def test_reach_and_contexts(values, data):
+    values = np.array(values, np.uint64)
+    c = data.draw(st.integers(0, len(values) - 1))
+    l, r = cw.reach(values, c)
+    assert values[l : r + 1].min() == values[c]
+    assert (l == 0 or values[l - 1] < values[c]) and (r == len(values) - 1 or values[r + 1] < values[c])
+    twice = np.concatenate([values, values])
+    n = len(values)
+    right, left = cw.contexts(twice, np.array([c, c + n]))
+    inside = min(n - c - 1, cw.STEP * cw.LEVELS) // cw.STEP * 2
+    assert (right[0, :inside] == right[1, :inside]).all()
+    before = min(c, cw.STEP * cw.LEVELS) // cw.STEP * 2
+    assert (left[0, :before] == left[1, :before]).all()
+    hashes = np.array([1, 2**40 - 1, 2**41], np.uint64)
+    assert cw.unpacked(cw.packed(hashes)).tolist() == [1, 2**40 - 1, 0]
+
+
 def test_passages_of_nothing(no_documents):
     assert cw.near_passages(no_documents).collect() == []
 
