@@ -87,11 +87,13 @@ def into_blocks(
     so its windows are complete; `_home` is true for the one copy of a row that
     carries its result. The size of a block grows with these margins, so a row is
     repeated twice at most. A reading with many copies is first cut at the borders
-    of blocks and unfolded after the shuffle.
+    of blocks and unfolded after the shuffle. What is shuffled may be far smaller than the
+    blocks, so the number of partitions is given: Spark would merge them by their bytes.
     """
     size = max(block_rows, before, after)
     numbers = ("_n", "_pos", "_index")
     kept = [c for c in readings.columns if c not in numbers]
+    partitions = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first_block = f"floor(greatest({start} - {after}, 0) / {size})"
     last_block = f"floor(({start} + _n - 1 + {before}) / {size})"
     first_copy = f"greatest(0, _block * {size} - {before} - {start})"
@@ -100,7 +102,7 @@ def into_blocks(
         readings.selectExpr(
             "*", f"explode(sequence({first_block}, {last_block})) AS _block"
         )
-        .repartition(by, "_block")
+        .repartition(partitions, by, "_block")
         .selectExpr("*", f"explode(sequence({first_copy}, {last_copy})) AS _copy")
         .selectExpr(
             *kept,

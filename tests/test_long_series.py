@@ -57,3 +57,12 @@ def test_blocks_hold_their_margins_and_no_more(rows, before, after, size):
         assert all(home == (p // length == b) for p, home in held)
         assert len(held) <= length + before + after
     assert home_rows(blocks).count() == rows.count()
+
+
+def test_blocks_unfolded_from_few_readings_are_dealt_to_tasks(spark):
+    """They are shuffled as a few bytes, which Spark would bring into one task."""
+    copies = spark.range(4000).selectExpr("'a' AS s", "'1991-01-01' AS d", "cast(id % 2 AS double) AS v")
+    blocks = into_blocks(number_rows(copies, "s", "d", "v"), "s", "v", block_rows=100)
+    found = blocks.groupBy("_block", F.spark_partition_id().alias("task")).count().collect()
+    assert sorted(r._block for r in found) == list(range(40))
+    assert len({r.task for r in found}) == 4  # spark.sql.shuffle.partitions
