@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import collections
 import html
 import re
 
@@ -47,7 +46,7 @@ _LOOKS = re.compile(
     re.I,
 )
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -65,7 +64,7 @@ class Node:
         return self.tag, self.kind
 
     def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
+        return [c for c in self.children if type(c) is Node]
 
     def own_text(self) -> str:
         return " ".join(" ".join(c.split()) for c in self.children if isinstance(c, str)).strip()
@@ -74,9 +73,10 @@ class Node:
 def parse(page: str, depth: int | None = None) -> Node:
     """The element tree of a page; unclosed and misplaced tags are mended as browsers do.
 
-    Given a depth, the tree has no texts, and names only of elements down to there."""
+    Given a depth, the tree has no texts and only elements down to there."""
     root = Node("#page")
     stack = [root]
+    deeper: dict[str, Node] = {}  # one element for all below the depth with its tag
     opened: dict[str, int] = {}
     at, n = 0, len(page)
 
@@ -96,33 +96,47 @@ def parse(page: str, depth: int | None = None) -> Node:
             if stack[k].tag in stop:
                 return
 
+    search = _TOKEN.search
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = search(page, at)
         if m is None:
             add(page[at:])
             break
-        add(page[at : m.start()])
+        if m.start() > at and depth is None:
+            add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        ends, tag, names = m.groups()
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            close({tag}, {"#page"} if tag in BLOCK else SCOPE)
+        tag = tag.lower()
+        if ends:
+            if len(stack) > 1 and stack[-1].tag == tag:
+                opened[tag] -= 1
+                stack.pop()
+            else:
+                close({tag}, {"#page"} if tag in BLOCK else SCOPE)
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened.get("p"):
             close({"p"}, SCOPE)
         if tag in SAME:
             close(SAME[tag], SCOPE - {"td", "th"} if tag in ("td", "th") else SCOPE)
-        found = _ATTRIBUTE.findall(m[3]) if m[3] and (depth is None or len(stack) <= depth) else ()
-        kind = " ".join(a or b or c for name, a, b, c in found if name.lower() == "class")
-        node = Node(tag, " ".join(a or b or c for _, a, b, c in found), kind)
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if depth is None or len(stack) <= depth:
+            found = _ATTRIBUTE.findall(names) if names else ()
+            if found:
+                kind = " ".join(a or b or c for name, a, b, c in found if name.lower() == "class")
+                node = Node(tag, " ".join(a or b or c for _, a, b, c in found), kind)
+            else:
+                node = Node(tag)
+            stack[-1].children.append(node)
+        else:
+            node = deeper.get(tag) or deeper.setdefault(tag, Node(tag))
+        if tag in VOID or names.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             stop = end.start() if end else n
-            node.children.append(page[at:stop])
+            if depth is None:
+                node.children.append(page[at:stop])
             close_at = page.find(">", stop)
             at = n if close_at < 0 else close_at + 1
             continue
@@ -142,71 +156,39 @@ def numbered(root: Node) -> list[Node]:
     return out
 
 
-#: Pairs of unlike siblings whose subtrees are matched to weigh them; beyond it siblings are
-#: weighed by tag and class, so that a page of many unlike siblings costs no more than its rows.
-WEIGHED = 1 << 14
 #: Cells of one alignment table; longer rows of siblings are halved until they fit.
 CELLS = 1 << 20
 
 
-def _shaped(order: list[Node], shapes: dict, like: list[Node], counts: list[int]) -> None:
-    """Gives elements with equal subtrees (tags and classes) one number."""
-    for node in reversed(order):
-        below = tuple(c.shape for c in node.elements())
-        node.shape = shapes.setdefault((node.tag, node.kind, below), len(shapes))
-        if node.shape == len(like):
-            like.append(node)
-            counts.append(1 + sum(counts[k] for k in below))
-
-
-def _ends(x: Node, y: Node):
-    """Children that surely match: equal subtrees at the front and at the back, and what stands
-    alone between them with one tag; then the children between that are to be weighed."""
-    left, right = x.elements(), y.elements()
-    most = min(len(left), len(right))
-    front = 0
-    while front < most and left[front].shape == right[front].shape:
-        front += 1
-    back = 0
-    while back < most - front and left[-1 - back].shape == right[-1 - back].shape:
-        back += 1
-    m, n = len(left) - back, len(right) - back
-    sure = list(zip(left[:front] + left[m:], right[:front] + right[n:]))
-    left, right = left[front:m], right[front:n]
-    if len(left) == len(right) == 1:
-        return sure + [(p, q) for p, q in zip(left, right) if p.tag == q.tag], [], []
-    return sure, left, right
-
-
-def _scores(left: np.ndarray, right: np.ndarray, weights: np.ndarray, rows: list | None = None) -> np.ndarray:
-    """The best total for all of `left` with every prefix of `right`."""
-    best = np.zeros(len(right) + 1, np.int64)
-    for p in left:
+def _scores(rows, b: int, y: int, kept: list | None = None) -> np.ndarray:
+    """The best total for all rows of weights with every prefix of the columns from b to y."""
+    best = np.zeros(y - b + 1, np.int64)
+    for w in rows:
         new = best.copy()
-        w = weights[p, right]
         np.maximum(new[1:], np.where(w > 0, best[:-1] + w, 0), out=new[1:])
         best = np.maximum.accumulate(new)
-        if rows is not None:
-            rows.append(best)
+        if kept is not None:
+            kept.append(best)
     return best
 
 
-def _best_pairs(left: np.ndarray, right: np.ndarray, weights: np.ndarray) -> list[tuple[int, int]]:
-    """Places (i, j), in order on both sides, of the greatest total weight."""
-    out, todo = [], [(0, len(left), 0, len(right))]
+def _best_pairs(m: int, n: int, weights) -> list[tuple[int, int]]:
+    """Places (i, j), in order on both sides, of the greatest total weight; `weights(i, b, y)`
+    are those of i with the places from b to y."""
+    out, todo = [], [(0, m, 0, n)]
     while todo:
         a, z, b, y = todo.pop()
         if a == z or b == y:
             continue
         if z - a > 1 and (z - a) * (y - b) > CELLS:
             middle = (a + z) // 2
-            ahead = _scores(left[a:middle], right[b:y], weights)
-            behind = _scores(left[middle:z][::-1], right[b:y][::-1], weights)[::-1]
+            ahead = _scores((weights(i, b, y) for i in range(a, middle)), b, y)
+            behind = _scores((weights(i, b, y)[::-1] for i in range(z - 1, middle - 1, -1)), b, y)[::-1]
             cut = b + int((ahead + behind).argmax())
             todo += [(a, middle, b, cut), (middle, z, cut, y)]
             continue
         rows = [np.zeros(y - b + 1, np.int64)]
-        _scores(left[a:z], right[b:y], weights, rows)
+        _scores((weights(i, b, y) for i in range(a, z)), b, y, rows)
         i, j = z - a, y - b
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
@@ -226,101 +208,165 @@ def align(a: Node, b: Node) -> dict[int, int]:
     return aligner(a)(numbered(b))
 
 
+class _Shapes:
+    """Numbers for subtrees (tags and classes) that are equal, and for the rows of children below
+    them; what two such rows have in common is found once for all trees, whatever holds them."""
+
+    def __init__(self):
+        self.numbers: dict = {}
+        self.tags: list[int] = []  # of each shape: its tag, class and row of children, as numbers
+        self.kinds: list[int] = []
+        self.below: list[int] = []
+        self.counts: list[int] = []
+        self.names: dict[str, int] = {}
+        self.rows: dict[tuple, int] = {(): 0}
+        self.children: list[tuple] = [()]
+        self.elements: list[int] = [0]  # in all subtrees of a row
+        self.common: dict[tuple[int, int], int] = {}
+
+    def give(self, order: list[Node]) -> None:
+        """Gives all elements of a tree the numbers of their subtrees."""
+        names = self.names
+        for node in reversed(order):
+            children = tuple(c.shape for c in node.elements())
+            row = self.rows.setdefault(children, len(self.children))
+            if row == len(self.children):
+                self.children.append(children)
+                self.elements.append(sum(self.counts[k] for k in children))
+            tag, kind = names.setdefault(node.tag, len(names)), names.setdefault(node.kind, len(names))
+            node.shape = self.numbers.setdefault((tag, kind, row), len(self.tags))
+            if node.shape == len(self.tags):
+                self.tags.append(tag)
+                self.kinds.append(kind)
+                self.below.append(row)
+                self.counts.append(1 + self.elements[row])
+
+    def ends(self, left: tuple, right: tuple) -> tuple[list[tuple[int, int]], int, int, int]:
+        """Places that surely match: equal subtrees at the front and at the back, and what stands
+        alone between them with one tag; then the front and both ends of what is to be weighed."""
+        most = min(len(left), len(right))
+        front = 0
+        while front < most and left[front] == right[front]:
+            front += 1
+        back = 0
+        while back < most - front and left[-1 - back] == right[-1 - back]:
+            back += 1
+        m, n = len(left) - back, len(right) - back
+        sure = [(i, i) for i in range(front)] + [(m + i, n + i) for i in range(back)]
+        if m == n == front + 1:
+            if self.tags[left[front]] == self.tags[right[front]]:
+                sure.append((front, front))
+            return sure, front, front, front
+        return sure, front, m, n
+
+    def unknown(self, pairs) -> list[tuple[int, int]]:
+        """Of pairs of shapes, the rows of children not yet compared."""
+        rows = {(self.below[s], self.below[t]) for s, t in pairs}
+        return [r for r in rows if r[0] and r[1] and r[0] != r[1] and r not in self.common]
+
+    def crossed(self, left: tuple, right: tuple):
+        """A pair of shapes for every two rows of children to be compared to weigh siblings."""
+        sides = []
+        for side in (left, right):
+            by_tag: dict[int, dict[int, int]] = {}
+            for s in set(side):
+                by_tag.setdefault(self.tags[s], {})[self.below[s]] = s
+            sides.append(by_tag)
+        for tag, own in sides[0].items():
+            for t in sides[1].get(tag, {}).values():
+                for s in own.values():
+                    yield s, t
+
+    def inside(self, f: int, g: int) -> int:
+        """What two rows of children have in common, once it is known."""
+        return 3 * self.elements[f] if f == g else self.common[f, g] if f and g else 0
+
+    def chosen(self, left: tuple, right: tuple) -> list[tuple[int, int]]:
+        """Places of siblings, matched in order for the greatest weight of their subtrees."""
+        number = {t: k for k, t in enumerate(dict.fromkeys(right))}
+        other, codes = list(number), np.array([number[t] for t in right])
+        tags, kinds, below = ([x[t] for t in other] for x in (self.tags, self.kinds, self.below))
+        classes = np.array(kinds)
+        held, keep = {}, len(set(left)) * len(other) <= CELLS
+        heads: dict[tuple[int, int], np.ndarray] = {}
+
+        def inner(tag: int, f: int) -> np.ndarray:
+            known = {g: 2 + self.inside(f, g) for g, t in zip(below, tags) if t == tag}
+            return np.array([known[g] if t == tag else 0 for g, t in zip(below, tags)], np.int64)
+
+        def weights(i: int, b: int, y: int) -> np.ndarray:
+            s = left[i]
+            row = held.get(s)
+            if row is None:
+                head = self.tags[s], self.below[s]
+                base = heads.get(head)
+                if base is None:
+                    if not keep:
+                        heads.clear()
+                    base = heads[head] = inner(*head)
+                row = base + ((base > 0) & (classes == self.kinds[s]))
+                if keep:
+                    held[s] = row
+            return row[codes[b:y]]
+
+        return _best_pairs(len(left), len(right), weights)
+
+    def measure(self, todo: list[tuple[int, int]]) -> None:
+        """Finds what rows of children have in common; no step is recursive."""
+        while todo:
+            f, g = todo[-1]
+            if (f, g) in self.common:
+                todo.pop()
+                continue
+            left, right = self.children[f], self.children[g]
+            sure, front, m, n = self.ends(left, right)
+            x, y = left[front:m], right[front:n]
+            missing = self.unknown([(left[i], right[j]) for i, j in sure])
+            missing += self.unknown(self.crossed(x, y)) if x and y else []
+            if missing:
+                todo += missing
+                continue
+            if x and y:
+                sure += [(front + i, front + j) for i, j in self.chosen(x, y)]
+            self.common[f, g] = sum(
+                (3 if self.kinds[s] == self.kinds[t] else 2) + self.inside(self.below[s], self.below[t])
+                for s, t in ((left[i], right[j]) for i, j in sure)
+            )
+
+
 def aligner(a: Node):
     """Aligns trees with `a`, as `align` does, given their elements as `numbered` has them.
 
     Equal subtrees match as they are, and what two shapes of subtrees have in common is found
     once for all trees. No step is recursive, so trees may be of any depth.
     """
-    shapes: dict = {}
-    like: list[Node] = []
-    counts: list[int] = []
-    _shaped(numbered(a), shapes, like, counts)
-    sizes: dict[tuple[int, int], int] = {}
-
-    def same(p: Node, q: Node) -> int:
-        return 3 if p.kind == q.kind else 2
-
-    def middle(left: list[Node], right: list[Node]):
-        """Codes of the siblings, and pairs of shapes to be weighed by their subtrees."""
-        one, other = sorted({p.shape for p in left}), sorted({q.shape for q in right})
-        deep = len(one) * len(other) <= WEIGHED
-        pairs = [(s, t) for s in one for t in other if like[s].tag == like[t].tag] if deep else []
-        return one, other, deep, pairs
-
-    def chosen(left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
-        one, other, deep, pairs = middle(left, right)
-        if deep:
-            row, column = ({s: k for k, s in enumerate(x)} for x in (one, other))
-            weights = np.zeros((len(one), len(other)), np.int64)
-            for s, t in pairs:
-                weights[row[s], column[t]] = sizes[s, t]
-            codes = np.array([row[p.shape] for p in left]), np.array([column[q.shape] for q in right])
-            picked = _best_pairs(*codes, weights)
-        else:
-            picked = _by_label(left, right)
-        return [(left[i], right[j]) for i, j in picked]
-
-    def measure(s: int, t: int) -> None:
-        todo = [(s, t)]
-        while todo:
-            s, t = todo[-1]
-            if (s, t) in sizes:
-                todo.pop()
-            elif s == t:
-                sizes[s, t] = 3 * counts[s]
-            else:
-                sure, left, right = _ends(like[s], like[t])
-                needed = {(p.shape, q.shape) for p, q in sure}
-                if left and right:
-                    needed.update(middle(left, right)[3])
-                missing = [k for k in needed if k not in sizes]
-                if not missing and left and right:
-                    sure += chosen(left, right)
-                    missing = [k for k in {(p.shape, q.shape) for p, q in sure} if k not in sizes]
-                if missing:
-                    todo += missing
-                else:
-                    sizes[s, t] = same(like[s], like[t]) + sum(sizes[p.shape, q.shape] for p, q in sure)
+    shapes = _Shapes()
+    shapes.give(numbered(a))
 
     def matched(order: list[Node]) -> dict[int, int]:
-        _shaped(order, shapes, like, counts)
+        shapes.give(order)
         out: dict[int, int] = {}
         todo = [(a, order[0])] if a.tag == order[0].tag else []
         while todo:
             x, y = todo.pop()
             if x.shape == y.shape:
-                n = counts[x.shape]
+                n = shapes.counts[x.shape]
                 out.update(zip(range(x.number, x.number + n), range(y.number, y.number + n)))
                 continue
             out[x.number] = y.number
-            sure, left, right = _ends(x, y)
-            todo += sure
-            if left and right:
-                for s, t in middle(left, right)[3]:
-                    measure(s, t)
-                todo += chosen(left, right)
+            left, right = x.elements(), y.elements()
+            one, other = (shapes.children[shapes.below[z.shape]] for z in (x, y))
+            sure, front, m, n = shapes.ends(one, other)
+            todo += [(left[i], right[j]) for i, j in sure]
+            one, other = one[front:m], other[front:n]
+            if one and other:
+                shapes.measure(shapes.unknown(shapes.crossed(one, other)))
+                todo += [(left[front + i], right[front + j]) for i, j in shapes.chosen(one, other)]
         return out
 
     return matched
 
 
-def _by_label(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
-    """Siblings matched by tag and class: each with the next that is open on the other side."""
-    places: dict[tuple[str, str], collections.deque[int]] = {}
-    for j, q in enumerate(right):
-        places.setdefault(q.label, collections.deque()).append(j)
-    out, last = [], -1
-    for i, p in enumerate(left):
-        there = places.get(p.label, ())
-        while there and there[0] <= last:
-            there.popleft()
-        if there:
-            last = there.popleft()
-            out.append((i, last))
-    return out
-
-
 def apart(node: Node) -> bool:
     """Whether an element is by its kind or name no part of an article.
 

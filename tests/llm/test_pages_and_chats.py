@@ -127,6 +127,17 @@ def test_alignment_against_brute_force(monkeypatch, cells):
         assert weight == plain_matching(a, b)
 
 
+def test_many_unlike_siblings_are_matched_by_what_they_hold():
+    """By tag and class alone, the first on the left would match the first on the right."""
+    for n in (3, 150):
+        rows = lambda c: "".join(f"<p class={c}{i}><b></b><u></u></p>" for i in range(n))
+        full = "<p><i></i><s></s><q></q></p>"
+        left, right = numbered(parse(full + rows("c"))), numbered(parse("<p></p>" + full + rows("d")))
+        found = align(left[0], right[0])
+        weight = sum(3 if left[i].kind == right[j].kind else 2 for i, j in found.items())
+        assert weight == 3 + 12 + n * 8
+
+
 def test_deep_and_wide_pages(spark):
     deep = lambda n: "<div>" * n + "Deep text" + "</div>" * n
     wide = lambda n, k: "".join(f"<p class=c{(i * k) % n}><b>Row {i}</b></p>" for i in range(n))
