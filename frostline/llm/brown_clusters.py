@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from frostline.llm.workspace import Batches, bounded_batches, forget, map_partitions, map_rows, saved, utf8
 
-#: Words that hold 1 / CLUSTERED of all training tokens or more get a class by exchange;
-#: there are CLUSTERED of them at most, whatever the corpus.
+#: Words that hold 1 / CLUSTERED of all training tokens or more are exchanged between classes;
+#: there are CLUSTERED of them at most, whatever the corpus. All others are then placed in the
+#: class that suits their neighbours best.
 CLUSTERED = 65_534
-#: Counts of words that hold 1 / KNOWN of the training tokens or more go to all tasks;
-#: there are KNOWN of them at most. Counts of all other words are joined.
+#: Counts and classes of words that hold 1 / KNOWN of the training tokens or more go to all tasks;
+#: there are KNOWN of them at most. Those of all other words are joined.
 KNOWN = 1 << 20
 RARE, END = 0, 1  # ids of other words, and of the end of a text
 _END = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
@@ -182,17 +183,133 @@ def moves(
     return {r["word"]: r["best"] for r in found}
 
 
+# --- words too rare to be exchanged ------------------------------------------------------
+
+
+def placed_words(docs: DataFrame, ids, of: np.ndarray, matrix: np.ndarray, movable: int) -> DataFrame:
+    """(word, n, class) of all words without an id: the class in which a word's neighbours raise
+    the likelihood of the class bigrams most. Neighbours without an id count as one class."""
+    k = len(matrix)
+    width = 2 * k
+    shared = docs.sparkSession.sparkContext.broadcast(of)
+
+    def profile(b: pa.RecordBatch) -> pa.RecordBatch:
+        words, at = [], []
+        for t in utf8(b.column("text")):
+            tokens = token_hashes(t)
+            own = ids.value.of(tokens, RARE)
+            classes = shared.value[own]
+            rare = np.flatnonzero(own == RARE)  # an end has an id, so something follows
+            before = np.where(rare > 0, classes[rare - 1], shared.value[END])
+            words += [tokens[rare], tokens[rare]]
+            at += [classes[rare + 1], k + before]
+        found, number = np.unique(np.concatenate(words), return_inverse=True)
+        sums, n = np.unique(number * width + np.concatenate(at), return_counts=True)
+        columns = [found[sums // width].view(np.int64), sums % width, n]
+        return pa.record_batch([pa.array(x) for x in columns], ["word", "at", "n"])
+
+    profiles = (
+        map_rows(docs.select("text"), profile, "word long, at long, n long")
+        .groupBy("word", "at")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("word")
+        .agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("times"))
+    )
+    full = matrix.astype(np.float64)
+    # for each neighbour, how often it follows and how often it precedes each class
+    seen = np.concatenate((full[:movable].T, full[:, :movable]))
+    whole = full.sum(1)[:movable], full.sum(0)[:movable]
+
+    def choose(b: pa.RecordBatch) -> pa.RecordBatch:
+        at, times = b.column("at"), b.column("times")
+        starts = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy())))[:-1]
+        at, times = at.flatten().to_numpy(), times.flatten().to_numpy()
+        gain = np.empty((len(at), movable))
+        for i in range(0, len(at), 1 << 16):
+            there, n = seen[at[i : i + (1 << 16)]], times[i : i + (1 << 16), None]
+            gain[i : i + (1 << 16)] = _xlogx(there + n) - _xlogx(there)
+        gain = np.add.reduceat(gain, starts)
+        n = np.add.reduceat(np.where(at < k, times, 0), starts)
+        for sums in whole:
+            gain -= _xlogx(sums + n[:, None]) - _xlogx(sums)
+        gain[:, whole[0] == 0] = -np.inf  # an empty class would suit every word, but not all at once
+        columns = [b.column("word"), pa.array(n), pa.array(gain.argmax(1).astype(np.int64))]
+        return pa.record_batch(columns, ["word", "n", "class"])
+
+    return saved(map_rows(profiles, choose, "word long, n long, class long"), "placed")
+
+
+def bigrams(tokens: np.ndarray, held: Words, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class before each token of a text, its own, and which of these bigrams have a word
+    whose class has to be joined; such classes are -1."""
+    own = held.of(tokens, -1)
+    before = np.concatenate(([end], own[:-1]))
+    return before, own, np.flatnonzero((own < 0) | (before < 0))
+
+
+def far_bigrams(tokens, before, own, far) -> list[np.ndarray]:
+    """Words and classes of these bigrams. A word whose class is held is not looked for; the
+    other of the bigram stands there, so that they are dealt evenly."""
+    first, second = tokens[far - 1], tokens[far]
+    words = np.where(before[far] < 0, first, second), np.where(own[far] < 0, second, first)
+    return [*(w.view(np.int64) for w in words), before[far], own[far]]
+
+
+FAR = ["first", "second", "before", "own"]
+
+
+def joined_classes(rows: DataFrame, placed: DataFrame, unseen: int, k: int) -> DataFrame:
+    """The rows of `far_bigrams` with `pair`, class before * k + class."""
+    for word, held in (("first", "before"), ("second", "own")):
+        other = placed.select(F.col("word").alias(word), F.col("class").alias(f"{held}_class"))
+        rows = rows.join(other, word, "left")
+    classes = [F.when(F.col(c) >= 0, F.col(c)).otherwise(F.coalesce(f"{c}_class", F.lit(unseen))) for c in FAR[2:]]
+    return rows.withColumn("pair", classes[0] * k + classes[1])
+
+
+def whole_matrix(docs: DataFrame, held, placed: DataFrame, end: int, unseen: int, k: int) -> np.ndarray:
+    """How often class follows class, when all words have one; k * k numbers."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        sums, rows = np.zeros(k * k, np.int64), []
+        for t in utf8(b.column("text")):
+            tokens = token_hashes(t)
+            before, own, far = bigrams(tokens, held.value, end)
+            near = np.ones(len(own), bool)
+            near[far] = False
+            sums += np.bincount(before[near] * k + own[near], minlength=k * k)
+            rows.append(far_bigrams(tokens, before, own, far))
+        pairs = np.flatnonzero(sums)
+        far = [np.concatenate(x) for x in zip(*rows)]
+        none = pa.nulls(len(pairs), pa.int64())
+        columns = [pa.concat_arrays([none, pa.array(x, pa.int64())]) for x in far]
+        columns += [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(far[0]), pa.int64())]) for x in (pairs, sums[pairs])]
+        return pa.record_batch(columns, [*FAR, "pair", "n"])
+
+    schema = ", ".join(f"{c} long" for c in [*FAR, "pair", "n"])
+    found = saved(map_rows(docs.select("text"), batch, schema), "bigrams")
+    near = found.where("pair IS NOT NULL").select("pair", "n")
+    far = joined_classes(found.where("pair IS NULL").select(*FAR), placed, unseen, k).select("pair", F.lit(1).cast("long").alias("n"))
+    out = np.zeros(k * k, np.int64)
+    for r in near.unionByName(far).groupBy("pair").agg(F.sum("n")).collect():
+        out[r[0]] = r[1]
+    forget(found)
+    return out.reshape(k, k)
+
+
 class Model:
-    """Counts and classes: what scoring needs beside the counts of rare words."""
+    """Counts and classes: what scoring needs beside those of rare words.
 
-    def __init__(self, ids: Words, known: Words, classes, matrix, counts, tokens, vocabulary, mix):
-        self.ids, self.known, self.classes = ids, known, classes
+    masses: of the words placed in each class, their counts with 0.5 added to each. Words that
+    training has not seen have a class of their own."""
+
+    def __init__(self, ids: Words, known: Words, held: Words, classes, matrix, counts, masses, tokens, vocabulary, mix):
+        self.ids, self.known, self.held, self.classes = ids, known, held, classes
         self.tokens, self.vocabulary = tokens, vocabulary
         k = len(matrix)
         self.floor = tokens + 0.5 * (vocabulary + 1)
-        mass = np.bincount(classes, counts + 0.5, k)  # of the words of each class
-        rare = vocabulary - (len(classes) - 1)
-        mass[classes[RARE]] = tokens - counts[1:].sum() + 0.5 * (rare + 1)
+        mass = np.bincount(classes, counts + 0.5, k) + masses  # of the words of each class
+        mass[classes[RARE]] = 0.5
         transition = (matrix + 0.5) / (matrix.sum(1, keepdims=True) + 0.5 * k)
         share = np.divide(1.0, mass, out=np.zeros(k), where=mass > 0)
         self.weight = np.log10(mix * transition * share + (1 - mix) / self.floor)
@@ -201,13 +318,14 @@ class Model:
 def train(
     docs: DataFrame, classes: int = 64, rounds: int = 8, mix: float = 0.8
 ) -> tuple[Model, DataFrame]:
-    """Learns from all `docs` (text): the model, and the table of all word counts.
+    """Learns from all `docs` (text): the model, and the table of all words (word, n), with their
+    class if it is not among those that the model holds.
 
     Words are dealt to classes in the order of their counts, then exchanged: in every round
     half of them move to the class that raises the likelihood most. Words that move at once
     do not see one another; if the likelihood falls, the round is taken back and half as
-    many move from then on. The end of a text and the words too rare to be clustered have a
-    class each.
+    many move from then on. Words too rare for that are one class meanwhile; then each is placed
+    in the class that suits its neighbours best. The end of a text has a class of its own.
     """
     context = docs.sparkSession.sparkContext
     counts = saved(word_counts(docs), "words")
@@ -239,14 +357,30 @@ def train(
         else:
             turns *= 2
     forget(pairs)
-    return Model(ids, known, of, matrix, own, tokens, vocabulary, mix), counts
+    masses, held = np.zeros(k), Words(all_words, of[ids.of(all_words, RARE)])
+    counts = counts.withColumn("class", F.lit(None).cast("long"))
+    if vocabulary > len(all_words):
+        placed = placed_words(docs, sent, of, matrix, classes)
+        for r in placed.groupBy("class").agg(F.sum(F.col("n") + 0.5)).collect():
+            masses[r[0]] = r[1]
+        near = placed.where(F.col("n") * KNOWN >= tokens).select("word", "class").toArrow()  # KNOWN at most
+        held = Words(
+            np.concatenate((all_words, near["word"].to_numpy().view(np.uint64))),
+            np.concatenate((held.of(all_words, 0), near["class"].to_numpy())),
+        )
+        far = placed.where(F.col("n") * KNOWN < tokens)
+        matrix = whole_matrix(docs, context.broadcast(held), far, classes + 1, classes, k)
+        counts = counts.drop("class").join(far.select("word", "class"), "word", "left")
+        counts = saved(counts, "classes")
+    return Model(ids, known, held, of, matrix, own, masses, tokens, vocabulary, mix), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, extra columns of `docs`, n_tokens, n_known, base_score, score of every row.
 
     Each task scores what the model holds; the hashes of rarer words are joined to the
-    counts of all words, one row for each text and word, and added up by text.
+    counts of all words, one row for each text and word, and added up by text. So are bigrams
+    with a word whose class the model does not hold.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = [c for c in docs.columns if c != "text"]
@@ -256,18 +390,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             n_tokens, n_known, logs, weights, rare, times = [], [], [], [], [], []
+            far_rows: list[list] = [[] for _ in FAR]
             for t in utf8(b.column("text")):
                 tokens = token_hashes(t)
-                ids = m.ids.of(tokens, RARE)
-                classes = m.classes[ids]
-                before = np.concatenate(([m.classes[END]], classes[:-1]))
+                before, own, far = bigrams(tokens, m.held, int(m.classes[END]))
+                near = np.ones(len(own), bool)
+                near[far] = False
+                for out, x in zip(far_rows, far_bigrams(tokens, before, own, far)):
+                    out.append(x)
                 n = m.known.of(tokens, 0)
                 there = n > 0
                 words, n_words = np.unique(tokens[~there], return_counts=True)
                 n_tokens.append(len(tokens))
                 n_known.append(int(there.sum()))
                 logs.append(float(np.log10(n[there] + 0.5).sum()))
-                weights.append(float(m.weight[before, classes].sum()))
+                weights.append(float(m.weight[before[near], own[near]].sum()))
                 rare.append(words.view(np.int64))
                 times.append(n_words.astype(np.int32))
             return pa.record_batch(
@@ -277,14 +414,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     *[pa.array(x, pa.float64()) for x in (logs, weights)],
                     pa.array(rare, pa.list_(pa.int64())),
                     pa.array(times, pa.list_(pa.int32())),
+                    *[pa.array(x, pa.list_(pa.int64())) for x in far_rows],
                 ],
-                [*extra, "n_tokens", "n_known", "logs", "weights", "rare", "times"],
+                [*extra, "n_tokens", "n_known", "logs", "weights", "rare", "times", *FAR],
             )
 
         return batch
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra]
-    schema = "n_tokens long, n_known long, logs double, weights double, rare array<long>, times array<int>"
+    schema = "n_tokens long, n_known long, logs double, weights double, rare array<long>, times array<int>, "
+    schema += ", ".join(f"{c} array<long>" for c in FAR)
     table = saved(
         map_partitions(docs.select(*[F.col(f"`{c}`") for c in extra], "text"), make, ", ".join([*kept, schema])).withColumn(
             "row", F.monotonically_increasing_id()
@@ -303,13 +442,24 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"),
         )
     )
+    k = len(model.weight)
+    weights = [(i, float(w)) for i, w in enumerate(model.weight.ravel())]
+    of_pair = docs.sparkSession.createDataFrame(weights, "pair long, weight double")  # k * k
+    placed = counts.where("class IS NOT NULL").select("word", "class")
+    far = table.select("row", F.explode(F.arrays_zip(*FAR)).alias("x")).select("row", "x.*")
+    far = (
+        joined_classes(far, placed, int(model.classes[RARE]), k)
+        .join(F.broadcast(of_pair), "pair")
+        .groupBy("row")
+        .agg(F.sum("weight").alias("far"))
+    )
     logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
-    return table.join(sums, "row", "left").select(
+    return table.join(sums, "row", "left").join(far, "row", "left").select(
         *extra,
         "n_tokens",
         (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         (logs - F.col("n_tokens") * float(np.log10(model.floor or 1))).alias("base_score"),
-        (logs + F.col("weights")).alias("score"),
+        (logs + F.col("weights") + F.coalesce("far", F.lit(0.0))).alias("score"),
     )
 
 
@@ -323,8 +473,8 @@ def brown_scores(
     rows are scored. Tokens are words, A-Z in lower case, and one end per text; a null or
     empty text has the end alone. base_score is the unigram model with 0.5 added to every
     count. In `score`, a token has probability mix * P(class | class before) * P(token |
-    class) + (1 - mix) * the unigram's, each with 0.5 added to counts; words not clustered
-    share one class. A null doc_id is in training. If nothing is in training, all
+    class) + (1 - mix) * the unigram's, each with 0.5 added to counts; words that training
+    has not seen share one class. A null doc_id is in training. If nothing is in training, all
     probabilities are those of no counts. Repeated rows count and are scored each time.
     """
     rows = docs.select(F.col("doc_id"), F.col("text")).withColumn(

@@ -81,6 +81,40 @@ def test_probabilities_add_up(spark):
         assert total + unseen <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("known", [1 << 20, 80])
+def test_words_too_rare_for_the_exchange_have_classes(spark, monkeypatch, known):
+    """Ten names and verbs are frequent, the other fifty of each too rare to be exchanged."""
+    monkeypatch.setattr(bc, "CLUSTERED", 60)
+    monkeypatch.setattr(bc, "KNOWN", known)
+    pick = np.random.default_rng(3)
+    number = lambda: pick.integers(10) if pick.random() < 0.6 else 10 + pick.integers(50)
+    text = lambda: " ".join(f"name{number()} verb{number()}" for _ in range(30))
+    texts = [text() for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = bc.train(df, classes=4, rounds=4)
+    assert 4 <= len(model.ids.words) <= 60
+    rows = {r.word: (r.n, r["class"]) for r in counts.collect()}
+    hashes = np.array(list(rows), np.int64).view(np.uint64)
+    own = {w: c if c >= 0 else rows[w][1] for w, c in zip(rows, model.held.of(hashes, -1).tolist())}
+    assert all(c is not None and c != model.classes[bc.RARE] for c in own.values())
+    for before in range(len(model.weight)):
+        total = sum((n + 0.5) * 10 ** model.weight[before, own[w]] for w, (n, _) in rows.items())
+        total += 0.5 * 10 ** model.weight[before, model.classes[bc.RARE]]
+        assert total <= 1 + 1e-9
+    # against the model's own probabilities, token by token, with words it has not seen
+    odd = [(0, texts[0]), (1, "name1 new name55 new new verb59"), (2, "")]
+    got = {r.doc_id: r.score for r in bc.score(spark.createDataFrame(odd, "doc_id long, text string"), model, counts).collect()}
+    for doc, t in odd:
+        want, before = 0.0, int(model.classes[bc.END])
+        for h in bc.token_hashes(t.encode()).view(np.int64).tolist():
+            c = own.get(h, int(model.classes[bc.RARE]))
+            want += math.log10(rows.get(h, (0,))[0] + 0.5) + model.weight[before, c]
+            before = c
+        assert got[doc] == pytest.approx(want)
+    held = [r for r in bc.brown_scores(df, classes=4, rounds=4).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.93 * sum(r.base_score for r in held)
+
+
 def test_scores_of_nothing(spark, no_documents):
     assert bc.brown_scores(no_documents).collect() == []
     one = spark.createDataFrame([(1, "held out or not")], "doc_id long, text string")
