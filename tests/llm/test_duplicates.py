@@ -284,6 +284,31 @@ def test_changed_passages_against_brute_force(spark):
     assert all(root[d] == root[c] for d, c in got.items())
 
 
+def test_passages_with_words_put_in(spark):
+    """Two words more in one of two texts: 42 shingles of 46 and of 48 are common, 0.81 of all."""
+    pick = random.Random(4)
+    text = lambda n: ["w%d" % pick.randrange(10**6) for _ in range(n)]
+    rows = []
+    for _ in range(40):
+        passage = text(50)
+        longer = passage[:25] + text(2) + passage[25:]
+        rows += [(len(rows) + j, " ".join(text(30) + x + text(30))) for j, x in enumerate((passage, longer))]
+    got = {r.doc_id: r.class_id for r in cw.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[i + 1] == i for i in range(0, 80, 2)) >= 39
+
+
+def test_all_windows_of_a_signature_are_linked(spark):
+    """Nodes 0 to 9 share two signatures; 0 to 5 are one class, and 5 lies in no passage there."""
+    rows = [(k, n, 0 if n < 6 else n, n != 5, n >= 5) for k in (1, 2) for n in range(10)]
+    rows.append((3, 0, 0, True, False))
+    rows += [(3, 77, 77, True, True)]  # one signature in common, and another class
+    windows = spark.createDataFrame(rows, "key long, node long, root long, covered boolean, needy boolean")
+    got = {(r.u, r.v, r.key) for r in cw.all_links(windows, 2).collect()}
+    pairs = [(u, v) for u in range(10) for v in range(u + 1, 10) if v > 4]
+    assert got == {(u, v, k) for u, v in pairs for k in (1, 2)}
+    assert {(r.u, r.v) for r in cw.all_links(windows, 1).where("key = 3").collect()} == {(0, 77)}
+
+
 @given(st.lists(st.integers(0, 9), min_size=1, max_size=300), st.data())
 @settings(max_examples=100, deadline=None)
 def test_reach_and_contexts(values, data):
