@@ -210,6 +210,7 @@ def placed_words(docs: DataFrame, ids, of: np.ndarray, matrix: np.ndarray, movab
 
     profiles = (
         map_rows(docs.select("text"), profile, "word long, at long, n long")
+        .repartition("word")  # both sums are made where a word's rows come together
         .groupBy("word", "at")
         .agg(F.sum("n").alias("n"))
         .groupBy("word")
@@ -239,59 +240,73 @@ def placed_words(docs: DataFrame, ids, of: np.ndarray, matrix: np.ndarray, movab
     return saved(map_rows(profiles, choose, "word long, n long, class long"), "placed")
 
 
-def bigrams(tokens: np.ndarray, held: Words, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The class before each token of a text, its own, and which of these bigrams have a word
-    whose class has to be joined; such classes are -1."""
+def bigrams(tokens: np.ndarray, held: Words, end: int, k: int):
+    """Which tokens of a text have a class that is held; the classes before and of each token if both
+    are held, as before * k + class; the tokens whose class has to be joined, each with what stands beside it; and the pairs of such
+    tokens that follow one another.
+
+    What stands beside a token is one number for both sides; a side has 0 where no class is held,
+    else its class and one."""
     own = held.of(tokens, -1)
     before = np.concatenate(([end], own[:-1]))
-    return before, own, np.flatnonzero((own < 0) | (before < 0))
-
-
-def far_bigrams(tokens, before, own, far) -> list[np.ndarray]:
-    """Words and classes of these bigrams. A word whose class is held is not looked for; the
-    other of the bigram stands there, so that they are dealt evenly."""
-    first, second = tokens[far - 1], tokens[far]
-    words = np.where(before[far] < 0, first, second), np.where(own[far] < 0, second, first)
-    return [*(w.view(np.int64) for w in words), before[far], own[far]]
+    near = (own >= 0) & (before >= 0)
+    far = np.flatnonzero(own < 0)  # an end is held, so something follows
+    beside = (before[far] + 1) * (k + 1) + own[far + 1] + 1
+    both = far[before[far] < 0]
+    words = (tokens[far], tokens[both - 1], tokens[both])
+    return own >= 0, before[near] * k + own[near], beside, *(w.view(np.int64) for w in words)
+
+
+def beside_pairs(k: int) -> tuple:
+    """Columns: class before * k + class and class * k + class behind, of a token with its `class`
+    and what stands `beside` it; null where that side's class is not held."""
+    before = F.floor(F.col("beside") / (k + 1)) - 1
+    behind = F.col("beside") % (k + 1) - 1
+    return (
+        F.when(before >= 0, before * k + F.col("class")),
+        F.when(behind >= 0, F.col("class") * k + behind),
+    )
 
 
-FAR = ["first", "second", "before", "own"]
+def with_class(rows: DataFrame, placed: DataFrame, word: str, unseen: int, *more: str) -> DataFrame:
+    """The rows with the `class` of a word, and other columns of `placed`."""
+    names = placed.select(F.col("word").alias(word), "class", *more)
+    return rows.join(names, word, "left").drop(word).withColumn("class", F.coalesce("class", F.lit(unseen)))
 
 
-def joined_classes(rows: DataFrame, placed: DataFrame, unseen: int, k: int) -> DataFrame:
-    """The rows of `far_bigrams` with `pair`, class before * k + class."""
-    for word, held in (("first", "before"), ("second", "own")):
-        other = placed.select(F.col("word").alias(word), F.col("class").alias(f"{held}_class"))
-        rows = rows.join(other, word, "left")
-    classes = [F.when(F.col(c) >= 0, F.col(c)).otherwise(F.coalesce(f"{c}_class", F.lit(unseen))) for c in FAR[2:]]
-    return rows.withColumn("pair", classes[0] * k + classes[1])
+def pairs_of_far(rows: DataFrame, placed: DataFrame, unseen: int, k: int) -> DataFrame:
+    """The rows (first, second) of two joined words with `pair`, class * k + class."""
+    rows = with_class(rows, placed, "first", unseen).withColumnRenamed("class", "before")
+    rows = with_class(rows, placed, "second", unseen)
+    return rows.withColumn("pair", F.col("before") * k + F.col("class")).drop("before", "class")
 
 
 def whole_matrix(docs: DataFrame, held, placed: DataFrame, end: int, unseen: int, k: int) -> np.ndarray:
     """How often class follows class, when all words have one; k * k numbers."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        sums, rows = np.zeros(k * k, np.int64), []
-        for t in utf8(b.column("text")):
-            tokens = token_hashes(t)
-            before, own, far = bigrams(tokens, held.value, end)
-            near = np.ones(len(own), bool)
-            near[far] = False
-            sums += np.bincount(before[near] * k + own[near], minlength=k * k)
-            rows.append(far_bigrams(tokens, before, own, far))
-        pairs = np.flatnonzero(sums)
-        far = [np.concatenate(x) for x in zip(*rows)]
-        none = pa.nulls(len(pairs), pa.int64())
-        columns = [pa.concat_arrays([none, pa.array(x, pa.int64())]) for x in far]
-        columns += [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(far[0]), pa.int64())]) for x in (pairs, sums[pairs])]
-        return pa.record_batch(columns, [*FAR, "pair", "n"])
-
-    schema = ", ".join(f"{c} long" for c in [*FAR, "pair", "n"])
+        found = [bigrams(token_hashes(t), held.value, end, k) for t in utf8(b.column("text"))]
+        near, beside, words, first, second = (np.concatenate(x) for x in list(zip(*found))[1:])
+        pairs, n = np.unique(near, return_counts=True)
+        sizes = [len(pairs), len(words), len(first)]
+
+        def column(part: int, values: np.ndarray) -> pa.Array:
+            parts = [pa.nulls(size, pa.int64()) for size in sizes]
+            parts[part] = pa.array(values, pa.int64())
+            return pa.concat_arrays(parts)
+
+        columns = [(0, pairs), (0, n), (1, words), (1, beside), (2, first), (2, second)]
+        return pa.record_batch([column(*x) for x in columns], ["pair", "n", "word", "beside", "first", "second"])
+
+    schema = "pair long, n long, word long, beside long, first long, second long"
     found = saved(map_rows(docs.select("text"), batch, schema), "bigrams")
     near = found.where("pair IS NOT NULL").select("pair", "n")
-    far = joined_classes(found.where("pair IS NULL").select(*FAR), placed, unseen, k).select("pair", F.lit(1).cast("long").alias("n"))
+    one = F.lit(1).cast("long").alias("n")
+    mixed = with_class(found.where("word IS NOT NULL").select("word", "beside"), placed, "word", unseen)
+    mixed = mixed.select(F.explode(F.array(*beside_pairs(k))).alias("pair"), one).where("pair IS NOT NULL")
+    far = pairs_of_far(found.where("first IS NOT NULL").select("first", "second"), placed, unseen, k)
     out = np.zeros(k * k, np.int64)
-    for r in near.unionByName(far).groupBy("pair").agg(F.sum("n")).collect():
+    for r in near.unionByName(mixed).unionByName(far.select("pair", one)).groupBy("pair").agg(F.sum("n")).collect():
         out[r[0]] = r[1]
     forget(found)
     return out.reshape(k, k)
@@ -330,7 +345,7 @@ def train(
     context = docs.sparkSession.sparkContext
     counts = saved(word_counts(docs), "words")
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    known = Words(*_collected(counts, tokens, KNOWN))
+    known = Words(*_collected(counts, tokens, max(KNOWN, CLUSTERED)))  # of all words whose class is held
     words, n = _collected(counts, tokens, CLUSTERED)
     end = words == np.uint64(_END)
     words, n_end, n = words[~end][: CLUSTERED - 1], known.of(np.array([_END], np.uint64), 0), n[~end][: CLUSTERED - 1]
@@ -338,6 +353,7 @@ def train(
     ids = Words(all_words, np.concatenate((np.arange(len(words)) + 2, [END])))
     if not n_end[0] and tokens:  # texts so long that their end is rare
         n_end = [counts.where(F.col("word") == np.uint64(_END).view(np.int64).item()).first()["n"]]
+        known = Words(np.append(known.words, np.uint64(_END)), np.append(known.values, n_end[0]))
     own = np.concatenate(([0], n_end, n)).astype(np.int64)
     k = classes + 2
     of = np.concatenate(([classes, classes + 1], np.arange(len(words)) % classes)).astype(np.int64)
@@ -378,83 +394,80 @@ def train(
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, extra columns of `docs`, n_tokens, n_known, base_score, score of every row.
 
-    Each task scores what the model holds; the hashes of rarer words are joined to the
-    counts of all words, one row for each text and word, and added up by text. So are bigrams
-    with a word whose class the model does not hold.
+    Each task scores what the model holds; rarer words are joined once to their counts and
+    classes, with the classes beside them, and added up by text. Two such words in a row
+    are joined both.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = [c for c in docs.columns if c != "text"]
+    k = len(model.weight)
+    lists = ["beside", "words", "first", "second"]
 
     def make():
         m = sent.value
+        weights = m.weight.ravel()
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            n_tokens, n_known, logs, weights, rare, times = [], [], [], [], [], []
-            far_rows: list[list] = [[] for _ in FAR]
+            n_tokens, n_known, logs, near_weights = [], [], [], []
+            far: list[list] = [[] for _ in lists]
             for t in utf8(b.column("text")):
                 tokens = token_hashes(t)
-                before, own, far = bigrams(tokens, m.held, int(m.classes[END]))
-                near = np.ones(len(own), bool)
-                near[far] = False
-                for out, x in zip(far_rows, far_bigrams(tokens, before, own, far)):
+                there, near, *rest = bigrams(tokens, m.held, int(m.classes[END]), k)
+                for out, x in zip(far, rest):
                     out.append(x)
-                n = m.known.of(tokens, 0)
-                there = n > 0
-                words, n_words = np.unique(tokens[~there], return_counts=True)
+                n = m.known.of(tokens[there], 0)
                 n_tokens.append(len(tokens))
-                n_known.append(int(there.sum()))
-                logs.append(float(np.log10(n[there] + 0.5).sum()))
-                weights.append(float(m.weight[before[near], own[near]].sum()))
-                rare.append(words.view(np.int64))
-                times.append(n_words.astype(np.int32))
+                n_known.append(int((n > 0).sum()))
+                logs.append(float(np.log10(n + 0.5).sum()))
+                near_weights.append(float(weights[near].sum()))
+            far[0] = [x.astype(np.int32) for x in far[0]]
             return pa.record_batch(
                 [
                     *[b.column(c) for c in extra],
                     *[pa.array(x, pa.int64()) for x in (n_tokens, n_known)],
-                    *[pa.array(x, pa.float64()) for x in (logs, weights)],
-                    pa.array(rare, pa.list_(pa.int64())),
-                    pa.array(times, pa.list_(pa.int32())),
-                    *[pa.array(x, pa.list_(pa.int64())) for x in far_rows],
+                    *[pa.array(x, pa.float64()) for x in (logs, near_weights)],
+                    pa.array(far[0], pa.list_(pa.int32())),
+                    *[pa.array(x, pa.list_(pa.int64())) for x in far[1:]],
                 ],
-                [*extra, "n_tokens", "n_known", "logs", "weights", "rare", "times", *FAR],
+                [*extra, "n_tokens", "n_known", "logs", "weights", *lists],
             )
 
         return batch
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra]
-    schema = "n_tokens long, n_known long, logs double, weights double, rare array<long>, times array<int>, "
-    schema += ", ".join(f"{c} array<long>" for c in FAR)
+    schema = "n_tokens long, n_known long, logs double, weights double, beside array<int>, "
+    schema += "words array<long>, first array<long>, second array<long>"
     table = saved(
         map_partitions(docs.select(*[F.col(f"`{c}`") for c in extra], "text"), make, ", ".join([*kept, schema])).withColumn(
             "row", F.monotonically_increasing_id()
         ),
         "scored",
     )
-    rare = table.select(
-        "row", F.explode(F.arrays_zip("rare", "times")).alias("x")
-    ).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
+    placed = counts.where("class IS NOT NULL").select("word", "class", "n")
+    unseen = int(model.classes[RARE])
+    weights = [(i, float(w)) for i, w in enumerate(model.weight.ravel())]
+    of_pair = F.broadcast(docs.sparkSession.createDataFrame(weights, "pair long, weight double"))  # k * k
+    far = table.select("row", F.explode(F.arrays_zip("words", "beside")).alias("x"))
+    far = far.select("row", F.col("x.words").alias("word"), F.col("x.beside").alias("beside"))
+    far = with_class(far, placed, "word", unseen, "n").withColumn("n", F.coalesce("n", F.lit(0)))
+    for name, pair in zip(("before", "behind"), beside_pairs(k)):
+        far = far.withColumn("pair", pair).join(of_pair.withColumnRenamed("weight", name), "pair", "left").drop("pair")
+    far = far.select(
+        "row", "n", (F.coalesce("before", F.lit(0.0)) + F.coalesce("behind", F.lit(0.0))).alias("weight")
+    )
+    both = table.select("row", F.explode(F.arrays_zip("first", "second")).alias("x")).select("row", "x.*")
+    both = pairs_of_far(both, placed, unseen, k).join(of_pair, "pair")
     sums = (
-        rare.join(counts, "word", "left")
+        far.unionByName(both.select("row", F.lit(None).cast("long").alias("n"), "weight"))
         .groupBy("row")
         .agg(
-            F.sum(F.col("times") * F.log10(n + 0.5)).alias("more"),
-            F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"),
+            F.sum(F.log10(F.col("n") + 0.5)).alias("more"),
+            F.count_if(F.col("n") > 0).alias("seen"),
+            F.sum("weight").alias("far"),
         )
     )
-    k = len(model.weight)
-    weights = [(i, float(w)) for i, w in enumerate(model.weight.ravel())]
-    of_pair = docs.sparkSession.createDataFrame(weights, "pair long, weight double")  # k * k
-    placed = counts.where("class IS NOT NULL").select("word", "class")
-    far = table.select("row", F.explode(F.arrays_zip(*FAR)).alias("x")).select("row", "x.*")
-    far = (
-        joined_classes(far, placed, int(model.classes[RARE]), k)
-        .join(F.broadcast(of_pair), "pair")
-        .groupBy("row")
-        .agg(F.sum("weight").alias("far"))
-    )
     logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
-    return table.join(sums, "row", "left").join(far, "row", "left").select(
+    return table.join(sums, "row", "left").select(
         *extra,
         "n_tokens",
         (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),

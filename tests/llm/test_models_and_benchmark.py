@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 
 from compare import differences, oracle
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from frostline.llm import brown_clusters as bc
 from frostline.llm import winnowing as wn
 from frostline.llm.oracles import ORACLES
@@ -185,3 +188,22 @@ def test_winnowing_guarantee():
         grams = wn.gram_hashes(words, 7)
         chosen = set(wn.winnowed(grams, 7).tolist())
         assert all(chosen & set(range(i, i + 7)) for i in range(len(grams) - 6))
+
+
+@given(st.lists(st.integers(0, 9), max_size=30), st.sets(st.integers(0, 9)))
+@settings(max_examples=100, deadline=None)
+def test_bigrams_are_held_or_joined_once(words, rare):
+    """Every bigram is near, beside one word to be joined, or a pair of such words; a word is joined once."""
+    k, end = 5, 4
+    tokens = np.array([*words, 99], np.uint64)
+    kept = np.array([*sorted(set(range(10)) - rare), 99], np.uint64)
+    held = bc.Words(kept, np.where(kept == 99, end, kept % 4).astype(np.int64))
+    there, near, beside, far, first, second = bc.bigrams(tokens, held, end, k)
+    assert there.tolist() == [w not in rare for w in tokens.tolist()]
+    classes = [end if w == 99 else w % 4 for w in tokens.tolist()]
+    got = near.tolist() + [int(f) % 4 * k + int(s) % 4 for f, s in zip(first, second)]
+    for b, w in zip(beside.tolist(), far.tolist()):
+        before, behind = b // (k + 1) - 1, b % (k + 1) - 1
+        got += [before * k + w % 4] * (before >= 0) + [w % 4 * k + behind] * (behind >= 0)
+    assert sorted(got) == sorted(a * k + c for a, c in zip([end, *classes], classes))
+    assert len(far) == sum(w in rare for w in words)
