@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,15 +31,60 @@ def token_hashes(data: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+class Tokens(dict):
+    """Numbers of the words a task met last, so that what it knows of a word is looked up once
+    and not for each token.
+
+    facts: by number, the hash of each word and what the given functions make of the hashes."""
+
+    LIMIT = 400_000
+
+    def __init__(self, *lookups: Callable[[np.ndarray], np.ndarray]):
+        self.lookups = (lambda hashes: hashes, *lookups)
+        self._forget()
+
+    def _forget(self):
+        self.clear()
+        self.new: list[int] = []
+        self.facts = [f(np.zeros(0, np.uint64)) for f in self.lookups]
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(xxhash.xxh64_intdigest(word))
+        return number
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the tokens of all texts, one after the other, and how many each has. A text's
+        last token is its end, so before a text's first one stands an end as well."""
+        if len(self) >= self.LIMIT:
+            self._forget()
+        parts = []
+        for data in texts:
+            words = (data or b"").lower().split()
+            words.append(b"\n")
+            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        if self.new:
+            hashes = np.array(self.new, np.uint64)
+            self.new = []
+            self.facts = [np.concatenate((old, f(hashes))) for old, f in zip(self.facts, self.lookups)]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): the hash and the count of every token of all texts."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        tokens = np.concatenate([token_hashes(t) for t in utf8(b.column("text"))])
-        words, n = np.unique(tokens, return_counts=True)
-        return pa.record_batch([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+    def make():
+        found = Tokens()
 
-    return map_rows(docs.select("text"), batch, "word long, n long").groupBy("word").agg(
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            n = np.bincount(found.of(utf8(b.column("text")))[0])
+            there = np.flatnonzero(n)
+            words = found.facts[0][there].view(np.int64)
+            return pa.record_batch([pa.array(words), pa.array(n[there])], ["word", "n"])
+
+        return batch
+
+    return map_partitions(docs.select("text"), make, "word long, n long").groupBy("word").agg(
         F.sum("n").alias("n")
     )
 
@@ -64,15 +112,18 @@ def _collected(counts: DataFrame, total: int, most: int) -> tuple[np.ndarray, np
 def pair_counts(docs: DataFrame, ids) -> DataFrame:
     """(pair, n): how often id follows id, as first * 65536 + second."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        parts = []
-        for t in utf8(b.column("text")):
-            own = ids.value.of(token_hashes(t), RARE)
-            parts.append(np.concatenate(([END], own[:-1])) << 16 | own)
-        pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.record_batch([pa.array(pairs), pa.array(n)], ["pair", "n"])
+    def make():
+        found = Tokens(partial(ids.value.of, default=RARE))
 
-    return map_rows(docs.select("text"), batch, "pair long, n long").groupBy("pair").agg(
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            numbers, _ = found.of(utf8(b.column("text")))
+            own = found.facts[1][numbers]
+            pairs, n = np.unique(np.concatenate(([END], own[:-1])) << 16 | own, return_counts=True)
+            return pa.record_batch([pa.array(pairs), pa.array(n)], ["pair", "n"])
+
+        return batch
+
+    return map_partitions(docs.select("text"), make, "pair long, n long").groupBy("pair").agg(
         F.sum("n").alias("n")
     )
 
@@ -186,68 +237,107 @@ def moves(
 # --- words too rare to be exchanged ------------------------------------------------------
 
 
+class Gains:
+    """By how much x log x grows at each of some rows of counts, if n is added to all of a row."""
+
+    KEPT = 16  # what smaller n give is kept
+
+    def __init__(self, seen: np.ndarray):
+        self.seen = seen
+        self.kept = np.stack([_xlogx(seen + n) - _xlogx(seen) for n in range(self.KEPT)])
+
+    def of(self, row: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = self.kept[np.minimum(n, self.KEPT - 1), row]
+        many = np.flatnonzero(n >= self.KEPT)
+        there = self.seen[row[many]]
+        out[many] = _xlogx(there + n[many, None]) - _xlogx(there)
+        return out
+
+
+#: Rows of neighbours that a task holds at once, besides those of one word.
+ROWS = 1 << 14
+
+
+def whole_words(batches: Batches, names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns word, sides and n of rows sorted by word, ROWS or more at once; no word is parted. Of
+    a word with more rows, those with the same sides are added up."""
+    held, rows = [], 0
+    for b in batches:
+        held.append([b.column(c).to_numpy() for c in names])
+        rows += b.num_rows
+        if rows < ROWS:
+            continue
+        word, sides, n = (np.concatenate(x) for x in zip(*held))
+        last = int(np.searchsorted(word, word[-1]))
+        if last:
+            yield [word[:last], sides[:last], n[:last]]
+        sides, at = np.unique(sides[last:], return_inverse=True)
+        n = np.bincount(at, n[last:]).astype(np.int64)
+        held, rows = [[np.full(len(sides), word[-1]), sides, n]], len(sides)
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def placed_words(docs: DataFrame, ids, of: np.ndarray, matrix: np.ndarray, movable: int) -> DataFrame:
     """(word, n, class) of all words without an id: the class in which a word's neighbours raise
-    the likelihood of the class bigrams most. Neighbours without an id count as one class."""
+    the likelihood of the class bigrams most. Neighbours without an id count as one class.
+
+    A word's neighbours come to one task as rows of both sides, at most k * k for each batch."""
     k = len(matrix)
     width = 2 * k
     shared = docs.sparkSession.sparkContext.broadcast(of)
 
-    def profile(b: pa.RecordBatch) -> pa.RecordBatch:
-        words, at = [], []
-        for t in utf8(b.column("text")):
-            tokens = token_hashes(t)
-            own = ids.value.of(tokens, RARE)
+    def make():
+        known = Tokens(partial(ids.value.of, default=RARE))
+
+        def profile(b: pa.RecordBatch) -> pa.RecordBatch:
+            numbers, _ = known.of(utf8(b.column("text")))
+            own = known.facts[1][numbers]
             classes = shared.value[own]
             rare = np.flatnonzero(own == RARE)  # an end has an id, so something follows
             before = np.where(rare > 0, classes[rare - 1], shared.value[END])
-            words += [tokens[rare], tokens[rare]]
-            at += [classes[rare + 1], k + before]
-        found, number = np.unique(np.concatenate(words), return_inverse=True)
-        sums, n = np.unique(number * width + np.concatenate(at), return_counts=True)
-        columns = [found[sums // width].view(np.int64), sums % width, n]
-        return pa.record_batch([pa.array(x) for x in columns], ["word", "at", "n"])
+            found, n = np.unique((numbers[rare] * k + classes[rare + 1]) * k + before, return_counts=True)
+            columns = [known.facts[0][found // (k * k)].view(np.int64), found % (k * k), n]
+            return pa.record_batch([pa.array(x) for x in columns], ["word", "sides", "n"])
 
-    profiles = (
-        map_rows(docs.select("text"), profile, "word long, at long, n long")
-        .repartition("word")  # both sums are made where a word's rows come together
-        .groupBy("word", "at")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("word")
-        .agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("times"))
-    )
+        return profile
+
+    rows = map_partitions(docs.select("text"), make, "word long, sides long, n long")
+    rows = rows.repartition("word").sortWithinPartitions("word")
     full = matrix.astype(np.float64)
     # for each neighbour, how often it follows and how often it precedes each class
     seen = np.concatenate((full[:movable].T, full[:, :movable]))
-    whole = full.sum(1)[:movable], full.sum(0)[:movable]
-
-    def choose(b: pa.RecordBatch) -> pa.RecordBatch:
-        at, times = b.column("at"), b.column("times")
-        starts = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy())))[:-1]
-        at, times = at.flatten().to_numpy(), times.flatten().to_numpy()
-        gain = np.empty((len(at), movable))
-        for i in range(0, len(at), 1 << 16):
-            there, n = seen[at[i : i + (1 << 16)]], times[i : i + (1 << 16), None]
-            gain[i : i + (1 << 16)] = _xlogx(there + n) - _xlogx(there)
-        gain = np.add.reduceat(gain, starts)
-        n = np.add.reduceat(np.where(at < k, times, 0), starts)
-        for sums in whole:
-            gain -= _xlogx(sums + n[:, None]) - _xlogx(sums)
-        gain[:, whole[0] == 0] = -np.inf  # an empty class would suit every word, but not all at once
-        columns = [b.column("word"), pa.array(n), pa.array(gain.argmax(1).astype(np.int64))]
-        return pa.record_batch(columns, ["word", "n", "class"])
-
-    return saved(map_rows(profiles, choose, "word long, n long, class long"), "placed")
-
-
-def bigrams(tokens: np.ndarray, held: Words, end: int, k: int):
-    """Which tokens of a text have a class that is held; the classes before and of each token if both
+    whole = full.sum(1)[None, :movable], full.sum(0)[None, :movable]
+
+    def choose(batches: Batches) -> Batches:
+        by_side, by_class = Gains(seen), [Gains(x) for x in whole]
+        for word, sides, n in whole_words(batches, ["word", "sides", "n"]):
+            first = np.append(True, word[1:] != word[:-1])
+            number = np.cumsum(first) - 1
+            words = word[first]
+            at = np.concatenate((number * width + sides // k, number * width + k + sides % k))
+            sums = np.bincount(at, np.concatenate((n, n)), len(words) * width).astype(np.int64)
+            n = np.bincount(number, n).astype(np.int64)
+            at = np.flatnonzero(sums)
+            gain = by_side.of(at % width, sums[at])
+            gain = np.add.reduceat(gain, np.searchsorted(at, np.arange(len(words)) * width))
+            for x in by_class:
+                gain -= x.of(np.zeros(len(n), np.int64), n)
+            gain[:, whole[0][0] == 0] = -np.inf  # an empty class would suit every word, but not all at once
+            columns = [words, n, gain.argmax(1).astype(np.int64)]
+            yield pa.record_batch([pa.array(x) for x in columns], ["word", "n", "class"])
+
+    return saved(bounded_batches(rows).mapInArrow(choose, "word long, n long, class long"), "placed")
+
+
+def bigrams(tokens: np.ndarray, held: Words | np.ndarray, end: int, k: int):
+    """Which tokens of texts have a class that is held (held: those words, or the class of each token, -1 if none); the classes before and of each token if both
     are held, as before * k + class; the tokens whose class has to be joined, each with what stands beside it; and the pairs of such
     tokens that follow one another.
 
     What stands beside a token is one number for both sides; a side has 0 where no class is held,
     else its class and one."""
-    own = held.of(tokens, -1)
+    own = held.of(tokens, -1) if isinstance(held, Words) else held
     before = np.concatenate(([end], own[:-1]))
     near = (own >= 0) & (before >= 0)
     far = np.flatnonzero(own < 0)  # an end is held, so something follows
@@ -284,22 +374,30 @@ def pairs_of_far(rows: DataFrame, placed: DataFrame, unseen: int, k: int) -> Dat
 def whole_matrix(docs: DataFrame, held, placed: DataFrame, end: int, unseen: int, k: int) -> np.ndarray:
     """How often class follows class, when all words have one; k * k numbers."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [bigrams(token_hashes(t), held.value, end, k) for t in utf8(b.column("text"))]
-        near, beside, words, first, second = (np.concatenate(x) for x in list(zip(*found))[1:])
-        pairs, n = np.unique(near, return_counts=True)
-        sizes = [len(pairs), len(words), len(first)]
+    def make():
+        known = Tokens(partial(held.value.of, default=-1))
 
-        def column(part: int, values: np.ndarray) -> pa.Array:
-            parts = [pa.nulls(size, pa.int64()) for size in sizes]
-            parts[part] = pa.array(values, pa.int64())
-            return pa.concat_arrays(parts)
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            numbers, _ = known.of(utf8(b.column("text")))
+            hashes, classes = (x[numbers] for x in known.facts)
+            _, near, beside, words, first, second = bigrams(hashes, classes, end, k)
+            n = np.bincount(near)
+            pairs = np.flatnonzero(n)
+            n = n[pairs]
+            sizes = [len(pairs), len(words), len(first)]
+
+            def column(part: int, values: np.ndarray) -> pa.Array:
+                parts = [pa.nulls(size, pa.int64()) for size in sizes]
+                parts[part] = pa.array(values, pa.int64())
+                return pa.concat_arrays(parts)
+
+            columns = [(0, pairs), (0, n), (1, words), (1, beside), (2, first), (2, second)]
+            return pa.record_batch([column(*x) for x in columns], ["pair", "n", "word", "beside", "first", "second"])
 
-        columns = [(0, pairs), (0, n), (1, words), (1, beside), (2, first), (2, second)]
-        return pa.record_batch([column(*x) for x in columns], ["pair", "n", "word", "beside", "first", "second"])
+        return batch
 
     schema = "pair long, n long, word long, beside long, first long, second long"
-    found = saved(map_rows(docs.select("text"), batch, schema), "bigrams")
+    found = saved(map_partitions(docs.select("text"), make, schema), "bigrams")
     near = found.where("pair IS NOT NULL").select("pair", "n")
     one = F.lit(1).cast("long").alias("n")
     mixed = with_class(found.where("word IS NOT NULL").select("word", "beside"), placed, "word", unseen)
@@ -391,6 +489,9 @@ def train(
     return Model(ids, known, held, of, matrix, own, masses, tokens, vocabulary, mix), counts
 
 
+LISTS = ["beside", "words", "first", "second"]
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, extra columns of `docs`, n_tokens, n_known, base_score, score of every row.
 
@@ -401,35 +502,34 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = [c for c in docs.columns if c != "text"]
     k = len(model.weight)
-    lists = ["beside", "words", "first", "second"]
 
     def make():
         m = sent.value
         weights = m.weight.ravel()
+        count = partial(m.known.of, default=0)
+        known = Tokens(partial(m.held.of, default=-1), count, lambda hashes: np.log10(count(hashes) + 0.5))
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            n_tokens, n_known, logs, near_weights = [], [], [], []
-            far: list[list] = [[] for _ in lists]
-            for t in utf8(b.column("text")):
-                tokens = token_hashes(t)
-                there, near, *rest = bigrams(tokens, m.held, int(m.classes[END]), k)
-                for out, x in zip(far, rest):
-                    out.append(x)
-                n = m.known.of(tokens[there], 0)
-                n_tokens.append(len(tokens))
-                n_known.append(int((n > 0).sum()))
-                logs.append(float(np.log10(n + 0.5).sum()))
-                near_weights.append(float(weights[near].sum()))
-            far[0] = [x.astype(np.int32) for x in far[0]]
+            numbers, n_tokens = known.of(utf8(b.column("text")))
+            ends = np.cumsum(n_tokens)
+            starts = ends - n_tokens
+            hashes, classes, n, logs = (x[numbers] for x in known.facts)
+            there, near, *far = bigrams(hashes, classes, int(m.classes[END]), k)
+            before = np.append(True, there[:-1])
+            near_weights = np.zeros(len(numbers))
+            near_weights[there & before] = weights[near]
+
+            def lists(of: np.ndarray, values: np.ndarray) -> pa.Array:
+                bounds = np.append(0, np.cumsum(of)[ends - 1]).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
+
+            marks = [~there] * 2 + [~there & ~before] * 2
+            far[0] = far[0].astype(np.int32)
+            sums = [there & (n > 0), np.where(there, logs, 0.0), near_weights]
+            sums = [np.add.reduceat(x, starts, dtype=np.int64 if x.dtype == bool else x.dtype) for x in sums]
             return pa.record_batch(
-                [
-                    *[b.column(c) for c in extra],
-                    *[pa.array(x, pa.int64()) for x in (n_tokens, n_known)],
-                    *[pa.array(x, pa.float64()) for x in (logs, near_weights)],
-                    pa.array(far[0], pa.list_(pa.int32())),
-                    *[pa.array(x, pa.list_(pa.int64())) for x in far[1:]],
-                ],
-                [*extra, "n_tokens", "n_known", "logs", "weights", *lists],
+                [*[b.column(c) for c in extra], *map(pa.array, (n_tokens, *sums)), *map(lists, marks, far)],
+                [*extra, "n_tokens", "n_known", "logs", "weights", *LISTS],
             )
 
         return batch

@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from compare import differences, oracle
@@ -207,3 +208,38 @@ def test_bigrams_are_held_or_joined_once(words, rare):
         got += [before * k + w % 4] * (before >= 0) + [w % 4 * k + behind] * (behind >= 0)
     assert sorted(got) == sorted(a * k + c for a, c in zip([end, *classes], classes))
     assert len(far) == sum(w in rare for w in words)
+
+
+def test_a_task_looks_a_word_up_once(monkeypatch):
+    asked = []
+    found = bc.Tokens(lambda hashes: asked.extend(hashes.tolist()) or hashes % np.uint64(7))
+    texts = [b"A b a", None, b"b  c\nA", b""]
+    for _ in range(2):
+        numbers, sizes = found.of(texts)
+        want = np.concatenate([bc.token_hashes(t) for t in texts])
+        assert sizes.tolist() == [4, 1, 4, 1]
+        assert found.facts[0][numbers].tolist() == want.tolist()
+        assert found.facts[1][numbers].tolist() == (want % np.uint64(7)).tolist()
+    assert sorted(asked) == sorted(set(want.tolist()))
+    monkeypatch.setattr(bc.Tokens, "LIMIT", 3)
+    numbers, _ = found.of([b"d a"])  # the words met so far are forgotten
+    assert len(found) == 3 and found.facts[0][numbers].tolist() == bc.token_hashes(b"d a").tolist()
+
+
+def test_neighbours_of_a_word_stay_together(monkeypatch):
+    """Rows sorted by word come in batches of any size; a word with many rows is added up."""
+    monkeypatch.setattr(bc, "ROWS", 8)
+    pick = np.random.default_rng(7)
+    word = np.sort(np.concatenate([pick.integers(0, 20, 60), np.full(50, 9)]))
+    sides, n = pick.integers(0, 5, len(word)), pick.integers(1, 4, len(word))
+    table = pa.table({"n": n, "word": word, "sides": sides})
+    for rows in (1, 3, 200):
+        parts = list(bc.whole_words(iter(table.to_batches(rows)), ["word", "sides", "n"]))
+        assert not any(set(a[0]) & set(b[0]) for a, b in zip(parts, parts[1:]))
+        got = collections.Counter()
+        for w, s, m in zip(*(np.concatenate(x).tolist() for x in zip(*parts))):
+            got[w, s] += m
+        want = collections.Counter()
+        for w, s, m in zip(word.tolist(), sides.tolist(), n.tolist()):
+            want[w, s] += m
+        assert got == want
