@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,76 +30,62 @@ def token_hashes(data: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-class Tokens(dict):
-    """Numbers of the words a task met last, so that what it knows of a word is looked up once
-    and not for each token.
-
-    facts: by number, the hash of each word and what the given functions make of the hashes."""
-
-    LIMIT = 400_000
-
-    def __init__(self, *lookups: Callable[[np.ndarray], np.ndarray]):
-        self.lookups = (lambda hashes: hashes, *lookups)
-        self._forget()
-
-    def _forget(self):
-        self.clear()
-        self.new: list[int] = []
-        self.facts = [f(np.zeros(0, np.uint64)) for f in self.lookups]
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(xxhash.xxh64_intdigest(word))
-        return number
-
-    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the tokens of all texts, one after the other, and how many each has. A text's
-        last token is its end, so before a text's first one stands an end as well."""
-        if len(self) >= self.LIMIT:
-            self._forget()
-        parts = []
-        for data in texts:
-            words = (data or b"").lower().split()
-            words.append(b"\n")
-            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-        if self.new:
-            hashes = np.array(self.new, np.uint64)
-            self.new = []
-            self.facts = [np.concatenate((old, f(hashes))) for old, f in zip(self.facts, self.lookups)]
-        return np.concatenate(parts), np.array([len(x) for x in parts])
+def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts, one after the other, and how many each has. A text's last token is its
+    end, so before a text's first one stands an end as well."""
+    parts = [token_hashes(t) for t in texts]
+    return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): the hash and the count of every token of all texts."""
 
-    def make():
-        found = Tokens()
-
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            n = np.bincount(found.of(utf8(b.column("text")))[0])
-            there = np.flatnonzero(n)
-            words = found.facts[0][there].view(np.int64)
-            return pa.record_batch([pa.array(words), pa.array(n[there])], ["word", "n"])
-
-        return batch
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        words, n = np.unique(tokens_of(utf8(b.column("text")))[0], return_counts=True)
+        return pa.record_batch([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return map_partitions(docs.select("text"), make, "word long, n long").groupBy("word").agg(
+    return map_rows(docs.select("text"), batch, "word long, n long").groupBy("word").agg(
         F.sum("n").alias("n")
     )
 
 
 class Words:
-    """A bounded set of words as sorted hashes, with one number each."""
+    """A bounded set of words as sorted hashes, with one number each.
+
+    starts: for each beginning of a hash, the first place of such a word or of a later one. Hashes are
+    spread evenly, so a word is found in a few steps from there."""
 
     def __init__(self, words: np.ndarray, values: np.ndarray):
         order = np.argsort(words)
         self.words, self.values = words[order], values[order]
+        self.shift = np.uint64(64 - max(1, len(words).bit_length() + 1))
+        self.starts = None  # made where it is used, not sent
 
-    def of(self, tokens: np.ndarray, default: int) -> np.ndarray:
+    def __getstate__(self):
+        return self.__dict__ | {"starts": None}
+
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """The place of each token among the words, or -1."""
         if not len(self.words):
-            return np.full(len(tokens), default, np.int64)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, self.values[at], default)
+            return np.full(len(tokens), -1, np.int64)
+        if self.starts is None:
+            heads = np.arange(1 << 64 - int(self.shift), dtype=np.uint64) << self.shift
+            self.starts = np.searchsorted(self.words, heads).astype(np.int32)
+        last = len(self.words) - 1
+        at = np.minimum(self.starts[tokens >> self.shift], last)
+        there = self.words[at]
+        rest = np.flatnonzero(there != tokens)
+        missing = rest
+        while len(rest):
+            rest = rest[(there[rest] < tokens[rest]) & (at[rest] < last)]
+            at[rest] += 1
+            there[rest] = self.words[at[rest]]
+        at[missing[there[missing] != tokens[missing]]] = -1
+        return at
+
+    def of(self, tokens: np.ndarray, default: int) -> np.ndarray:
+        at = self.places(tokens)
+        return np.where(at >= 0, self.values[at], default) if len(self.words) else np.full(len(tokens), default, np.int64)
 
 
 def _collected(counts: DataFrame, total: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,18 +97,12 @@ def _collected(counts: DataFrame, total: int, most: int) -> tuple[np.ndarray, np
 def pair_counts(docs: DataFrame, ids) -> DataFrame:
     """(pair, n): how often id follows id, as first * 65536 + second."""
 
-    def make():
-        found = Tokens(partial(ids.value.of, default=RARE))
-
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            numbers, _ = found.of(utf8(b.column("text")))
-            own = found.facts[1][numbers]
-            pairs, n = np.unique(np.concatenate(([END], own[:-1])) << 16 | own, return_counts=True)
-            return pa.record_batch([pa.array(pairs), pa.array(n)], ["pair", "n"])
-
-        return batch
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        own = ids.value.of(tokens_of(utf8(b.column("text")))[0], RARE)
+        pairs, n = np.unique(np.concatenate(([END], own[:-1])) << 16 | own, return_counts=True)
+        return pa.record_batch([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
-    return map_partitions(docs.select("text"), make, "pair long, n long").groupBy("pair").agg(
+    return map_rows(docs.select("text"), batch, "pair long, n long").groupBy("pair").agg(
         F.sum("n").alias("n")
     )
 
@@ -258,12 +237,12 @@ class Gains:
 ROWS = 1 << 14
 
 
-def whole_words(batches: Batches, names: list[str]) -> Iterator[list[np.ndarray]]:
-    """The columns word, sides and n of rows sorted by word, ROWS or more at once; no word is parted. Of
-    a word with more rows, those with the same sides are added up."""
+def whole_words(batches: Batches) -> Iterator[list[np.ndarray]]:
+    """The columns word and sides of rows sorted by word, and n, how often each was met: ROWS rows or more
+    at once, no word parted. Of a word with more rows, those with the same sides are added up."""
     held, rows = [], 0
     for b in batches:
-        held.append([b.column(c).to_numpy() for c in names])
+        held.append([b.column("word").to_numpy(), b.column("sides").to_numpy(), np.ones(b.num_rows, np.int64)])
         rows += b.num_rows
         if rows < ROWS:
             continue
@@ -282,27 +261,21 @@ def placed_words(docs: DataFrame, ids, of: np.ndarray, matrix: np.ndarray, movab
     """(word, n, class) of all words without an id: the class in which a word's neighbours raise
     the likelihood of the class bigrams most. Neighbours without an id count as one class.
 
-    A word's neighbours come to one task as rows of both sides, at most k * k for each batch."""
+    A word's neighbours come to one task, a row for both sides each time it is met."""
     k = len(matrix)
     width = 2 * k
     shared = docs.sparkSession.sparkContext.broadcast(of)
 
-    def make():
-        known = Tokens(partial(ids.value.of, default=RARE))
-
-        def profile(b: pa.RecordBatch) -> pa.RecordBatch:
-            numbers, _ = known.of(utf8(b.column("text")))
-            own = known.facts[1][numbers]
-            classes = shared.value[own]
-            rare = np.flatnonzero(own == RARE)  # an end has an id, so something follows
-            before = np.where(rare > 0, classes[rare - 1], shared.value[END])
-            found, n = np.unique((numbers[rare] * k + classes[rare + 1]) * k + before, return_counts=True)
-            columns = [known.facts[0][found // (k * k)].view(np.int64), found % (k * k), n]
-            return pa.record_batch([pa.array(x) for x in columns], ["word", "sides", "n"])
+    def profile(b: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, _ = tokens_of(utf8(b.column("text")))
+        own = ids.value.of(tokens, RARE)
+        classes = shared.value[own]
+        rare = np.flatnonzero(own == RARE)  # an end has an id, so something follows
+        before = np.where(rare > 0, classes[rare - 1], shared.value[END])
+        sides = (classes[rare + 1] * k + before).astype(np.int32)
+        return pa.record_batch([pa.array(tokens[rare].view(np.int64)), pa.array(sides)], ["word", "sides"])
 
-        return profile
-
-    rows = map_partitions(docs.select("text"), make, "word long, sides long, n long")
+    rows = map_rows(docs.select("text"), profile, "word long, sides int")
     rows = rows.repartition("word").sortWithinPartitions("word")
     full = matrix.astype(np.float64)
     # for each neighbour, how often it follows and how often it precedes each class
@@ -311,7 +284,7 @@ def placed_words(docs: DataFrame, ids, of: np.ndarray, matrix: np.ndarray, movab
 
     def choose(batches: Batches) -> Batches:
         by_side, by_class = Gains(seen), [Gains(x) for x in whole]
-        for word, sides, n in whole_words(batches, ["word", "sides", "n"]):
+        for word, sides, n in whole_words(batches):
             first = np.append(True, word[1:] != word[:-1])
             number = np.cumsum(first) - 1
             words = word[first]
@@ -374,30 +347,23 @@ def pairs_of_far(rows: DataFrame, placed: DataFrame, unseen: int, k: int) -> Dat
 def whole_matrix(docs: DataFrame, held, placed: DataFrame, end: int, unseen: int, k: int) -> np.ndarray:
     """How often class follows class, when all words have one; k * k numbers."""
 
-    def make():
-        known = Tokens(partial(held.value.of, default=-1))
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        _, near, beside, words, first, second = bigrams(tokens_of(utf8(b.column("text")))[0], held.value, end, k)
+        n = np.bincount(near)
+        pairs = np.flatnonzero(n)
+        n = n[pairs]
+        sizes = [len(pairs), len(words), len(first)]
 
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            numbers, _ = known.of(utf8(b.column("text")))
-            hashes, classes = (x[numbers] for x in known.facts)
-            _, near, beside, words, first, second = bigrams(hashes, classes, end, k)
-            n = np.bincount(near)
-            pairs = np.flatnonzero(n)
-            n = n[pairs]
-            sizes = [len(pairs), len(words), len(first)]
-
-            def column(part: int, values: np.ndarray) -> pa.Array:
-                parts = [pa.nulls(size, pa.int64()) for size in sizes]
-                parts[part] = pa.array(values, pa.int64())
-                return pa.concat_arrays(parts)
-
-            columns = [(0, pairs), (0, n), (1, words), (1, beside), (2, first), (2, second)]
-            return pa.record_batch([column(*x) for x in columns], ["pair", "n", "word", "beside", "first", "second"])
+        def column(part: int, values: np.ndarray) -> pa.Array:
+            parts = [pa.nulls(size, pa.int64()) for size in sizes]
+            parts[part] = pa.array(values, pa.int64())
+            return pa.concat_arrays(parts)
 
-        return batch
+        columns = [(0, pairs), (0, n), (1, words), (1, beside), (2, first), (2, second)]
+        return pa.record_batch([column(*x) for x in columns], ["pair", "n", "word", "beside", "first", "second"])
 
     schema = "pair long, n long, word long, beside long, first long, second long"
-    found = saved(map_partitions(docs.select("text"), make, schema), "bigrams")
+    found = saved(map_rows(docs.select("text"), batch, schema), "bigrams")
     near = found.where("pair IS NOT NULL").select("pair", "n")
     one = F.lit(1).cast("long").alias("n")
     mixed = with_class(found.where("word IS NOT NULL").select("word", "beside"), placed, "word", unseen)
@@ -506,17 +472,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def make():
         m = sent.value
         weights = m.weight.ravel()
-        count = partial(m.known.of, default=0)
-        known = Tokens(partial(m.held.of, default=-1), count, lambda hashes: np.log10(count(hashes) + 0.5))
+        # by place among the held words; the last is for all others
+        classes = np.append(m.held.values, -1)
+        counts = np.append(m.known.of(m.held.words, 0), 0)
+        logs = np.append(np.log10(counts[:-1] + 0.5), 0.0)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            numbers, n_tokens = known.of(utf8(b.column("text")))
+            tokens, n_tokens = tokens_of(utf8(b.column("text")))
+            at = m.held.places(tokens)
             ends = np.cumsum(n_tokens)
             starts = ends - n_tokens
-            hashes, classes, n, logs = (x[numbers] for x in known.facts)
-            there, near, *far = bigrams(hashes, classes, int(m.classes[END]), k)
+            there, near, *far = bigrams(tokens, classes[at], int(m.classes[END]), k)
             before = np.append(True, there[:-1])
-            near_weights = np.zeros(len(numbers))
+            near_weights = np.zeros(len(tokens))
             near_weights[there & before] = weights[near]
 
             def lists(of: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -525,8 +493,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
             marks = [~there] * 2 + [~there & ~before] * 2
             far[0] = far[0].astype(np.int32)
-            sums = [there & (n > 0), np.where(there, logs, 0.0), near_weights]
-            sums = [np.add.reduceat(x, starts, dtype=np.int64 if x.dtype == bool else x.dtype) for x in sums]
+            sums = [np.add.reduceat(x, starts) for x in ((counts[at] > 0).astype(np.int64), logs[at], near_weights)]
             return pa.record_batch(
                 [*[b.column(c) for c in extra], *map(pa.array, (n_tokens, *sums)), *map(lists, marks, far)],
                 [*extra, "n_tokens", "n_known", "logs", "weights", *LISTS],

@@ -210,20 +210,18 @@ def test_bigrams_are_held_or_joined_once(words, rare):
     assert len(far) == sum(w in rare for w in words)
 
 
-def test_a_task_looks_a_word_up_once(monkeypatch):
-    asked = []
-    found = bc.Tokens(lambda hashes: asked.extend(hashes.tolist()) or hashes % np.uint64(7))
-    texts = [b"A b a", None, b"b  c\nA", b""]
-    for _ in range(2):
-        numbers, sizes = found.of(texts)
-        want = np.concatenate([bc.token_hashes(t) for t in texts])
-        assert sizes.tolist() == [4, 1, 4, 1]
-        assert found.facts[0][numbers].tolist() == want.tolist()
-        assert found.facts[1][numbers].tolist() == (want % np.uint64(7)).tolist()
-    assert sorted(asked) == sorted(set(want.tolist()))
-    monkeypatch.setattr(bc.Tokens, "LIMIT", 3)
-    numbers, _ = found.of([b"d a"])  # the words met so far are forgotten
-    assert len(found) == 3 and found.facts[0][numbers].tolist() == bc.token_hashes(b"d a").tolist()
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 1000])
+def test_places_of_words(size):
+    pick = np.random.default_rng(size)
+    words = np.unique(pick.integers(0, 1 << 64, size, np.uint64, endpoint=False) if size else np.zeros(0, np.uint64))
+    words[size // 2 :] |= np.uint64(0xFFFF << 48)  # many with the same beginning
+    words = np.unique(words)
+    held = bc.Words(words[::-1], np.arange(len(words))[::-1])
+    others = np.concatenate([words + np.uint64(1), words - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+    tokens = pick.permutation(np.concatenate([words, words, others]))
+    want = {w: i for i, w in enumerate(words.tolist())}
+    assert held.places(tokens).tolist() == [want.get(t, -1) for t in tokens.tolist()]
+    assert held.of(tokens, -7).tolist() == [want.get(t, -7) for t in tokens.tolist()]
 
 
 def test_neighbours_of_a_word_stay_together(monkeypatch):
@@ -231,15 +229,13 @@ def test_neighbours_of_a_word_stay_together(monkeypatch):
     monkeypatch.setattr(bc, "ROWS", 8)
     pick = np.random.default_rng(7)
     word = np.sort(np.concatenate([pick.integers(0, 20, 60), np.full(50, 9)]))
-    sides, n = pick.integers(0, 5, len(word)), pick.integers(1, 4, len(word))
-    table = pa.table({"n": n, "word": word, "sides": sides})
+    sides = pick.integers(0, 5, len(word))
+    table = pa.table({"sides": sides, "word": word})
+    want = collections.Counter(zip(word.tolist(), sides.tolist()))
     for rows in (1, 3, 200):
-        parts = list(bc.whole_words(iter(table.to_batches(rows)), ["word", "sides", "n"]))
+        parts = list(bc.whole_words(iter(table.to_batches(rows))))
         assert not any(set(a[0]) & set(b[0]) for a, b in zip(parts, parts[1:]))
         got = collections.Counter()
-        for w, s, m in zip(*(np.concatenate(x).tolist() for x in zip(*parts))):
-            got[w, s] += m
-        want = collections.Counter()
-        for w, s, m in zip(word.tolist(), sides.tolist(), n.tolist()):
-            want[w, s] += m
+        for w, s, n in zip(*(np.concatenate(x).tolist() for x in zip(*parts))):
+            got[w, s] += n
         assert got == want
