@@ -1,6 +1,8 @@
 import collections
+import glob
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -17,6 +19,7 @@ from frostline.llm.induced_sorting import BucketQueue, suffix_order
 from frostline.llm.oracles import ORACLES
 from frostline.llm.perfect_hash_lines import PerfectHash, dedup_lines
 from frostline.llm.queries import QUERIES
+from frostline.llm.workspace import release, saved
 
 SF = "/root/testdata/sf0.001"
 
@@ -391,3 +394,21 @@ def test_dense_places_are_those_of_dense_runs():
                 if x[i:j].mean() >= share - 1e-12:
                     want[i:j] = True
         assert (cw.dense_places(x, share, least) == want).all()
+
+
+def test_shuffles_of_finished_steps_leave_the_disk(spark):
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    saved(spark.range(1000).repartition(3), "numbers")
+    made = files() - before
+    assert made
+    release(spark)
+    assert not made & files()
+
+
+def test_needy_windows_meet_once(spark):
+    """Two windows that are both needy make one pair, those beside a settled one all theirs."""
+    rows = [(1, n, n, False, n < 3) for n in range(5)]
+    windows = spark.createDataFrame(rows, "key long, node long, root long, covered boolean, needy boolean")
+    got = [(r.u, r.v, r.key) for r in cw.all_links(windows, 1).collect()]
+    assert sorted(got) == [(a, b, 1) for a in range(3) for b in range(a + 1, 5)]
