@@ -412,3 +412,26 @@ def test_needy_windows_meet_once(spark):
     windows = spark.createDataFrame(rows, "key long, node long, root long, covered boolean, needy boolean")
     got = [(r.u, r.v, r.key) for r in cw.all_links(windows, 1).collect()]
     assert sorted(got) == [(a, b, 1) for a in range(3) for b in range(a + 1, 5)]
+
+
+def test_a_text_is_linked_once_for_many_windows(spark):
+    """A text with many windows of one signature has one row of it, and counts as not covered
+    if any of them lies in no passage."""
+    spans = lambda places: np.array([(p, p, p) for p in places], "<i4").tobytes()
+    texts = [(0, spans(range(300)), [7] * 300), (1, spans([5, 90, 91]), [7, 7, 8]), (2, spans([9]), [7])]
+    marked = spark.createDataFrame(texts, "node long, marks binary, keys array<long>")
+    found = spark.createDataFrame([(0, 1, 0, 50, 0, 50)], "u long, v long, ua long, uz long, va long, vz long")
+    states = cw.text_states(marked, found, 5)
+    got = {(r.node, r.key): (r.root, r.n, r.covered) for r in states.collect()}
+    assert got == {(0, 7): (0, 300, False), (1, 7): (0, 2, False), (1, 8): (0, 1, False), (2, 7): (2, 1, False)}
+    links = [(r.u, r.v, r.key) for r in cw.all_links(cw.open_signatures(states), 1).collect()]
+    assert sorted(links) == [(0, 1, 7), (0, 2, 7), (1, 2, 7)]
+
+
+def test_shingles_of_texts_in_a_row():
+    texts = [None, b"", b"a b", b"a b c d e", b"A b c d e f g", b"x", b"e f g h i j"]
+    base, text, sizes = cw.shingles_in_a_row(texts, 5)
+    alone = [cw.shingle_hashes(t, 5) for t in texts]
+    assert base.tolist() == np.concatenate(alone).tolist() and sizes.tolist() == [len(x) for x in alone]
+    assert text.tolist() == np.repeat(np.arange(7), sizes).tolist()
+    assert cw.shingles_in_a_row([b"a"], 5)[0].tolist() == []
