@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.vectors import padded, usable
-from frostline.llm.workspace import Batches, bounded_batches, map_rows, saved, text_rows
+from frostline.llm.workspace import Batches, bounded_batches, forget, map_rows, release, saved, text_rows
 
-#: Vectors of a bucket, and queries to it, that meet as one product of matrices.
+#: Vectors of a bucket that a batch of queries meets as one product of matrices.
 BLOCK = 1024
 #: Candidates a task holds before it leaves out those that others of the same query surpass.
 HELD = 300_000
+#: Bytes of the vectors that a task holds; neighbouring buckets with twice as many are parted.
+CELL = 32 << 20
+#: Candidates that queries may get if they go to all their cells at once.
+AT_ONCE = 4_000_000
 #: Queries whose true neighbours set the number of probes, and the share of these to be found.
 SAMPLE, RECALL = 100, 0.95
 
@@ -193,157 +197,257 @@ def probes_needed(vectors: DataFrame, kind: str, asked: DataFrame, hashing: Cros
     if not truth:
         return min(everything, hashing.tables)
     x = padded([bytes(r["v"]) for r in sample], kind, hashing.dim)
+    of = [[buckets for own, buckets in truth if own == q] for q in range(len(x))]
     n = 64
     while True:
-        n = min(n, everything)
-        places: list[dict] = []
+        n, rank = min(n, everything), []
         for part in _chunks(len(x), n, hashing.width):
-            for t, b in zip(*hashing.probes(x[part], n)):
-                places.append({p: i for i, p in enumerate(zip(t.tolist(), b.tolist()))})
-        rank = [min(places[q].get(p, everything) for p in enumerate(buckets)) for q, buckets in truth]
+            for q, (t, b) in enumerate(zip(*hashing.probes(x[part], n)), part.start):
+                place = np.full(everything, everything)
+                place[t * hashing.buckets + b] = np.arange(len(t))
+                rank += [int(place[np.arange(hashing.tables) * hashing.buckets + codes].min()) for codes in of[q]]
         need = int(np.quantile(rank, RECALL, method="higher")) + 1
         if need <= n or n == everything:
             return min(need, everything)
         n *= 4
 
 
-def _gathered(rows: DataFrame, kind: str, dim: int, schema: str) -> DataFrame:
-    """Rows (t, b, key, v and perhaps ids) of a bucket in groups of up to BLOCK.
+class Cells:
+    """How the tables are cut into what a task holds: neighbouring buckets, as many as `low` bits tell
+    apart, or one of several parts of these, dealt by key, if they have over `most` vectors.
 
-    Rows are sorted by ranges of bucket and key, which parts a large bucket among tasks.
+    counts: how many vectors the buckets of each cell have, table by table.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "t", "b", "key").sortWithinPartitions("t", "b", "key")
-
-    def group(batches: Batches) -> Batches:
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held.clear()
-            lists = [
-                pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(c)) for c in names[3:]
-            ]
-            raw = padded(whole.column("v").to_pylist(), kind, dim).astype(kind).tobytes()
-            first = [whole.column(c).slice(0, 1) for c in ("t", "b")]
-            return pa.record_batch([*first, pa.array([raw], pa.binary()), *lists], names)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t, bucket = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "b"))
-            edges = [0, *(np.flatnonzero((np.diff(t) != 0) | (np.diff(bucket) != 0)) + 1).tolist(), b.num_rows]
-            for a, z in zip(edges, edges[1:]):
-                if held and (held[0].column("t")[0].as_py(), held[0].column("b")[0].as_py()) != (t[a], bucket[a]):
-                    yield flush()
-                while a < z:
-                    take = min(z - a, BLOCK - sum(h.num_rows for h in held))
-                    held.append(b.slice(a, take))
-                    a += take
-                    if sum(h.num_rows for h in held) == BLOCK:
-                        yield flush()
-        if held:
-            yield flush()
-
-    return bounded_batches(ordered).mapInArrow(group, schema)
-
-
-def best_of_block(q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int):
-    """(query, vector, id, score) of the `k` nearest ids to each query, ties to smaller ids.
-
-    A product of matrices leaves out what is clearly too far; scores of the rest are added up
-    in the order of the components, so that equal vectors have equal scores everywhere.
-    """
-    scores = q @ x.T
-    near = np.ones(scores.shape, bool)
-    if len(x) > k:
-        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        near = scores >= (least - slack)[:, None]
-    row, at = np.nonzero(near)
-    exact = np.zeros(len(row))
-    for j in range(q.shape[1]):
-        exact += q[row, j] * x[at, j]
-    sizes = np.array([len(i) for i in ids], np.int64)
-    flat, starts = np.array([i for some in ids for i in some], np.int64), np.cumsum(sizes) - sizes
-    n = sizes[at]
-    pair = np.repeat(np.arange(len(row)), n)
-    vec_id = flat[starts[at][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
-    order = np.lexsort((vec_id, -exact[pair], row[pair]))
-    pair, vec_id = pair[order], vec_id[order]
-    owner = row[pair]
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    place = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
-    kept = place < k
-    pair = pair[kept]
-    return row[pair], at[pair], vec_id[kept], exact[pair]
+    def __init__(self, counts: np.ndarray, tables: int, low: int, most: int):
+        self.low, self.of_table = low, len(counts) // tables
+        self.parts = -(-counts // most)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.number = int(self.parts.sum())
 
+    def of(self, table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return table * self.of_table + (bucket >> self.low)
 
-def surpassed(held: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
-    """Candidates without those that `k` others of their query surpass, each once."""
-    rows = pa.Table.from_batches(held).combine_chunks()
-    code, of = (
-        rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("key", "of")
-    )
-    far, vec_id = (rows.column(c).to_numpy() for c in ("far", "vec_id"))
-    order = np.lexsort((of, vec_id, far, code))
-    code, of, far, vec_id = code[order], of[order], far[order], vec_id[order]
-    other = np.diff(code, prepend=-1) != 0
-    worse = other | (np.diff(far, prepend=np.nan) != 0) | (np.diff(vec_id, prepend=-1) != 0)
-    place = np.cumsum(worse)
-    place -= np.repeat(place[other], np.diff(np.append(np.flatnonzero(other), len(code))))
-    kept = (place < k) & (worse | (np.diff(of, prepend=-1) != 0))
-    return rows.take(pa.array(order[kept])).combine_chunks().to_batches()[0]
+    def within(self, bucket: np.ndarray) -> np.ndarray:
+        return bucket & ((1 << self.low) - 1)
+
+
+def cut_into_cells(hashed: DataFrame, hashing: CrossPolytope, n: int, row_bytes: int) -> Cells:
+    """Cells of CELL bytes or fewer, and no fewer cells than partitions, if there are as many buckets."""
+    parts = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = hashing.buckets.bit_length() - 1
+    wanted = max(parts / hashing.tables, n * row_bytes / CELL, 1)
+    high = min(bits, math.ceil(math.log2(wanted)))
+    codes = hashed.select(F.posexplode("codes").alias("t", "b"))
+    found = codes.groupBy("t", F.shiftright("b", bits - high).alias("c")).count().collect()
+    counts = np.zeros(hashing.tables << high, np.int64)
+    for r in found:
+        counts[(r["t"] << high) + r["c"]] = r["count"]
+    return Cells(counts, hashing.tables, bits - high, max(BLOCK, 2 * -(-n >> high)))
+
+
+_SENT = "cell int, at long, key binary, v binary, ids array<long>, bits binary, bound double"
+#: Queries stand behind the vectors of a cell.
+_BEHIND = 1 << 62
 
 
-def _search(asked: DataFrame, blocks: DataFrame, hashing: CrossPolytope, kind: str, n: int, k: int) -> DataFrame:
-    """(key, near): up to `k` candidates (minus score, vec_id, key) of each query, nearest first."""
+def _entries(hashed: DataFrame, cells: Cells) -> DataFrame:
+    """Every vector, for the cell that it is in in each table."""
 
-    def probe(b: pa.RecordBatch) -> pa.RecordBatch:
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        codes = b.column("codes").flatten().to_numpy().reshape(b.num_rows, -1)
+        which = cells.of(np.arange(codes.shape[1]), codes)
+        own = np.frombuffer(b"".join(b.column("key").to_pylist()), "<u8")[::2].reshape(-1, 1)
+        part = (own % cells.parts[which].astype(np.uint64)).astype(np.int64)
+        row = pa.array(np.repeat(np.arange(b.num_rows), codes.shape[1]))
+        columns = [pa.array((cells.first[which] + part).ravel(), pa.int32()), pa.array(cells.within(codes).ravel())]
+        columns += [b.column(c).take(row) for c in ("key", "v", "ids")]
+        return pa.record_batch([*columns, pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.float64())], _names(_SENT))
+
+    return map_rows(hashed.select("key", "v", "ids", "codes"), batch, _SENT)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _sent(asked: DataFrame, hashing: CrossPolytope, cells: Cells, kind: str, n: int, early: bool | None) -> DataFrame:
+    """Every query once for each cell in which it probes buckets, with a bit for each of these.
+
+    early: only the two cells that its best probes are in, or all others; None: all."""
+
+    def pieces(b: pa.RecordBatch) -> Batches:
         x = padded(b.column("v").to_pylist(), kind, hashing.dim)
-        tables, buckets = [], []
         for part in _chunks(len(x), n, hashing.width):
             t, code = hashing.probes(x[part], n)
-            tables.append(t)
-            buckets.append(code)
-        t, code = np.concatenate(tables), np.concatenate(buckets)
-        owner = pa.array(np.repeat(np.arange(len(x)), t.shape[1]))
-        return pa.record_batch(
-            [pa.array(t.ravel()), pa.array(code.ravel()), b.column("v").take(owner), b.column("key").take(owner)],
-            ["t", "b", "v", "key"],
-        )
-
-    sent = map_rows(asked.select("v", "key"), probe, "t long, b long, v binary, key binary")
-    packs = _gathered(sent, kind, hashing.dim, "t long, b long, v binary, key array<binary>")
-    packs = packs.select("t", "b", F.col("v").alias("qv"), F.col("key").alias("qkey"))
-
-    def met_in(b: pa.RecordBatch, i: int) -> pa.RecordBatch:
-        q, x = (np.frombuffer(b.column(c)[i].as_py(), kind).reshape(-1, hashing.dim).astype(float) for c in ("qv", "v"))
-        row, at, vec_id, score = best_of_block(q, x, b.column("ids")[i].as_py(), k)
-        qkeys, keys = b.column("qkey")[i].values, b.column("key")[i].values
+            of = cells.of(t, code)
+            sent = np.ones(of.shape, bool)
+            if early is not None:
+                second = np.take_along_axis(of, (of != of[:, :1]).argmax(axis=1)[:, None], 1)
+                sent = ((of == of[:, :1]) | (of == second)) == early
+            row, probe = np.nonzero(sent)
+            flags = np.zeros((len(t), len(cells.parts), 1 << cells.low), bool)
+            flags[row, of[row, probe], cells.within(code[row, probe])] = True
+            row, which = np.nonzero(flags.any(axis=2) & (cells.parts > 0))
+            bits = [x.tobytes() for x in np.packbits(flags[row, which], axis=1)]
+            times = cells.parts[which]
+            again = np.repeat(np.arange(len(row)), times)
+            number = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+            at = pa.array(row[again] + part.start)
+            columns = [
+                pa.array((cells.first[which][again] + number), pa.int32()), pa.array(np.full(len(again), _BEHIND)),
+                b.column("key").take(at), b.column("v").take(at), pa.nulls(len(at), pa.list_(pa.int64())),
+                pa.array(bits, pa.binary()).take(pa.array(again)), b.column("bound").take(at),
+            ]
+            yield pa.record_batch(columns, _names(_SENT))
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            yield from pieces(b)
+
+    return bounded_batches(asked.select("v", "key", "bound")).mapInArrow(run, _SENT)
+
+
+def ranked(row: np.ndarray, score: np.ndarray, vec_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which candidates fewer than `k` others of their row surpass, ties to smaller ids, and their places."""
+    order = np.lexsort((vec_id, -score, row))
+    row, score, vec_id = row[order], score[order], vec_id[order]
+    other = np.diff(row, prepend=-1) != 0
+    worse = other | (np.diff(score, prepend=np.nan) != 0) | (np.diff(vec_id, prepend=-1) != 0)
+    place = np.cumsum(worse)
+    place -= np.repeat(place[other], np.diff(np.append(np.flatnonzero(other), len(row))))
+    kept = place < k
+    return order[kept], place[kept]
+
+
+class Held:
+    """The vectors of a cell, which queries meet bucket by bucket."""
+
+    def __init__(self, rows: list[pa.RecordBatch], kind: str, dim: int, single: bool):
+        self.kind, self.dim = kind, dim
+        self.x = np.concatenate([padded(b.column("v").to_pylist(), kind, dim).astype(kind) for b in rows])
+        self.rough = self.x if single else self.x.astype(float)
+        self.keys = pa.concat_arrays([b.column("key") for b in rows])
+        ids = pa.concat_arrays([b.column("ids") for b in rows])
+        self.ids, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+        self.starts, self.sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        at = np.concatenate([b.column("at").to_numpy() for b in rows])
+        begins = np.flatnonzero(np.diff(at, prepend=-1))
+        self.blocks = [
+            (int(at[i]), j, min(j + BLOCK, z))
+            for i, z in zip(begins.tolist(), [*begins[1:].tolist(), len(at)])
+            for j in range(i, z, BLOCK)
+        ]
+        norms = np.concatenate([np.linalg.norm(self.x[i : i + BLOCK].astype(float), axis=1) for i in range(0, len(at), BLOCK)])
+        self.norms = [float(norms[i:j].max()) for _, i, j in self.blocks]
+        # twice what rounding may add to a product, as a share of the lengths, and what it may lose in small numbers
+        info = np.finfo(self.rough.dtype)
+        self.share, self.tiny = (dim + 16) * float(info.eps), (dim + 16) * float(info.tiny)
+
+    def exact(self, q: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores, added up in the order of the components, so that equal vectors have equal scores everywhere."""
+        out = np.zeros(len(row))
+        for i in range(0, len(row), 1 << 14):
+            products = q[row[i : i + (1 << 14)]] * self.x[at[i : i + (1 << 14)]]
+            out[i : i + len(products)] += np.add.accumulate(products, axis=1)[:, -1]
+        return out
+
+    def nearest(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The `k` nearest candidates of each query in the buckets that it probes here, but for those
+        below its bound.
+
+        A product of matrices leaves out what is clearly too far; the rest is scored exactly."""
+        q = padded(queries.column("v").to_pylist(), self.kind, self.dim)
+        raw = np.frombuffer(b"".join(queries.column("bits").to_pylist()), np.uint8).reshape(len(q), -1)
+        probed = np.ascontiguousarray(np.unpackbits(raw, axis=1).T)
+        bound = queries.column("bound").fill_null(-np.inf).to_numpy(zero_copy_only=False).copy()
+        lengths, rough = np.linalg.norm(q, axis=1), q.astype(self.rough.dtype)
+        none = np.zeros(0, np.int64)
+        kept, fresh, n = (none, none, np.zeros(0)), [], 0
+
+        def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            row, at = (np.concatenate([p[i] for p in fresh] or [none]) for i in range(2))
+            score = np.concatenate([kept[2], self.exact(q, row, at)])
+            row, at = np.concatenate([kept[0], row]), np.concatenate([kept[1], at])
+            fresh.clear()
+            # the first id of a vector is its least
+            best, place = ranked(row, score, self.ids[self.starts[at]], k)
+            last = best[place == k - 1]
+            bound[row[last]] = np.maximum(bound[row[last]], score[last])
+            return row[best], at[best], score[best]
+
+        for (bucket, i, j), norm in zip(self.blocks, self.norms):
+            who = np.flatnonzero(probed[bucket])
+            slack = self.share * lengths[who] * norm + self.tiny
+            able = bound[who] <= lengths[who] * norm + slack
+            who, slack = who[able], slack[able]
+            if not len(who):
+                continue
+            scores = rough[who] @ self.rough[i:j].T
+            bare = np.flatnonzero(np.isneginf(bound[who])) if j - i >= k else none
+            if len(bare):
+                least = np.partition(scores[bare], j - i - k, axis=1)[:, j - i - k]
+                bound[who[bare]] = least - slack[bare]
+            low = np.nextafter((bound[who] - slack).astype(scores.dtype), scores.dtype.type(-np.inf))
+            row, at = np.nonzero(scores >= low[:, None])
+            fresh.append((who[row], at + i))
+            n += len(row)
+            if n > max(HELD, len(kept[0])):
+                kept, n = settled(), 0
+        row, at, score = settled()
+        times = self.sizes[at]
+        pair = np.repeat(np.arange(len(row)), times)
+        vec_id = self.ids[np.arange(len(pair)) - np.repeat(np.cumsum(times) - times - self.starts[at], times)]
+        best, _ = ranked(row[pair], score[pair], vec_id, k)
+        pair = pair[best]
         return pa.record_batch(
-            [qkeys.take(pa.array(row)), pa.array(-score), pa.array(vec_id), keys.take(pa.array(at))],
+            [queries.column("key").take(pa.array(row[pair])), pa.array(-score[pair]), pa.array(vec_id[best]),
+             self.keys.take(pa.array(at[pair]))],
             ["key", "far", "vec_id", "of"],
-        )
+        )
+
+
+def _candidates(asked: DataFrame, hashed: DataFrame, hashing: CrossPolytope, cells: Cells, kind: str, n: int, k: int, early: bool | None) -> DataFrame:
+    """(key, far, vec_id, of): the best of each query and cell. A cell comes to one task, its vectors first."""
+    dim, single = hashing.dim, kind == "<f4" and 1e-15 < hashing.top < 1e15
 
     def meet(batches: Batches) -> Batches:
-        held: list[pa.RecordBatch] = []
+        vectors: list[pa.RecordBatch] = []
+        held = None
         for b in batches:
-            for i in range(b.num_rows):
-                held.append(met_in(b, i))
-                if sum(h.num_rows for h in held) > HELD:
-                    held = [surpassed(held, k)]
-                    if held[0].num_rows > HELD // 2:
-                        yield held.pop()
-        if held:
-            yield surpassed(held, k)
-
-    pairs = packs.join(blocks, ["t", "b"]).select("qv", "qkey", "v", "key", "ids")
-    met = bounded_batches(pairs).mapInArrow(meet, "key binary, far double, vec_id long, of binary")
-    place = F.dense_rank().over(Window.partitionBy("key").orderBy("far", "vec_id", "of"))
-    near = F.sort_array(F.collect_set(F.struct("far", "vec_id", "of")))
-    return met.withColumn("place", place).where(F.col("place") <= k).groupBy("key").agg(near.alias("near"))
+            n_vectors = b.column("bits").null_count
+            if n_vectors:
+                vectors.append(b.slice(0, n_vectors))
+            if n_vectors < b.num_rows:
+                held = held or Held(vectors, kind, dim, single)
+                vectors.clear()
+                yield held.nearest(b.slice(n_vectors), k)
+
+    rows = _entries(hashed, cells).unionByName(_sent(asked, hashing, cells, kind, n, early))
+    dealt = rows.repartitionById(cells.number, "cell").sortWithinPartitions("at").drop("cell")
+    return bounded_batches(dealt).mapInArrow(meet, "key binary, far double, vec_id long, of binary")
+
+
+def _search(asked: DataFrame, hashed: DataFrame, hashing: CrossPolytope, cells: Cells, kind: str, n: int, k: int) -> DataFrame:
+    """(key, near): up to `k` candidates (minus score, vec_id, key) of each query, nearest first.
+
+    A query goes once to each cell, with the buckets that it probes there. If these are many, it
+    goes to two of them at first, and the score of the last of `k` candidates found there bounds what
+    the others give."""
+
+    def best(met: DataFrame) -> DataFrame:
+        place = F.dense_rank().over(Window.partitionBy("key").orderBy("far", "vec_id", "of"))
+        near = F.sort_array(F.collect_set(F.struct("far", "vec_id", "of")))
+        return met.withColumn("place", place).where(F.col("place") <= k).groupBy("key").agg(near.alias("near"))
+
+    told = asked.withColumn("bound", F.lit(None).cast("double"))
+    if cells.number <= 4 or asked.count() * cells.number * k <= AT_ONCE:
+        return best(_candidates(told, hashed, hashing, cells, kind, n, k, None))
+    early = saved(best(_candidates(told, hashed, hashing, cells, kind, n, k, True)), "early")
+    release(asked.sparkSession)
+    bounds = early.where(F.size("near") >= k).select("key", (-F.col("near")[k - 1]["far"]).alias("bound"))
+    rest = _candidates(asked.join(bounds, "key", "left"), hashed, hashing, cells, kind, n, k, False)
+    return best(rest.unionByName(early.select("key", F.inline("near"))))
 
 
 def nearest_neighbours(
@@ -372,6 +476,10 @@ def nearest_neighbours(
     ).first()
     if not facts["n"]:
         return spark.createDataFrame([], result)
+    row_bytes = facts["dim"] * int(kind[2])
+    large = facts["n"] * row_bytes > CELL
+    if large:
+        release(spark)
     queries = encoded(table.where(F.col("vec_id") % every == 0))[0].select(F.col("vec_id").alias("query_id"), "key").distinct()
     asked = saved(vectors.join(queries.select("key").distinct(), "key", "left_semi"), "asked")
     bits = max(1, math.ceil(math.log2(facts["n"] / bucket_rows)))
@@ -381,18 +489,18 @@ def nearest_neighbours(
 
     def index(b: pa.RecordBatch) -> pa.RecordBatch:
         hashes = hashing.hashes(padded(b.column("v").to_pylist(), kind, hashing.dim))
-        at = pa.array(np.repeat(np.arange(b.num_rows), tables))
-        t = pa.array(np.tile(np.arange(tables), b.num_rows))
-        copies = [b.column(c).take(at) for c in ("v", "key", "ids")]
-        return pa.record_batch([t, pa.array(hashes.ravel()), *copies], ["t", "b", "v", "key", "ids"])
-
-    entries = map_rows(vectors.select("v", "key", "ids"), index, "t long, b long, v binary, key binary, ids array<long>")
-    blocks = saved(
-        _gathered(entries, kind, hashing.dim, "t long, b long, v binary, key array<binary>, ids array<array<long>>"), "blocks"
-    )
+        codes = pa.FixedSizeListArray.from_arrays(pa.array(hashes.ravel()), tables).cast(pa.list_(pa.int64()))
+        return pa.record_batch([*(b.column(c) for c in ("key", "v", "ids")), codes], ["key", "v", "ids", "codes"])
+
+    schema = "key binary, v binary, ids array<long>, codes array<long>"
+    hashed = saved(map_rows(vectors.select("key", "v", "ids"), index, schema), "hashed")
+    forget(vectors)
+    cells = cut_into_cells(hashed, hashing, facts["n"], row_bytes)
     enough, everything, answers = min(k + 1, facts["ids"]), hashing.buckets * tables, []
     while True:
-        found = saved(_search(asked, blocks, hashing, kind, n, k + 1), "found")
+        found = saved(_search(asked, hashed, hashing, cells, kind, n, k + 1), "found")
+        if large:
+            release(spark)
         if n >= everything:
             answers.append(found)
             break
@@ -401,6 +509,7 @@ def nearest_neighbours(
         asked, n = asked.join(full.select("key"), "key", "left_anti"), min(everything, 8 * n)
         if asked.isEmpty():
             break
+    forget(hashed)
     every_answer = answers[0]
     for more in answers[1:]:
         every_answer = every_answer.unionByName(more)

@@ -76,6 +76,30 @@ def test_queries_short_of_neighbours_probe_on(spark, monkeypatch):
     assert all(exact[r.query_id, r.vec_id] == r.score for r in found)
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+def test_queries_go_to_two_cells_and_then_to_the_others(spark, seed, monkeypatch):
+    for name, value in (("RECALL", 1.0), ("BLOCK", 3), ("HELD", 100), ("CELL", 500), ("AT_ONCE", 0)):
+        monkeypatch.setattr(cp, name, value)
+    rows = odd_rows(np.random.default_rng(seed), 6, 150)
+    rows += [(300 + i, [1.0 + i / 1000] + [0.5] * 5) for i in range(40)]  # a bucket of several cells
+    found = cp.nearest_neighbours(table(spark, rows), every=5, k=7, tables=2, bucket_rows=10)
+    assert sorted(map(tuple, found.collect())) == brute_neighbours(rows, 5, 7)
+
+
+def test_a_query_is_sent_to_cells_and_not_to_each_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(cp, "probes_needed", lambda *_: 512)
+    x = np.random.default_rng(8).normal(size=(256, 4096))
+    # a copy of the queries for each bucket would have 4 GB
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = cp.nearest_neighbours(table(spark, rows), every=1, k=3, bucket_rows=1).collect()
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    near = np.argsort(-scores, axis=1)[:, :3]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == [
+        (q, r + 1, int(i)) for q in range(256) for r, i in enumerate(near[q])
+    ]
+
+
 @pytest.mark.parametrize("even", [True, False])
 def test_recall_against_brute_force(spark, even):
     pick = np.random.default_rng(4)
