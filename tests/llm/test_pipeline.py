@@ -6,6 +6,7 @@ from test_models_and_benchmark import brute
 import corpus_pipeline as cp
 from frostline.llm import compression_bands as cb
 from frostline.llm import hilbert_packing as hp
+from frostline.llm import workspace
 from frostline.llm.queries import tokenizer
 from frostline.llm.workspace import saved
 
@@ -106,3 +107,15 @@ def test_pipeline_against_brute_force(spark, stages):
     dirty = {int(d) for d, _, _, _, bad in brute(docs, items) if bad}
     want = {d: t for d, t in docs if d not in dirty}
     assert near and {r.doc_id: r.text for r in stages["decontamination"].collect()} == want
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_finished_tables_leave_the_shared_folder(spark, tmp_path, monkeypatch, scheme):
+    monkeypatch.setattr(workspace, "shared_folder", lambda _: f"{scheme}{tmp_path}/app")
+    kept, gone = saved(spark.range(3), "kept"), saved(spark.range(5), "gone")
+    workspace.forget(gone)
+    other = str(tmp_path / "app-other")
+    spark.range(2).write.parquet(other)
+    workspace.forget(spark.read.parquet(other))
+    assert [p.name.split("-")[0] for p in tmp_path.glob("app/*")] == ["kept"]
+    assert kept.count() == 3 and spark.read.parquet(other).count() == 2
